@@ -193,7 +193,7 @@ def histogram(
         .groupBy(*keys, slot.cast("long").alias("bin"))
         .agg(F.count("*").alias("n"))
     )
-    frame = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long"))
+    frame = ranges.withColumn("bin", F.explode(F.expr(f"sequence(0L, {bins - 1}L)")))
     step = (F.col("hi") - F.col("lo")) / bins
     return frame.join(counts, [*keys, "bin"], "left").select(
         *keys,
