@@ -66,17 +66,25 @@ def normalise_tokens(text: Column, min_words: int = 3) -> Column:
 
 def guess_language(text: Column, profiles: dict[str, Sequence[str]] = LANGUAGE_PROFILES) -> Column:
     """Language with the most function words; null without any, first of the profiles on ties."""
-    low = F.lower(text)
-    scores = [
-        F.struct(
-            F.regexp_count(low, F.lit(any_word(words))).alias("hits"),
-            F.lit(-i).alias("order"),
-            F.lit(lang).alias("lang"),
-        )
-        for i, (lang, words) in enumerate(profiles.items())
-    ]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["hits"] > 0, best["lang"])
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD + "+"), F.lit(0))
+
+    def best(found: Column) -> Column:
+        scores = [
+            F.struct(
+                F.size(F.filter(found, _in(listed))).alias("hits"),
+                F.lit(-i).alias("order"),
+                F.lit(lang).alias("lang"),
+            )
+            for i, (lang, listed) in enumerate(profiles.items())
+        ]
+        return F.array_max(F.array(*scores))
+
+    winner = F.get(F.transform(F.array(words), best), F.lit(0))
+    return F.when(winner["hits"] > 0, winner["lang"])
+
+
+def _in(words: Sequence[str]):
+    return lambda w: w.isin(*words)
 
 
 def terms(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:

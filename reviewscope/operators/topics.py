@@ -1,15 +1,17 @@
 """Non-negative factorisation of the term weights per game, for all games at once.
 
-Reviews are packed into blocks of bounded size; one pass over the blocks per iteration updates the
-review side W in place and returns, per task and game, sums no larger than the topic side H.  H
-(topics x at most 1000 terms) lives on the driver as in any iterative Spark estimator; if all games
-together exceed MODEL_BYTES they are fitted in several rounds of games, so its size is bounded.
+Reviews are packed into blocks of bounded size.  A game of one block is fitted inside the task that
+holds the block.  For a larger game one pass over its blocks per iteration updates the review side W
+and returns, per task and game, sums no larger than the topic side H.  That H (topics x at most 1000
+terms) lives on the driver as in any iterative Spark estimator; if the games together exceed
+MODEL_BYTES they are fitted in several rounds, so its size is bounded.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -35,6 +37,10 @@ EPSILON = float(np.finfo(np.float32).eps)
 STATE = "game_id string, block long, ids array<long>, lens array<int>, idx array<int>, vals array<double>, w array<double>"
 
 
+# (game, number of terms, seed word -> column) -> first H
+Start = Callable[[str, int, Mapping[str, int]], np.ndarray]
+
+
 class Topics(NamedTuple):
     topics: DataFrame  # game_id, topic, words, weights
     weights: DataFrame  # game_id, review_id, weights
@@ -97,16 +103,76 @@ def _step(models, k: int):
     return run
 
 
-def _fit(state: DataFrame, models: dict[str, np.ndarray], k: int, max_iter: int, tol: float) -> DataFrame:
-    """Alternate W (tasks) and H (here) until every game's error stalls; `models` is updated."""
+def _next_h(h: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, float, float]:
+    """H after the sums of one pass, the error now, and the error before that pass."""
+    cut = h.size
+    wtx, wtw = sums[:cut].reshape(h.shape), sums[cut : cut + k * k].reshape(k, k)
+    x2, cross, quad = sums[cut + k * k :]
+    den = wtw @ h
+    h = h * wtx / np.where(den == 0, EPSILON, den)
+    now = x2 - 2 * float((wtx * h).sum()) + float((wtw * (h @ h.T)).sum())
+    return h, math.sqrt(max(now, 0.0)), math.sqrt(max(x2 - 2 * cross + quad, 0.0))
+
+
+def _top_terms(h: np.ndarray, n: int) -> list[tuple[int, int, int, float]]:
+    """(component, place, vocabulary rank, weight) of the n strongest positive terms."""
+    out = []
+    for c, row in enumerate(h):
+        best = np.lexsort((np.arange(len(row)), -row))[:n]
+        out += [(c, p, int(i) + 1, float(row[i])) for p, i in enumerate(best, 1) if row[i] > 0]
+    return out
+
+
+FITTED = (
+    "game_id string, ids array<long>, w array<double>, "
+    "tops array<struct<component:int, place:int, rank:int, weight:double>>"
+)
+
+
+def _fit_alone(k: int, start: Start, max_iter: int, tol: float, top_n: int):
+    """All iterations of games that fit into one block, inside the task that holds the block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples():
+                h = start(row.game_id, int(row.terms), _places(row.seeds))
+                w = np.asarray(row.w).reshape(-1, k)
+                first = last = 0.0
+                for turn in range(1, max_iter + 1):
+                    w, sums = _update_block(w, h, row.lens, row.idx, row.vals)
+                    h, error, before = _next_h(h, sums, k)
+                    if turn == 1:
+                        first = last = before or EPSILON
+                    if turn % CHECK_EVERY == 0:
+                        if (last - error) / first < tol:
+                            break
+                        last = error
+                out.append((row.game_id, row.ids, w.ravel(), _top_terms(h, top_n)))
+            yield pd.DataFrame(out, columns=["game_id", "ids", "w", "tops"])
+
+    return run
+
+
+def _places(seeds) -> dict[str, int]:
+    """Seed word -> column of H, from array<struct<term, rank>>."""
+    return {} if seeds is None else {x["term"]: x["rank"] - 1 for x in seeds}
+
+
+def _fit_together(state: DataFrame, models: dict[str, np.ndarray], k: int, max_iter: int, tol: float) -> DataFrame:
+    """Games of many blocks: W moves in the tasks, H here, until every game's error stalls.
+
+    `models` is updated in place; one job per iteration.
+    """
     spark = state.sparkSession
     active = dict(models)
     first: dict[str, float] = {}
     last: dict[str, float] = {}
-    held = None
+    columns = ["game_id", "block", "ids", "lens", "idx", "vals", "w"]
+    held: DataFrame | None = None
     for turn in range(1, max_iter + 1):
         shipped = spark.sparkContext.broadcast(active)
-        moved = state.filter("ids is not null").mapInPandas(_step(shipped, k), STATE + ", stats array<double>")
+        moved = state.mapInPandas(_step(shipped, k), STATE + ", stats array<double>")
         moved = moved.persist(StorageLevel.MEMORY_AND_DISK)
         sums = (
             moved.filter("stats is not null")
@@ -115,88 +181,92 @@ def _fit(state: DataFrame, models: dict[str, np.ndarray], k: int, max_iter: int,
             .collect()
         )
         check = turn % CHECK_EVERY == 0
+        active = dict(active)
         for game, s in sums:
-            h, s = active[game], np.asarray(s)
-            cut = h.size
-            wtx, wtw = s[:cut].reshape(h.shape), s[cut : cut + k * k].reshape(k, k)
-            x2, cross, quad = s[cut + k * k :]
-            if turn == 1:
-                first[game] = last[game] = math.sqrt(max(x2 - 2 * cross + quad, 0.0)) or EPSILON
-            den = wtw @ h
-            h = h * wtx / np.where(den == 0, EPSILON, den)
+            h, error, before = _next_h(active[game], np.asarray(s), k)
             models[game] = active[game] = h
+            if turn == 1:
+                first[game] = last[game] = before or EPSILON
             if check:
-                error = math.sqrt(max(x2 - 2 * float((wtx * h).sum()) + float((wtw * (h @ h.T)).sum()), 0.0))
                 if (last[game] - error) / first[game] < tol:
                     del active[game]
                 last[game] = error
-        state = moved.select("game_id", "block", "ids", "lens", "idx", "vals", "w")
-        if check:
+        state = moved.filter("ids is not null").select(*columns)
+        done = not active or turn == max_iter
+        if check or done:
             # Written to the shared folder: bounds the lineage and survives lost executors.
-            state = state.filter("ids is not null").checkpoint()
-        if held is not None:
-            held.unpersist()
-        held = moved
-        if check:
-            held.unpersist()
-            held = None
+            state = state.checkpoint()
+        for old in (held, moved if check or done else None):
+            if old is not None:
+                old.unpersist()
+        held = None if check or done else moved
         shipped.unpersist()
-        if not active:
+        if done:
             break
-    if held is not None:
-        state = state.filter("ids is not null").checkpoint()
-        held.unpersist()
-    return state.filter("ids is not null")
+    return state
 
 
 def factorise(
     counts: DataFrame,
     vocab: DataFrame,
     k: int,
-    start,
-    max_iter: int,
+    start: Start,
+    seeds: Sequence[str] = (),
+    max_iter: int = 300,
     w_scale: float = 0.1,
     tol: float = 1e-4,
     seed: int = 42,
     top_n: int = 10,
+    block_rows: int = BLOCK_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(top terms per component, review weights).
 
-    `start(sizes, vocab)` gives the first H per game from the rows of one round of games.
-    Components' terms come as (game_id, component, place, term, weight), positive weights only.
+    `start(game, terms, places)` gives a game's first H; `places` locates those of `seeds` that are
+    in its vocabulary.  Terms come as (game_id, component, place, term, weight), positive only.
     """
     spark = counts.sparkSession
     shared_dir(spark)
     vocab = vocab.checkpoint()
     weights = features.tfidf(counts, vocab)
+    seeded = vocab.filter(F.col("term").isin(*seeds)) if seeds else vocab.limit(0)
     sizes = vocab.groupBy(GAME).agg(
-        F.count("*").alias("terms"), F.ceil(F.max("docs") / BLOCK_ROWS).alias("blocks")
+        F.count("*").alias("terms"), F.ceil(F.max("docs") / block_rows).alias("blocks")
+    )
+    sizes = sizes.join(
+        seeded.groupBy(GAME).agg(F.collect_list(F.struct("term", "rank")).alias("seeds")), GAME, "left"
     )
-    totals = sizes.agg(F.sum("terms"), F.sum("blocks")).first()
-    terms, blocks = int(totals[0] or 0), int(totals[1] or 0)
+    blocks = int(sizes.agg(F.sum("blocks")).first()[0] or 0)
     tasks = max(min(blocks, spark.sparkContext.defaultParallelism), math.ceil(blocks / BLOCKS_PER_TASK), 1)
-    rounds = max(1, math.ceil(terms * k * 8 * 3 / MODEL_BYTES))
-    whole = _blocks(weights, k, w_scale, seed, sizes, tasks).checkpoint()
-    tops, found = [], []
+    packed = _blocks(weights, k, w_scale, seed, sizes, tasks).checkpoint()
+
+    small = sizes.filter("blocks = 1").select(GAME, "terms", "seeds")
+    alone = grouping.join_small(packed, small, [GAME]).drop("block")
+    fitted = alone.mapInPandas(_fit_alone(k, start, max_iter, tol, top_n), FITTED).checkpoint()
+    tops = fitted.select(GAME, F.inline("tops"))
+    states = [fitted.select(GAME, "ids", "w")]
+
+    large = sizes.filter("blocks > 1")
+    terms = int(large.agg(F.sum("terms")).first()[0] or 0)
+    rounds = math.ceil(terms * k * 8 * 3 / MODEL_BYTES)
     for r in range(rounds):
         mine = F.pmod(F.xxhash64(GAME), F.lit(rounds)) == r
-        known = {row[GAME]: int(row["terms"]) for row in sizes.filter(mine).collect()}
-        models = start(known, vocab.filter(mine))
-        state = _fit(whole.filter(mine), models, k, max_iter, tol)
-        found.append(
-            state.select(GAME, F.posexplode("ids").alias("pos", "review_id"), "w").select(
-                GAME, "review_id", F.slice("w", F.col("pos") * k + 1, F.lit(k)).alias("weights")
-            )
-        )
-        for game, h in models.items():
-            for c, row in enumerate(h):
-                best = np.lexsort((np.arange(len(row)), -row))[:top_n]
-                tops += [(game, c, p, int(i) + 1, float(row[i])) for p, i in enumerate(best, 1) if row[i] > 0]
-    schema = "game_id string, component int, place int, rank int, weight double"
-    named = spark.createDataFrame(tops, schema).join(vocab.select(GAME, "rank", "term"), [GAME, "rank"])
-    reviews = found[0]
-    for more in found[1:]:
-        reviews = reviews.unionByName(more)
+        models = {
+            row[GAME]: start(row[GAME], int(row["terms"]), _places(row["seeds"]))
+            for row in large.filter(mine).collect()
+        }
+        if not models:
+            continue
+        own = grouping.join_small(packed.filter(mine), large.filter(mine).select(GAME), [GAME])
+        state = _fit_together(own, models, k, max_iter, tol)
+        states.append(state.select(GAME, "ids", "w"))
+        best = [(game, *t) for game, h in models.items() for t in _top_terms(h, top_n)]
+        tops = tops.unionByName(spark.createDataFrame(best, tops.schema))
+
+    named = tops.join(vocab.select(GAME, "rank", "term"), [GAME, "rank"])
+    reviews = reduce(DataFrame.unionByName, states)
+    reviews = reviews.select(GAME, F.posexplode("ids").alias("pos", "review_id"), "w").select(
+        GAME, "review_id", F.slice("w", F.col("pos") * k + 1, F.lit(k)).alias("weights")
+    )
     return named.select(GAME, "component", "place", "term", "weight"), reviews
 
 
@@ -207,6 +277,7 @@ def guided_keywords(
     strength: float = 10.0,
     floor: float = 0.0,
     max_iter: int = 1000,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(game_id, aspect, keywords): one component per aspect, started at its seed words.
 
@@ -215,23 +286,20 @@ def guided_keywords(
     """
     names = list(seeds)
 
-    def start(known: dict[str, int], vocab: DataFrame) -> dict[str, np.ndarray]:
-        every = sorted({w for words in seeds.values() for w in words})
-        rows = vocab.filter(F.col("term").isin(every)).select(GAME, "term", "rank").collect()
-        place = {(r[GAME], r["term"]): r["rank"] - 1 for r in rows}
-        out = {}
-        for game, size in known.items():
-            h = np.full((len(names), size), floor)
-            for i, name in enumerate(names):
-                for word in seeds[name]:
-                    if (game, word) in place:
-                        h[i, place[game, word]] = strength
-            out[game] = h
-        return out
+    def start(game: str, terms: int, places: Mapping[str, int]) -> np.ndarray:
+        h = np.full((len(names), terms), floor)
+        for i, name in enumerate(names):
+            for word in seeds[name]:
+                if word in places:
+                    h[i, places[word]] = strength
+        return h
 
+    words = sorted({w for listed in seeds.values() for w in listed})
     counts = features.term_counts(df)
     vocab = features.vocabulary(counts, **features.GUIDED)
-    tops, _ = factorise(counts, vocab, len(names), start, max_iter, top_n=top_n)
+    tops, _ = factorise(
+        counts, vocab, len(names), start, words, max_iter=max_iter, top_n=top_n, block_rows=block_rows
+    )
     lists = tops.groupBy(GAME, "component").agg(
         F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t")
     )
@@ -252,16 +320,19 @@ def guided_keywords(
     return grid.select(GAME, "aspect", F.coalesce(words, F.col("seeds")).alias("keywords"))
 
 
-def nmf_topics(df: DataFrame, n_topics: int = 10, max_iter: int = 300, seed: int = 42) -> Topics:
+def nmf_topics(
+    df: DataFrame, n_topics: int = 10, max_iter: int = 300, seed: int = 42, block_rows: int = BLOCK_ROWS
+) -> Topics:
     """Free topics: the ten strongest words of each, and every review's weight per topic."""
 
-    def start(known: dict[str, int], vocab: DataFrame) -> dict[str, np.ndarray]:
-        draw = np.random.default_rng(seed)
-        return {g: draw.random((n_topics, known[g])) * 0.1 for g in sorted(known)}
+    def start(game: str, terms: int, places: Mapping[str, int]) -> np.ndarray:
+        return np.random.default_rng(seed).random((n_topics, terms)) * 0.1
 
     counts = features.term_counts(df)
     vocab = features.vocabulary(counts, **features.FREE)
-    tops, reviews = factorise(counts, vocab, n_topics, start, max_iter, seed=seed)
+    tops, reviews = factorise(
+        counts, vocab, n_topics, start, max_iter=max_iter, seed=seed, block_rows=block_rows
+    )
     lists = tops.groupBy(GAME, F.concat(F.lit("topic_"), F.col("component").cast("string")).alias("topic")).agg(
         F.array_sort(F.collect_list(F.struct("place", "term", "weight"))).alias("t")
     )
