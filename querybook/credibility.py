@@ -151,3 +151,26 @@ def _(spark, sf):
     return rows.select(
         "review_id", "game_id", *[F.col("features")[i].alias(f"z_{c}") for i, c in enumerate(NUMERIC_COLUMNS)]
     )
+
+
+# Brute force over all pairs of a game, as a check of the cell search.
+KNN_SQL = (
+    f"{rules_sql()}, {FEATURES_SQL.replace('from reviews', 'from flagged')}, "
+    "f as (select features.* from features join facts using (game_id) where game_rows > 1000), "
+    "pairs as (select a.game_id, a.review_id, b.review_id as other, b.is_fake, round(sqrt("
+    + " + ".join(f"(a.z_{c} - b.z_{c}) * (a.z_{c} - b.z_{c})" for c in NUMERIC_COLUMNS)
+    + "), 9) as dist from f a join f b using (game_id)), "
+    "near as (select game_id, review_id, is_fake, row_number() over (partition by game_id, review_id order by dist, other) as rn from pairs), "
+    "knn as (select game_id, review_id, avg(is_fake::int) > 0.5 as knn_fake from near where rn <= 7 group by all), "
+    "relabelled as (select flagged.*, coalesce(knn_fake, false) as knn_fake, is_fake or coalesce(knn_fake, false) as fake from flagged left join knn using (game_id, review_id))"
+)
+
+
+@query(
+    "knn_relabel",
+    f"with {KNN_SQL} select review_id, game_id, knn_fake, fake as is_fake from relabelled",
+)
+def _(spark, sf):
+    from reviewscope.operators import neighbours
+    rows = cred.knn_features(cred.credibility_rules(reviews_meta(spark, sf)))
+    return neighbours.knn_relabel(rows).select("review_id", "game_id", "knn_fake", "is_fake")
