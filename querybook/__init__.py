@@ -1,7 +1,7 @@
 """Queries over the driver tables, each next to the SQL that must give the same rows."""
 
 from querybook.base import BOOK
-from querybook import cleaning, credibility, emotions, inputs, summaries, texts  # noqa: F401
+from querybook import cleaning, credibility, emotions, inputs, modelling, runs, summaries, texts  # noqa: F401
 
 
 def queries():
