@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewscope.session import spread
+
 
 class Entry(NamedTuple):
     run: Callable[[SparkSession, str], DataFrame]
@@ -108,4 +110,4 @@ TEXT_SQL = f"reviews as (select {', '.join(REVIEWS_TEXT)} from documents)"
 
 
 def reviews_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(*REVIEWS_TEXT)
+    return spread(table(spark, sf_dir, "documents")).selectExpr(*REVIEWS_TEXT)

@@ -31,8 +31,12 @@ def quote(word: str) -> str:
 
 
 def any_word(words: Iterable[str]) -> str:
-    """Pattern that matches any of the words (or phrases) as whole words."""
-    return NOT_AFTER_WORD + "(?:" + "|".join(quote(w) for w in words) + ")" + NOT_BEFORE_WORD
+    """Pattern that matches any of the words (or phrases) as whole words.
+
+    The look behind comes after the word, so it runs on hits only instead of at every character.
+    """
+    hits = "|".join(f"{q}(?<!{WORD}{q})" for q in map(quote, words))
+    return f"(?:{hits}){NOT_BEFORE_WORD}"
 
 
 def is_blank(text: Column) -> Column:

@@ -38,12 +38,11 @@ def tag_aspects(
 
 
 def _tag_by_game(df: DataFrame, keywords: DataFrame, low: Column) -> DataFrame:
-    quoted = F.transform(
-        "keywords", lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_ ])", r"\\$1")
-    )
-    pattern = F.concat(
-        F.lit(ft.NOT_AFTER_WORD + "(?:"), F.array_join(quoted, "|"), F.lit(")" + ft.NOT_BEFORE_WORD)
+    hits = F.transform(
+        F.transform("keywords", lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_ ])", r"\\$1")),
+        lambda q: F.concat(q, F.lit(f"(?<!{ft.WORD}"), q, F.lit(")")),
     )
+    pattern = F.concat(F.lit("(?:"), F.array_join(hits, "|"), F.lit(")" + ft.NOT_BEFORE_WORD))
     rules = (
         keywords.filter(F.size("keywords") > 0)
         .groupBy(GAME)
@@ -56,8 +55,17 @@ def _tag_by_game(df: DataFrame, keywords: DataFrame, low: Column) -> DataFrame:
 
 
 def judged_reviews(df: DataFrame, keywords=KEYWORDS, scorer: Scorer | None = None, text: str = "review") -> DataFrame:
-    """Reviews with at least one aspect, with label and confidence: (..., aspects, label, confidence)."""
-    tagged = tag_aspects(df, keywords, text).filter(F.size("aspects") > 0)
+    """Reviews with at least one aspect, with label and confidence: (..., aspects, label, confidence).
+
+    Later steps unfold `aspects` with an outer generator; an inner one would tag every text again
+    for the filter Spark derives from it.
+    """
+    if isinstance(keywords, DataFrame):
+        tagged = tag_aspects(df, keywords, text).filter(F.size("aspects") > 0)
+    else:
+        # One pattern of all keywords decides; a filter on `aspects` would run all patterns twice.
+        every = [w for words in keywords.values() for w in words]
+        tagged = tag_aspects(df.filter(F.lower(text).rlike(ft.any_word(every))), keywords, text)
     return score_sentiment(tagged, scorer, text)
 
 
@@ -68,7 +76,7 @@ def aspect_sentiment(judged: DataFrame, cuts: SentimentCuts = CUTS) -> DataFrame
     """
     kept = F.col("confidence") >= cuts.aspect_confidence
     stats = (
-        judged.select(GAME, F.explode("aspects").alias("aspect"), "label", "confidence")
+        judged.select(GAME, F.explode_outer("aspects").alias("aspect"), "label", "confidence")
         .groupBy(GAME, "aspect")
         .agg(
             F.count("*").alias("mentions"),
@@ -93,7 +101,7 @@ def aspect_sentiment(judged: DataFrame, cuts: SentimentCuts = CUTS) -> DataFrame
 def aspect_examples(judged: DataFrame, n: int = 5, text: str = "review", cuts: SentimentCuts = CUTS) -> DataFrame:
     """The first n reviews per aspect above the cut, shortened to 200 characters."""
     kept = judged.filter(F.col("confidence") >= cuts.aspect_confidence)
-    rows = kept.select(GAME, F.explode("aspects").alias("aspect"), "review_id", text, "label", "confidence")
+    rows = kept.select(GAME, F.explode_outer("aspects").alias("aspect"), "review_id", text, "label", "confidence")
     return grouping.first_n(rows, [GAME, "aspect"], [F.col("review_id")], n).select(
         GAME,
         "aspect",

@@ -41,10 +41,20 @@ def term_counts(df: DataFrame, text: str = "review", stop_words: Sequence[str] =
     return words.select(GAME, "review_id", F.expr(counts).alias("counts"))
 
 
+def term_rows(counts: DataFrame) -> DataFrame:
+    """(game_id, review_id, term, tf).
+
+    An outer generator: for an inner one Spark first filters on the array's size, pushes that filter
+    below the projection and so tokenises every text again.
+    """
+    rows = counts.select(GAME, "review_id", F.inline_outer("counts"))
+    return rows.filter(F.col("term").isNotNull())
+
+
 def vocabulary(counts: DataFrame, min_df: int, max_df: float, max_features: int = MAX_FEATURES) -> DataFrame:
     """Per game the most frequent terms found in enough, but not too many, reviews."""
     totals = (
-        counts.select(GAME, F.inline("counts"))
+        term_rows(counts)
         .groupBy(GAME, "term")
         .agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     )
@@ -60,7 +70,6 @@ def tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     idf = vocab.select(
         GAME, "term", "rank", (F.ln((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")
     )
-    rows = counts.select(GAME, "review_id", F.inline("counts"))
-    weighted = grouping.join_small(rows, idf, [GAME, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    weighted = grouping.join_small(term_rows(counts), idf, [GAME, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(GAME, "review_id")))
     return weighted.select(GAME, "review_id", "term", "rank", "tf", (F.col("w") / norm).alias("weight"))

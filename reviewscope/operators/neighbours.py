@@ -65,17 +65,30 @@ def _nearest(queries: pd.DataFrame, points: pd.DataFrame, k: int, limit: np.ndar
     labels = np.array([r[1] for r in rows], dtype=bool)
     places = _matrix(points["f"])[[r[2] for r in rows]]
     asked, vec = _matrix(queries["f"]), queries["vec_id"].to_numpy()
-    out: list[tuple] = []
+    out = []
     for part in _slabs(len(asked), len(ids)):
         dist = np.round(_distances(asked[part], places), DIGITS)
         kth = np.partition(dist, k - 1, axis=1)[:, k - 1] if len(ids) > k else dist.max(axis=1)
         if limit is not None:
             kth = np.minimum(kth, limit[part] + SLACK)
-        for i, row in enumerate(dist):
-            near = np.flatnonzero(row <= kth[i])
-            near = near[np.argsort(row[near], kind="stable")][:k]
-            out += zip([vec[part][i]] * len(near), row[near], ids[near], labels[near])
-    return pd.DataFrame(out, columns=["vec_id", "dist", "review_id", "label"])
+        # Rows come out in the order of the queries, columns in the order of review_id.
+        q, c = np.nonzero(dist <= kth[:, None])
+        near = dist[q, c]
+        order = np.lexsort((c, near, q))
+        q, c, near = q[order], c[order], near[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = place < k
+        out.append(
+            pd.DataFrame(
+                {
+                    "vec_id": vec[part][q[kept]],
+                    "dist": near[kept],
+                    "review_id": ids[c[kept]],
+                    "label": labels[c[kept]],
+                }
+            )
+        )
+    return pd.concat(out) if out else pd.DataFrame([], columns=["vec_id", "dist", "review_id", "label"])
 
 
 def _place(key: tuple, vectors: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:

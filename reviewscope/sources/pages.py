@@ -48,14 +48,15 @@ def plain_text(html: Column) -> Column:
 def extract_page_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """(page_id, position, href) in page order."""
     links = F.regexp_extract_all(html, F.lit(LINK), F.lit(1))
-    return pages.select("page_id", F.posexplode(links).alias("position", "href"))
+    found = pages.select("page_id", F.posexplode_outer(links).alias("position", "href"))
+    return found.filter(F.col("position").isNotNull())
 
 
 def extract_catalog(pages: DataFrame, markup: CatalogMarkup = CatalogMarkup(), html: str = "html") -> DataFrame:
     """(page_id, position, id, name, release_date, price); entries without an id are skipped."""
     items = pages.select(
         "page_id",
-        F.posexplode(F.regexp_extract_all(html, F.lit(markup.item), F.lit(0))).alias("position", "item"),
+        F.posexplode_outer(F.regexp_extract_all(html, F.lit(markup.item), F.lit(0))).alias("position", "item"),
     )
 
     def field(pattern: str) -> Column:
@@ -63,7 +64,7 @@ def extract_catalog(pages: DataFrame, markup: CatalogMarkup = CatalogMarkup(), h
         return F.coalesce(plain_text(found), F.lit("Unknown"))
 
     key = F.regexp_extract("item", markup.id, 1)
-    return items.filter(key != "").select(
+    return items.filter(F.col("position").isNotNull() & (key != "")).select(
         "page_id",
         "position",
         key.alias("id"),
