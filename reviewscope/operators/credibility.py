@@ -86,14 +86,19 @@ def rapid_fire(df: DataFrame, scope: str = "author", t: CredibilityThresholds =
 
     A window over one author would put a hot author into one task.  Rows are compared inside
     (author, day); only the first row of a day looks at the author's previous day, and only
-    the first row of an author at the previous author.
+    the first row of an author at the previous author.  Only ids and times are shuffled; the few
+    hits are then joined to the full rows by (game_id, review_id).
     """
     if "timestamp_created" not in df.columns:
         return df.withColumn("rule7", F.lit(False))
     ts = F.col("timestamp_created")
     day = ["game_id", "__author", "__day"]
-    rows = df.withColumn("__author", F.coalesce("author_id", F.lit(""))).withColumn(
-        "__day", F.coalesce(F.to_date(ts), F.lit("9999-12-31").cast("date"))
+    rows = df.select(
+        GAME,
+        "review_id",
+        "timestamp_created",
+        F.coalesce("author_id", F.lit("")).alias("__author"),
+        F.coalesce(F.to_date(ts), F.lit("9999-12-31").cast("date")).alias("__day"),
     )
     days = rows.groupBy(*day).agg(
         F.min("timestamp_created").alias("first_ts"), F.max("timestamp_created").alias("last_ts")
@@ -108,8 +113,11 @@ def rapid_fire(df: DataFrame, scope: str = "author", t: CredibilityThresholds =
     )
     rows = rows.join(days.select(*day, "before"), day, "left")
     previous = F.when(F.col("__first"), F.col("before")).otherwise(F.col("__prev"))
-    return rows.withColumn("rule7", _within(previous, ts, t.r7_minutes)).drop(
-        "__author", "__day", "__prev", "__first", "before"
+    hits = rows.filter(_within(previous, ts, t.r7_minutes)).select(
+        GAME, "review_id", F.lit(True).alias("rule7")
+    )
+    return grouping.join_small(df, hits, [GAME, "review_id"], "left").withColumn(
+        "rule7", F.coalesce("rule7", F.lit(False))
     )
 
 

@@ -49,16 +49,18 @@ def first_n(
 ) -> DataFrame:
     """The first n rows per group in a total order, numbered from 1 in `rank`.
 
-    Up to GROUP_LIMIT Spark keeps n rows per group and task before it shuffles.  For a
-    larger n the group is first cut to n rows in each of 64 hash slices: the first n of
-    the whole are always among the first n of their slices, so the result is exact.
+    Up to GROUP_LIMIT Spark keeps n rows per group and task before it shuffles.  For a larger n
+    the group is first cut to n rows in each of many hash slices, then in fewer: the first n of the
+    whole are always among the first n of their slice, so the result is exact.
     """
     keys = list(keys)
     if n > GROUP_LIMIT:
-        slice_ = "__slice"
-        df = df.withColumn(slice_, F.pmod(F.xxhash64(*df.columns), F.lit(64)))
-        w = Window.partitionBy(*keys, slice_).orderBy(*order)
-        df = df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n).drop(slice_, rank)
+        columns = df.columns
+        for slices in (4096, 64):
+            df = df.withColumn("__slice", F.pmod(F.xxhash64(*columns), F.lit(slices)))
+            w = Window.partitionBy(*keys, "__slice").orderBy(*order)
+            df = df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+            df = df.drop("__slice", rank)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 

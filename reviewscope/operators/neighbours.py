@@ -28,6 +28,7 @@ from reviewscope.session import shared_dir
 GAME = "game_id"
 ONE_CELL = 4096  # distinct vectors up to which a game is a single cell
 CHUNK = 50_000  # vectors compared with a game's pivots in one task
+TURN = 10_000_000  # vectors of a game that visit a cell in the same task
 DIGITS = 9  # distances equal to this many digits are ties, broken by review_id
 SLACK = 1e-8
 
@@ -218,9 +219,18 @@ def vector_votes(vectors: DataFrame, k: int, one_cell: int = ONE_CELL) -> DataFr
         .cogroup(_renewed(reach).groupBy(*by_chunk))
         .applyInPandas(_visits, "game_id string, cell long, vec_id long, f array<double>, bound double")
     )
+    turns = large.select(GAME, F.ceil(F.col("m") / TURN).alias("turns")).distinct()
+    turns, _ = grouping.measured(turns)
+    visits = visits.join(turns, GAME).withColumn(
+        "turn", F.pmod(F.hash("vec_id"), F.col("turns"))
+    )
+    each_turn = F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn")
+    points = placed.join(turns, GAME).select(*placed.columns, each_turn)
+    by_turn = [GAME, "cell", "turn"]
     away = (
-        visits.groupBy(GAME, "cell")
-        .cogroup(_renewed(placed).groupBy(GAME, "cell"))
+        visits.drop("turns")
+        .groupBy(*by_turn)
+        .cogroup(_renewed(points).groupBy(*by_turn))
         .applyInPandas(_abroad(k), FOUND)
     )
     best = grouping.first_n(
@@ -257,7 +267,7 @@ def knn_relabel(
     vectors = distinct_vectors(open_games, k, label).checkpoint()
     votes = vector_votes(vectors, k, one_cell)
     by_vector = vectors.select(GAME, "vec_id", F.col("f").alias("features")).join(votes, [GAME, "vec_id"])
-    verdict = by_vector.select(GAME, "features", (F.col("vote") > 0.5).alias("knn_fake"))
+    verdict = by_vector.filter("vote > 0.5").select(GAME, "features", F.lit(True).alias("knn_fake"))
     joined = grouping.join_small(flagged, verdict, [GAME, "features"], "left")
     return joined.withColumn("knn_fake", F.coalesce("knn_fake", F.lit(False))).withColumn(
         label, F.col(label) | F.col("knn_fake")

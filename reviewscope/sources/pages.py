@@ -20,6 +20,12 @@ LINK = r'<a\b[^>]*?\bhref="([^"]*)"'
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
+# The markup of the stored pages, as patterns and (tag, class) pairs.  All of them are
+# parameters of the operators.
+HEADING = r'(?s)<div\b[^>]*class="[^"]*\bapphub_AppName\b[^"]*"[^>]*>(.*?)</div>'
+TITLE_MARKER = " on Steam"
+
+
 @dataclass(frozen=True)
 class CatalogMarkup:
     """How one entry looks on a search-result page (patterns with one group each)."""
@@ -76,8 +82,8 @@ def extract_catalog(pages: DataFrame, markup: CatalogMarkup = CatalogMarkup(), h
 
 def extract_page_title(
     pages: DataFrame,
-    heading: str = r'(?s)<div\b[^>]*class="[^"]*\bapphub_AppName\b[^"]*"[^>]*>(.*?)</div>',
-    marker: str = " on Steam",
+    heading: str = HEADING,
+    marker: str = TITLE_MARKER,
     html: str = "html",
 ) -> DataFrame:
     """(page_id, name): the heading, else the title up to the marker if it has one, else "Game {id}"."""

@@ -13,7 +13,8 @@ def write_reviews(df: DataFrame, path: str, run: str, fmt: str = "parquet", keep
     failed job never damages it.  Without keep_backup the run replaces all others.
     """
     target = f"{path}/run_ts={run}" if keep_backup else f"{path}/run_ts=current"
-    writer = df.write.mode("overwrite").partitionBy("game_id").format(fmt)
+    # Rebalancing merges the rows of small games into one file and splits a hot game over several.
+    writer = df.hint("rebalance", "game_id").write.mode("overwrite").partitionBy("game_id").format(fmt)
     if fmt == "csv":
         # A cleaned table may hold quotes and line ends inside the text.
         writer = writer.options(header=True, quote='"', escape='"')
