@@ -1,7 +1,8 @@
 """Exact k-nearest-neighbour vote inside each game, without comparing all pairs.
 
 Equal feature vectors share their neighbours, so only distinct vectors are searched, each carrying
-its first k rows.  A big game is cut into cells around pivot vectors (about sqrt(m) pivots drawn by
+its first k rows.  A game of up to ONE_CELL distinct vectors compares them all, its queries shared out over
+tasks.  A bigger game is cut into cells around pivot vectors (about sqrt(m) pivots drawn by
 hash from its m distinct vectors, so cells follow the density and hold about sqrt(m) each).  A vector
 first finds k neighbours in its own cell; with that distance as bound it visits only the cells that
 could hold something nearer:
@@ -26,7 +27,8 @@ from reviewscope.operators import grouping
 from reviewscope.session import shared_dir
 
 GAME = "game_id"
-ONE_CELL = 4096  # distinct vectors up to which a game is a single cell
+ONE_CELL = 32_768  # distinct vectors up to which a game is a single cell: comparing all is cheaper
+SHARE = 4096  # vectors of a one-cell game that are searched in one task
 CHUNK = 50_000  # vectors compared with a game's pivots in one task
 TURN = 10_000_000  # vectors of a game that visit a cell in the same task
 DIGITS = 9  # distances equal to this many digits are ties, broken by review_id
@@ -118,6 +120,16 @@ def _at_home(k: int):
     return run
 
 
+def _in_one_cell(k: int):
+    def run(key: tuple, asked: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        columns = ["game_id", "vec_id", "dist", "review_id", "label"]
+        if not len(asked):
+            return pd.DataFrame([], columns=columns)
+        return _nearest(asked, points, k, None).assign(game_id=key[0])[columns]
+
+    return run
+
+
 def _visits(key: tuple, queries: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
     """The other cells each query of a chunk has to look into."""
     columns = ["game_id", "cell", "vec_id", "f", "bound"]
@@ -181,8 +193,15 @@ def vector_votes(vectors: DataFrame, k: int, one_cell: int = ONE_CELL) -> DataFr
     sizes = vectors.groupBy(GAME).agg(F.count("*").alias("m"), F.min("vec_id").alias("opening"))
     sized = grouping.join_small(vectors, sizes, [GAME])
     big = F.col("m") > one_cell
-    small = sized.filter(~big).select(*vectors.columns, F.lit(0).cast("long").alias("cell"))
-    found = small.groupBy(GAME, "cell").applyInPandas(_at_home(k), FOUND)
+    small = sized.filter(~big).withColumn("shares", F.ceil(F.col("m") / SHARE))
+    asked = small.select(*vectors.columns, F.pmod(F.hash("vec_id"), F.col("shares")).alias("share"))
+    each_share = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share")
+    by_share = [GAME, "share"]
+    found = (
+        asked.groupBy(*by_share)
+        .cogroup(_renewed(small.select(*vectors.columns, each_share)).groupBy(*by_share))
+        .applyInPandas(_in_one_cell(k), FOUND)
+    )
     if sizes.filter(big).isEmpty():
         return _share(found)
 
