@@ -53,7 +53,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _slabs(n: int, width: int) -> Iterator[slice]:
-    size = max(1, 4_000_000 // max(width, 1))
+    size = max(1, 1_000_000 // max(width, 1))
     for i in range(0, n, size):
         yield slice(i, i + size)
 
@@ -69,14 +69,22 @@ def _nearest(queries: pd.DataFrame, points: pd.DataFrame, k: int, limit: np.ndar
     places = _matrix(points["f"])[[r[2] for r in rows]]
     asked, vec = _matrix(queries["f"]), queries["vec_id"].to_numpy()
     out = []
+    point_norms = (places * places).sum(axis=1)
+    reach = 1e-14 * point_norms.max() if len(ids) else 0.0
     for part in _slabs(len(asked), len(ids)):
-        dist = np.round(_distances(asked[part], places), DIGITS)
-        kth = np.partition(dist, k - 1, axis=1)[:, k - 1] if len(ids) > k else dist.max(axis=1)
+        own = asked[part]
+        norms = (own * own).sum(axis=1)
+        # Squared distances by matrix product: fast, and off by no more than `slack`.
+        rough = norms[:, None] + point_norms[None, :] - 2.0 * (own @ places.T)
+        slack = 1e-14 * norms + reach
+        kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(ids) > k else rough.max(axis=1)
+        kth = np.sqrt(np.maximum(kth, 0.0) + slack)
         if limit is not None:
-            kth = np.minimum(kth, limit[part] + SLACK)
+            kth = np.minimum(kth, limit[part])
         # Rows come out in the order of the queries, columns in the order of review_id.
-        q, c = np.nonzero(dist <= kth[:, None])
-        near = dist[q, c]
+        q, c = np.nonzero(rough <= ((kth + SLACK) ** 2 + slack)[:, None])
+        step = own[q] - places[c]
+        near = np.round(np.sqrt((step * step).sum(axis=1)), DIGITS)
         order = np.lexsort((c, near, q))
         q, c, near = q[order], c[order], near[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
