@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from reviewscope.config import CREDIBILITY, CredibilityThresholds
 from reviewscope.operators import grouping
-from reviewscope.session import shared_dir
+from reviewscope.session import stored
 
 GAME = "game_id"
 ONE_CELL = 32_768  # distinct vectors up to which a game is a single cell: comparing all is cheaper
@@ -228,9 +228,9 @@ def vector_votes(vectors: DataFrame, k: int, one_cell: int = ONE_CELL) -> DataFr
         .cogroup(_renewed(pivots.select(GAME, "pivot", "pf", spread)).groupBy(*by_chunk))
         .applyInPandas(_place, PLACED)
     )
-    placed = placed.checkpoint()
+    placed = stored(placed, "placed")
     home = placed.groupBy(GAME, "cell").applyInPandas(_at_home(k), FOUND)
-    home = home.checkpoint()
+    home = stored(home, "home")
     bounds = home.groupBy(GAME, "vec_id").agg(F.max("dist").alias("kth"), F.count("*").alias("n"))
     far = F.lit(float("inf"))
     queries = placed.join(bounds, [GAME, "vec_id"]).select(
@@ -289,9 +289,8 @@ def knn_relabel(
     """
     rows = flagged.groupBy(GAME).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > t.gate_rows)
     open_games = grouping.join_small(flagged, rows, [GAME], "left_semi")
-    shared_dir(flagged.sparkSession)
     # Written once: the rules behind the labels are costly and several steps read the vectors.
-    vectors = distinct_vectors(open_games, k, label).checkpoint()
+    vectors = stored(distinct_vectors(open_games, k, label), "vectors")
     votes = vector_votes(vectors, k, one_cell)
     by_vector = vectors.select(GAME, "vec_id", F.col("f").alias("features")).join(votes, [GAME, "vec_id"])
     verdict = by_vector.filter("vote > 0.5").select(GAME, "features", F.lit(True).alias("knn_fake"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from reviewscope.config import ASPECT_SEEDS, CUTS, FALLBACK_KEYWORDS, SentimentCuts
 from reviewscope.operators import features, grouping
 from reviewscope.operators.sentiment import Scorer, score_sentiment
-from reviewscope.session import shared_dir
+from reviewscope.session import shared_dir, stored
 
 GAME = "game_id"
 BLOCK_ROWS = 2000
@@ -226,7 +226,7 @@ def factorise(
     """
     spark = counts.sparkSession
     shared_dir(spark)
-    vocab = vocab.checkpoint()
+    vocab = stored(vocab, "vocabulary")
     weights = features.tfidf(counts, vocab)
     seeded = vocab.filter(F.col("term").isin(*seeds)) if seeds else vocab.limit(0)
     sizes = vocab.groupBy(GAME).agg(
@@ -237,11 +237,11 @@ def factorise(
     )
     blocks = int(sizes.agg(F.sum("blocks")).first()[0] or 0)
     tasks = max(min(blocks, spark.sparkContext.defaultParallelism), math.ceil(blocks / BLOCKS_PER_TASK), 1)
-    packed = _blocks(weights, k, w_scale, seed, sizes, tasks).checkpoint()
+    packed = stored(_blocks(weights, k, w_scale, seed, sizes, tasks), "blocks")
 
     small = sizes.filter("blocks = 1").select(GAME, "terms", "seeds")
     alone = grouping.join_small(packed, small, [GAME]).drop("block")
-    fitted = alone.mapInPandas(_fit_alone(k, start, max_iter, tol, top_n), FITTED).checkpoint()
+    fitted = stored(alone.mapInPandas(_fit_alone(k, start, max_iter, tol, top_n), FITTED), "fitted")
     tops = fitted.select(GAME, F.inline("tops"))
     states = [fitted.select(GAME, "ids", "w")]
 

@@ -23,7 +23,7 @@ from reviewscope.operators import (
     topics,
 )
 from reviewscope.operators.sentiment import Scorer
-from reviewscope.session import scratch_path
+from reviewscope.session import stored
 from reviewscope.sources import writers
 
 log = logging.getLogger(__name__)
@@ -63,8 +63,9 @@ class Analysis(NamedTuple):
 
 def _stored(df: DataFrame, config: RunConfig, name: str) -> DataFrame:
     """Write once, read many: later steps start from the table, not from the sources."""
-    base = config.output
-    path = f"{base.rstrip('/')}/{name}" if base else scratch_path(df.sparkSession, name)
+    if not config.output:
+        return stored(df, name)
+    path = f"{config.output.rstrip('/')}/{name}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
