@@ -6,10 +6,13 @@ A query applies its operator, with production parameters, to its whole table.
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reviewscope.llm import exact_dedup, mixing
+from reviewscope.llm import exact_dedup, language, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -102,3 +105,30 @@ window same as (partition by coalesce(text, ''))
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, size and verdict of every document; equal texts are one class."""
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------------------ 7: packing
+def tokenizer_text() -> str:
+    """The tokenizer of the packing query, as its file's text."""
+    return Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+
+
+@query("op7_pack_documents")
+def op7_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every token of every document lies in the packed sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_text())
+
+
+# ---------------------------------------------------------------------------- 5: language ID
+def held_out(key: Column, parts: int, part: int) -> Column:
+    """Is the row in the held-out part, by crc32 of the key as text? A null key is not."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+@query("op5_identify_language")
+def op5_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    found = language.predict(docs, language.fit(docs.filter(~out)), carry=["doc_id"])
+    return found.select("row.doc_id", "lang_pred", "score").withColumn("held_out", out).select("doc_id", "held_out", "lang_pred", "score")
