@@ -75,6 +75,8 @@ def plan(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.
         .withColumn("left", F.greatest(F.col("target") - F.col("whole") * F.col("words"), F.lit(0.0)))
         .withColumn("slices", F.ceil(F.col("docs") / F.lit(slice_docs)))
     )
+    # One row per source, written: Spark then knows its size, and does not deal out all documents by source to meet it.
+    per = stored(per, "mixing-sources")
     ranked = matched(sizes, per, "slices", "odds", "left").withColumn("slice", F.floor(F.col("u") * F.col("slices")))
     upto = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     filled = (
@@ -86,6 +88,7 @@ def plan(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.
     last = filled.filter((F.col("before") < F.col("left")) & (F.col("held") > 0)).groupBy("source").agg(
         F.max_by(F.struct("slice", "before"), "before").alias("cut")
     )
+    last = stored(last, "mixing-edges")
     at_cut = matched(ranked, last, "cut").filter(F.col("slice") == F.col("cut.slice")).withColumn("rank", rank(F.col("u"), F.col("odds")))
     along = W.partitionBy("source").orderBy("rank")
     taken = at_cut.withColumn(
@@ -100,7 +103,7 @@ def plan(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.
     joined = matched(matched(per, edges, "edge", how="left"), reached, "reached", how="left")
     below = rank(F.col("edge") / F.col("slices"), F.col("odds"))
     cut = F.when(F.col("p") <= 0, F.lit(-1.0)).otherwise(F.coalesce(F.col("reached"), below, F.lit(-1.0)))
-    return joined.select("source", "words", "target", "whole", "odds", cut.alias("cut"))
+    return stored(joined.select("source", "words", "target", "whole", "odds", cut.alias("cut")), "mixing-plan")
 
 
 def rank(u: Column, odds: Column) -> Column:
