@@ -43,27 +43,31 @@ def keyed(docs: DataFrame, key: str, text: str, digest, salts: int, *more: Colum
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256, salts: int = SALTS) -> DataFrame:
     """For every row: key, keep_id, group_size, kept, text_sha256.
 
-    Rows find their class by digest, a second hash and the length. Should two different texts ever agree in all
-    three, the job stops with an error instead of merging them.
+    Rows find their class by digest. Should two different texts ever share one, the job stops with an error instead
+    of merging them.
     """
     rows = keyed(docs, key, text, digest, salts)
-    second = F.xxhash64("_text")
+    second = F.xxhash64("_text").alias("_second")
     found = (
         combine(rows, F.col("_key"))
-        .select("_digest", second.alias("_second"), F.length("_text").alias("_length"), "_winner", "_n")
-        .groupBy("_digest", "_second", "_length")
-        .agg(F.max("_winner").alias("_winner"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_texts"))
+        .select("_digest", second, "_winner", "_n")
+        .groupBy("_digest")
+        .agg(
+            F.max("_second").alias("_second"),
+            F.max("_winner").alias("_winner"),
+            F.sum("_n").alias("_n"),
+            F.count(F.lit(1)).alias("_texts"),
+        )
         .withColumn(
             "_n",
             F.when(F.col("_texts") == 1, F.col("_n")).otherwise(
-                F.raise_error(F.lit("different texts share digest, second hash and length")).cast("bigint")
+                F.raise_error(F.lit("different texts share a digest")).cast("bigint")
             ),
         )
     )
-    own = rows.select(
-        "_key", "_digest", second.alias("_second"), F.length("_text").alias("_length"), sha256(F.col("_text")).alias("text_sha256")
-    )
-    return own.join(found, ["_digest", "_second", "_length"]).select(
+    own = rows.select("_key", "_digest", second, sha256(F.col("_text")).alias("text_sha256"))
+    # Both sides are dealt anew by these two columns, so that AQE may split the rows of a hot text.
+    return own.join(found, ["_digest", "_second"]).select(
         F.col("_key").alias(key),
         F.col("_winner").alias("keep_id"),
         F.col("_n").alias("group_size"),
