@@ -29,6 +29,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewscope.llm.words import slices
+
 SAMPLE_BYTES = 49_152
 SAMPLE_TEXTS = 512
 BLOCK = 256
@@ -209,24 +211,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
         if "identify" not in at_worker:
             at_worker["identify"] = Identifier(at_worker["model"])
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1, WALK_BYTES):
                 lang, score = at_worker["identify"](part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
     return kept.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, size: int = WALK_BYTES):
-    """Parts of a batch with about `size` bytes of text each; one text may be longer."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(batch):
-        done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of `docs` whose language could be told, with their own columns."""
     return predict(docs, model, text).filter(F.col("lang_pred") != UNKNOWN).select("row.*")

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewscope.llm import exact_dedup, language, mixing, packing
+from reviewscope.llm import exact_dedup, language, minhash, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -132,3 +132,10 @@ def op5_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 4, 2)
     found = language.predict(docs, language.fit(docs.filter(~out)), carry=["doc_id"])
     return found.select("row.doc_id", "lang_pred", "score").withColumn("held_out", out).select("doc_id", "held_out", "lang_pred", "score")
+
+
+# -------------------------------------------------------------------- 10: MinHash near-dedup
+@query("op10_minhash_dedup")
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document, on sets of four-word shingles."""
+    return minhash.classes(table(spark, sf_dir, "documents"), width=4)
