@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewscope.llm import exact_dedup, language, minhash, mixing, packing
+from reviewscope.llm import exact_dedup, language, minhash, mixing, packing, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -139,3 +139,10 @@ def op5_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document, on sets of four-word shingles."""
     return minhash.classes(table(spark, sf_dir, "documents"), width=4)
+
+
+# ---------------------------------------------------------------- 2: embedding near-dedup
+@query("op2_near_vectors")
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.95."""
+    return vectors.classes(table(spark, sf_dir, "embeddings"))
