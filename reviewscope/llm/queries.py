@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewscope.llm import exact_dedup, language, minhash, mixing, packing, vectors
+from reviewscope.llm import exact_dedup, language, minhash, mixing, packing, ppm, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -146,3 +146,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector at cosine 0.95."""
     return vectors.classes(table(spark, sf_dir, "embeddings"))
+
+
+# ------------------------------------------------------------------------------ 4: LM scoring
+@query("op4_score_documents")
+def op4_score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM and word model scores of every document, learned from those that are not held out."""
+    return ppm.score(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10, 0))
