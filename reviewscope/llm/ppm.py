@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from reviewscope.llm.words import _LOWER, _SPACE, Powers, hashed_words, raw_bytes, slices
 from reviewscope.session import stored
 
-ORDER = 4
+ORDER = 5
 NODES = 1 << 21
 WORDS = 1 << 20
 END = 0xFF
@@ -329,7 +329,7 @@ def score(
                     pa.array(offsets),
                     pa.StructArray.from_arrays([pa.array(other[start].view(np.int64)), pa.array(times.astype(np.int64))], names=["word", "times"]),
                 )
-                columns = [np.arange(row, row + size), sizes + 1, often.astype(np.int64), base, scores]
+                columns = [np.arange(row, row + size), sizes + 1, often.astype(np.int64), base.astype(np.float64), scores.astype(np.float64)]
                 row += size
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, columns), rare], names=schema.names)
 
