@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewscope.llm import exact_dedup, language, minhash, mixing, packing, ppm, vectors
+from reviewscope.llm import credentials, exact_dedup, language, minhash, mixing, packing, ppm, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -153,3 +153,53 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PPM and word model scores of every document, learned from those that are not held out."""
     return ppm.score(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10, 0))
+
+
+# --------------------------------------------------------------------------- 1: secret scan
+def spans_sql(kind: credentials.Kind) -> str:
+    """The spans of a kind in DuckDB; `text` is the text."""
+    pattern = kind.pattern.replace("'", "''")
+    hint = credentials.HINTS[kind.name].replace("'", "''")
+    fits = " and ".join(f"regexp_matches(j[i], '{n}')" for n in kind.needs) or "true"
+    return f"""
+  select doc_id, {credentials.KINDS.index(kind)} as place, '{kind.name}' as kind,
+    unnest([{{'start': s[i], 'end': s[i] + length(m[i])}} for i in range(1, len(m) + 1) if {fits}], recursive := true)
+  from (
+    select *, [list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i-1]]), 0) for i in range(1, len(m) + 1)] as s
+    from (
+      select doc_id, regexp_extract_all(text, '{pattern}', 0) as m, regexp_extract_all(text, '{pattern}', {kind.group}) as j,
+        string_split_regex(text, '{pattern}') as g
+      from texts where regexp_matches(text, '{hint}')
+    )
+  )"""
+
+
+OP1_SQL = f"""
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+parts as ({" union all ".join(map(spans_sql, credentials.KINDS))}),
+roles as (select *, ['secret', 'id', 'secret', 'id', 'secret', 'endpoint'][place + 1] as role from parts),
+near as (
+  select *, max(role = 'secret') over reach as near_secret, max(role = 'id') over reach as near_id
+  from roles window reach as (partition by doc_id order by start range between {credentials.SCOPE} preceding and {credentials.SCOPE} following)
+),
+reported as (
+  select *, case when place < 3 then true when role = 'secret' then near_id else near_secret end as said from near
+),
+lists as (
+  select doc_id, count(*) filter (place = 0) as n_assign, count(*) filter (place = 1) as n_access, count(*) filter (place = 2) as n_hex,
+    coalesce(string_agg(kind || ':' || start || ':' || "end", ',' order by start, place) filter (place < 3), '') as base,
+    coalesce(string_agg(kind || ':' || start || ':' || "end", ',' order by start, place) filter (said), '') as spans,
+    count(*) filter (place >= 3 and said) as n_linked
+  from reported group by doc_id
+)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_linked, 0) as n_linked
+from documents d left join lists l on d.doc_id = l.doc_id
+"""
+
+
+@query("op1_scan_secrets", OP1_SQL)
+def op1_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, and the weak parts that belong to them."""
+    found = credentials.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_linked")
