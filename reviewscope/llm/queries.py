@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewscope.llm import credentials, exact_dedup, language, minhash, mixing, packing, ppm, vectors
+from reviewscope.llm import credentials, exact_dedup, language, minhash, mixing, packing, ppm, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -203,3 +203,20 @@ def op1_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, and the weak parts that belong to them."""
     found = credentials.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_linked")
+
+
+# ---------------------------------------------------------------------------------- 6: WARC
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+h as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest from p),
+f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first from h)
+select page_id, payload_bytes, payload_digest, case when first = page_id then 'response' else 'revisit' end as record_type,
+  case when first <> page_id then first end as refers_to
+from f
+"""
+
+
+@query("op6_warc_round_trip", OP6_SQL)
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is found in the archives that were written from the table."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
