@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewscope.llm import credentials, exact_dedup, language, minhash, mixing, packing, ppm, vectors, warc
+from reviewscope.llm import credentials, exact_dedup, language, minhash, mixing, packing, ppm, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -220,3 +220,12 @@ from f
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it is found in the archives that were written from the table."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+# ------------------------------------------------------------------------------ 3: toxicity
+@query("op3_score_toxicity")
+def op3_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, learned from the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    return toxicity.score(docs, toxicity.fit(labelled))
