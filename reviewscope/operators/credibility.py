@@ -180,12 +180,13 @@ def credibility_rules(df: DataFrame, scope: str = "author", t: CredibilityThresh
     """Add rule1..rule9 and their OR as is_fake."""
     facts, _ = grouping.measured(game_facts(df, t))
     df = df.join(facts, [GAME], "left")
-    df = df.withColumns(row_rules(t))
+    # A rule that cannot be decided, for a missing value, does not flag.
+    df = df.withColumns({name: F.coalesce(rule, F.lit(False)) for name, rule in row_rules(t).items()})
     cut = (F.col("num_reviews") > F.col("cut5")) & (F.col("votes_up") == 0)
     df = df.withColumns(
         {
             "rule5": F.coalesce(cut, F.lit(False)),
-            "rule9": (F.col("game_rows") > t.gate_rows) & rule9(t),
+            "rule9": F.coalesce((F.col("game_rows") > t.gate_rows) & rule9(t), F.lit(False)),
         }
     )
     df = with_rule8(df, t)
@@ -204,12 +205,10 @@ def flag_rates(flagged: DataFrame) -> DataFrame:
 
 
 def split_reviews(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(credible, fake) without the rule columns."""
+    """(credible, fake) without the rule columns; every row is in one of them, a null flag counts as credible."""
     plain = flagged.drop(*[r for r in RULES if r in flagged.columns])
-    return (
-        plain.filter(~F.col("is_fake")).drop("is_fake"),
-        plain.filter("is_fake").drop("is_fake"),
-    )
+    fake = F.coalesce("is_fake", F.lit(False))
+    return plain.filter(~fake).drop("is_fake"), plain.filter(fake).drop("is_fake")
 
 
 def knn_features(df: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS, categories: Sequence[str] | None = None) -> DataFrame:

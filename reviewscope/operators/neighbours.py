@@ -30,7 +30,7 @@ GAME = "game_id"
 ONE_CELL = 32_768  # distinct vectors up to which a game is a single cell: comparing all is cheaper
 SHARE = 4096  # vectors of a one-cell game that are searched in one task
 CHUNK = 50_000  # vectors compared with a game's pivots in one task
-TURN = 10_000_000  # vectors of a game that visit a cell in the same task
+TURN = 50_000  # vectors of a game that visit a cell in the same task
 DIGITS = 9  # distances equal to this many digits are ties, broken by review_id
 SLACK = 1e-8
 
@@ -186,9 +186,8 @@ def _abroad(k: int):
     return run
 
 
-def distinct_vectors(df: DataFrame, k: int, label: str) -> DataFrame:
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     """One row per game and feature vector with its first k rows; vec_id is the first row's id."""
-    rows = df.select(GAME, F.col("features").alias("f"), "review_id", F.col(label).alias("label"))
     first = grouping.first_n(rows, [GAME, "f"], [F.col("review_id")], k)
     return first.groupBy(GAME, "f").agg(
         F.min("review_id").alias("vec_id"),
@@ -287,14 +286,18 @@ def knn_relabel(
 
     Needs `features` on the rows.
     """
-    rows = flagged.groupBy(GAME).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > t.gate_rows)
-    open_games = grouping.join_small(flagged, rows, [GAME], "left_semi")
+    large = flagged.groupBy(GAME).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > t.gate_rows)
+    open_games = grouping.join_small(flagged, large, [GAME], "left_semi")
     # Written once: the rules behind the labels are costly and several steps read the vectors.
-    vectors = stored(distinct_vectors(open_games, k, label), "vectors")
+    rows = stored(open_games.select(GAME, "review_id", F.col("features").alias("f"), F.col(label).alias("label")), "vector-rows")
+    vectors = stored(distinct_vectors(rows, k), "vectors")
+    # Rows and vectors come from one written table, so their features are the same bits.
+    members = rows.join(vectors.select(GAME, "f", "vec_id"), [GAME, "f"]).select(GAME, "review_id", "vec_id")
     votes = vector_votes(vectors, k, one_cell)
-    by_vector = vectors.select(GAME, "vec_id", F.col("f").alias("features")).join(votes, [GAME, "vec_id"])
-    verdict = by_vector.filter("vote > 0.5").select(GAME, "features", F.lit(True).alias("knn_fake"))
-    joined = grouping.join_small(flagged, verdict, [GAME, "features"], "left")
+    # Back to the rows by id: computed doubles may differ in the last bit from one computation to the next.
+    fake = votes.filter("vote > 0.5").select(GAME, "vec_id", F.lit(True).alias("knn_fake"))
+    verdict = members.join(fake, [GAME, "vec_id"]).select(GAME, "review_id", "knn_fake").distinct()
+    joined = flagged.join(verdict, [GAME, "review_id"], "left")
     return joined.withColumn("knn_fake", F.coalesce("knn_fake", F.lit(False))).withColumn(
         label, F.col(label) | F.col("knn_fake")
     )

@@ -97,13 +97,16 @@ def run_review_pipeline(df: DataFrame, config: RunConfig = RunConfig()) -> Revie
     )
 
 
-def _attempt(name: str, step: Callable[[], DataFrame]) -> DataFrame | None:
-    """A failed part leaves the rest of the run standing."""
+def _attempt(name: str, step: Callable[[], DataFrame], parts: dict[str, str]) -> DataFrame | None:
+    """A failed part leaves the rest of the run standing; `parts` says what became of it."""
     try:
-        return step()
-    except Exception:
+        found = step()
+    except Exception as error:
         log.exception("%s failed", name)
+        parts[name] = f"failed: {type(error).__name__}: {str(error).splitlines()[0][:300] if str(error) else ''}"
         return None
+    parts[name] = "complete"
+    return found
 
 
 def predict_emotions(df: DataFrame, config: RunConfig) -> DataFrame:
@@ -128,11 +131,12 @@ def run_full_analysis(df: DataFrame, config: RunConfig = RunConfig()) -> Analysi
         rows = credible.join(found.weights, [GAME, "review_id"])
         return _stored(topics.topic_sentiment(rows, found.topics, config.scorer), config, "topics")
 
-    by_aspect = _attempt("aspects", aspect_part)
-    by_topic = _attempt("topics", topic_part) if config.run_nmf else None
+    parts = {"aspects": "not asked for", "topics": "not asked for", "emotions": "not asked for"}
+    by_aspect = _attempt("aspects", aspect_part, parts)
+    by_topic = _attempt("topics", topic_part, parts) if config.run_nmf else None
     predicted = None
     if config.emotion_models is not None:
-        predicted = _attempt("emotions", lambda: predict_emotions(credible, config))
+        predicted = _attempt("emotions", lambda: predict_emotions(credible, config), parts)
     results = writers.results_document(
         review.state,
         None if by_aspect is None else aspects.absa_summary(by_aspect, by_topic),
@@ -140,6 +144,7 @@ def run_full_analysis(df: DataFrame, config: RunConfig = RunConfig()) -> Analysi
         None if predicted is None else emotions.emotion_distribution(predicted),
         None if predicted is None else emotions.confidence_by_emotion(predicted),
         config.settings,
+        parts,
     )
     if config.output:
         writers.write_results_json(results, f"{config.output.rstrip('/')}/results")

@@ -16,7 +16,7 @@ def local_session(cores: int | str = "*", app: str = "reviewscope", **conf) -> S
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
@@ -32,12 +32,16 @@ def local_session(cores: int | str = "*", app: str = "reviewscope", **conf) -> S
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only where nothing is configured (tests on one machine) a fresh folder is made.
+    Only where nothing is configured and the master is local (tests on one machine) a fresh folder is made: on a
+    cluster every executor would write to a disk of its own.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="reviewscope-")
         spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():

@@ -56,6 +56,14 @@ def test_row_rule_edges(spark):
         assert got[i][rule] is want, EDGES[i]
 
 
+def test_missing_values_lose_no_row(spark):
+    odd = [{c: None} for c in NUMERIC_COLUMNS] + [{"author_id": None}, {"timestamp_created": None}, {c: None for c in NUMERIC_COLUMNS}]
+    flagged = cred.credibility_rules(frame(spark, [*odd, {}]))
+    assert flagged.filter(" or ".join(f"{r} is null" for r in (*cred.RULES, "is_fake"))).count() == 0
+    credible, fake = cred.split_reviews(flagged.withColumn("is_fake", F.when(F.col("review_id") != 3, F.col("is_fake"))))
+    assert credible.count() + fake.count() == len(odd) + 1
+
+
 @pytest.mark.parametrize("seconds,hit", [(0, False), (1, True), (299, True), (300, False)])
 def test_rapid_fire_gap(spark, seconds, hit):
     rows = [dict(author_id="x", timestamp_created=START), dict(author_id="x", timestamp_created=START + timedelta(seconds=seconds))]

@@ -5,7 +5,7 @@ from querybook.base import reviews_meta
 from querybook.inputs import review_pages
 from reviewscope.operators import catalog, models
 from reviewscope.plans import jobs
-from reviewscope.session import scratch_path
+from reviewscope.session import scratch_path, shared_dir
 from reviewscope.sources import pages, readers, writers
 from reviewscope.streaming import ingest
 
@@ -68,6 +68,35 @@ def test_runs_keep_the_previous_one(spark):
     assert writers.latest_run(spark, path) == new and spark.read.parquet(old).count() == 4
 
 
+def test_only_completed_runs_count_and_the_last_one_wins(spark):
+    path = scratch_path(spark, "runs")
+    df = spark.range(4).withColumn("game_id", F.lit("g"))
+    writers.write_reviews(df, path, "20240103")
+    failing = df.withColumn("x", F.when(F.col("id") == 2, F.raise_error(F.lit("lost"))))
+    with pytest.raises(Exception, match="lost"):
+        writers.write_reviews(failing, path, "20240104")
+    assert writers.latest_run(spark, path).endswith("20240103")
+    writers.write_reviews(df, path, "current", keep_backup=False)
+    assert writers.latest_run(spark, path).endswith("current")
+    writers.write_reviews(df, path, "20240105")
+    assert writers.latest_run(spark, path).endswith("20240105")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_resolve_short_and_unknown_inputs(spark):
     games = spark.createDataFrame([(1, "Ab Cd"), (2, "abc"), (30, "zz 9")], "id long, name string")
     asked = spark.createDataFrame([("b",), ("AB",), ("30",), ("31",), ("d",), ("q",), ("",)], "input string")
@@ -83,6 +112,8 @@ def test_a_failed_part_leaves_the_rest(spark):
     config = jobs.RunConfig(use_knn=False, keywords={"x": ["k"]}, emotion_models=broken, run_nmf=False)
     done = jobs.run_full_analysis(df, config)
     assert done.predictions is None and done.results.count() == 5
+    parts = done.results.first()["parts"]
+    assert parts["emotions"].startswith("failed: RuntimeError: no model") and parts["topics"] == "not asked for"
     kept = done.review.state.agg(F.sum("credible") + F.sum("fake"), F.sum("raw")).first()
     assert kept[0] == kept[1] == 1000
 
