@@ -73,88 +73,66 @@ def group_mode(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Data
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    bins: int = 4096,
-    levels: int = 1,
-) -> DataFrame:
+CELLS = 256  # per octave of the values
+FINE = 1 << 16  # per cell
+
+
+def _order_cells(v: Column) -> tuple[Column, Column]:
+    """(cell, fine): whole numbers that order values as the values are ordered, from the value alone.
+
+    Cells are even steps of its logarithm, so data over any number of magnitudes spread over them; the fine number
+    tells apart values that agree in about five digits.
+    """
+    place = F.log2(F.abs(v)) * CELLS
+    step = F.floor(place)
+    within = F.least(F.floor((place - step) * FINE), F.lit(FINE - 1))
+    positive = step + 2048 * CELLS
+    return (
+        F.when(v == 0, F.lit(0)).when(v > 0, positive).otherwise(-positive).cast("long"),
+        F.when(v == 0, F.lit(0)).when(v > 0, within).otherwise(FINE - 1 - within).cast("long"),
+    )
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact, linearly interpolated quantiles per group, one column per entry of `probs`.
 
-    No task ever holds a group: values are counted, the counts are laid in `bins` equal
-    slices of the group's range, and only the slice that holds a wanted rank is sorted.
-    Each further level re-slices the wanted slices between their own smallest and largest
-    value, for data spread over many orders of magnitude.
+    No task ever holds a group, and building the plan runs nothing: values are counted, the counts are summed up by
+    cells, then by the fine numbers of the wanted cells only, and only the values of one fine slice are sorted.
     """
     keys = list(keys)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("v"))
-        .agg(F.count("*").alias("c"))
-    )
-    bounds = counts.groupBy(*keys).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n")
-    )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), rank.alias("rank"))
-            for name, p in probs.items()
-            for side, rank in (
-                ("lo", F.floor(F.lit(p) * (F.col("n") - 1))),
-                ("hi", F.ceil(F.lit(p) * (F.col("n") - 1))),
-            )
-        ]
-    )
-    # Quantiles may share a rank: look every distinct rank up once.
-    ranks = F.array_distinct(F.transform(wanted, lambda w: w["rank"]))
-    targets = bounds.select(
-        *keys, "lo", "hi", F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("below")
-    )
-    slots = [*keys, "rank"]
-    for _ in range(levels):
-        width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
-        cell = F.least(F.floor((F.col("v") - F.col("lo")) / width * bins), F.lit(bins - 1))
-        sliced = (
-            join_small(counts, targets, keys)
-            .filter(F.col("v").between(F.col("lo"), F.col("hi")))
-            .groupBy(*slots, "below", cell.alias("cell"))
-            .agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        )
-        w = Window.partitionBy(*slots).orderBy("cell")
-        upto = F.col("below") + F.sum("c").over(w)
-        targets = (
-            sliced.withColumn("upto", upto)
-            .withColumn("start", F.col("upto") - F.col("c"))
-            .filter((F.col("start") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
-            .select(*slots, "lo", "hi", F.col("start").alias("below"))
-        )
-    w = Window.partitionBy(*slots).orderBy("v")
-    found = (
-        join_small(counts, targets, keys)
-        .filter(F.col("v").between(F.col("lo"), F.col("hi")))
-        .withColumn("upto", F.col("below") + F.sum("c").over(w))
-        .filter((F.col("upto") - F.col("c") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
-        .select(*slots, "v")
-    )
-    asked = bounds.select(*keys, "n", F.explode(wanted).alias("w")).select(
-        *keys, "n", "w.name", "w.side", "w.rank"
-    )
-    hits = asked.join(found, slots).groupBy(*keys, "n")
-    parts = hits.agg(
-        *[
-            F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("v"))).alias(
-                f"__{name}_{side}"
-            )
-            for name in probs
-            for side in ("lo", "hi")
-        ]
+    v = F.col(value).cast("double")
+    counts = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("v")).agg(F.count("*").alias("c"))
+    cell, fine = _order_cells(F.col("v"))
+    counts = counts.withColumns({"cell": cell, "fine": fine})
+
+    def ranks(n: Column) -> dict[str, tuple[Column, Column]]:
+        return {name: (F.floor(F.lit(p) * (n - 1)), F.ceil(F.lit(p) * (n - 1))) for name, p in probs.items()}
+
+    group = Window.partitionBy(*keys)
+    cells = counts.groupBy(*keys, "cell").agg(F.sum("c").alias("c"))
+    cells = cells.withColumns({"n": F.sum("c").over(group), "upto": F.sum("c").over(group.orderBy("cell"))})
+    wanted = F.array_distinct(F.array(*[r for pair in ranks(F.col("n")).values() for r in pair]))
+    here = F.filter(wanted, lambda r: (F.col("upto") - F.col("c") <= r) & (r < F.col("upto")))
+    asked = cells.select(*keys, "cell", "n", (F.col("upto") - F.col("c")).alias("below"), F.explode(here).alias("rank"))
+
+    def narrowed(asked: DataFrame, on: list[str], order: str, *keep: str) -> DataFrame:
+        """The slices (or values) along `order` that hold each rank."""
+        slot = [*keys, "rank", "n"]
+        sums = counts.join(asked, [*keys, *on]).groupBy(*slot, "below", *on, order).agg(F.sum("c").alias("c"))
+        upto = F.col("below") + F.sum("c").over(Window.partitionBy(*slot).orderBy(order))
+        found = sums.withColumn("upto", upto).filter((F.col("upto") - F.col("c") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+        return found.select(*slot, *keep, (F.col("upto") - F.col("c")).alias("below"))
+
+    slices = narrowed(asked, ["cell"], "fine", "cell", "fine")
+    found = narrowed(slices, ["cell", "fine"], "v", "v")
+    at = ranks(F.col("n"))
+    parts = found.groupBy(*keys, "n").agg(
+        *[F.max(F.when(F.col("rank") == at[name][side], F.col("v"))).alias(f"__{name}_{side}") for name in probs for side in (0, 1)]
     )
     out = []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("n") - 1)
-        low, high = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
+        low, high = F.col(f"__{name}_0"), F.col(f"__{name}_1")
         out.append((low + (high - low) * (pos - F.floor(pos))).alias(name))
     return parts.select(*keys, *out)
 

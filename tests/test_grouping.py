@@ -14,15 +14,41 @@ def sample():
         "pair": np.array([1.0, 4.0]),
         "one": np.array([3.5]),
         "flat": np.full(50, 7.0),
+        "wide": np.concatenate([10.0 ** rng.uniform(-5, 5, 2000), -(10.0 ** rng.uniform(-5, 5, 500)), np.zeros(40)]),
+        "close": 1 + rng.uniform(0, 1e-9, 500),
     }
     return groups
 
 
-@pytest.mark.parametrize("levels,bins", [(1, 4096), (2, 16), (3, 4)])
-def test_exact_quantiles(spark, levels, bins):
+def jobs(spark, build):
+    """Jobs that start while a plan is built."""
+    context, name = spark.sparkContext, f"plan-{id(build)}"
+    context.setJobGroup(name, name)
+    build()
+    started = context.statusTracker().getJobIdsForGroup(name)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    return len(started)
+
+
+def test_quantiles_start_no_job_while_planned(spark):
+    df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("g"), F.col("id").cast("double").alias("v"))
+    assert jobs(spark, lambda: grouping.exact_quantiles(df, ["g"], "v", PROBS)) == 0
+
+
+def test_no_slice_of_a_heavy_tail_is_large(spark):
+    rng = np.random.default_rng(1)
+    values = 10.0 ** rng.uniform(-5, 5, 20000)
+    cell, fine = grouping._order_cells(F.col("v"))
+    sizes = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", cell.alias("cell"), fine.alias("fine"))
+    assert sizes.groupBy("cell").count().agg(F.max("count")).first()[0] < 20
+    ordered = sizes.orderBy("v").collect()
+    assert [r[1:] for r in ordered] == sorted(r[1:] for r in ordered)
+
+
+def test_exact_quantiles(spark):
     groups = sample()
     df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
-    got = grouping.exact_quantiles(df.repartition(7), ["g"], "v", PROBS, bins, levels).collect()
+    got = grouping.exact_quantiles(df.repartition(7), ["g"], "v", PROBS).collect()
     assert len(got) == len(groups)
     for row in got:
         for name, p in PROBS.items():
