@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from querybook.base import META_SQL, query, r6, reviews_meta
 from reviewscope.config import NUMERIC_COLUMNS
 from reviewscope.operators import credibility as cred
+from reviewscope.operators import neighbours
+from reviewscope.session import stored
 
 ROW_RULES = {
     "rule1": "playtime_forever < 10 and weighted_vote_score > 0.95 and votes_up = 0",
@@ -166,11 +168,15 @@ KNN_SQL = (
 )
 
 
-@query(
-    "knn_relabel",
-    f"with {KNN_SQL} select review_id, game_id, knn_fake, fake as is_fake from relabelled",
-)
-def _(spark, sf):
-    from reviewscope.operators import neighbours
-    rows = cred.knn_features(cred.credibility_rules(reviews_meta(spark, sf)))
-    return neighbours.knn_relabel(rows).select("review_id", "game_id", "knn_fake", "is_fake")
+def _relabel(name, **how):
+    @query(name, f"with {KNN_SQL} select review_id, game_id, knn_fake, fake as is_fake from relabelled")
+    def _(spark, sf):
+        # Written once, as the review run does: the rules are costly, and features and votes both start from them.
+        flagged = stored(cred.credibility_rules(reviews_meta(spark, sf)), "flagged")
+        rows = neighbours.knn_relabel(cred.knn_features(flagged), **how)
+        return rows.select("review_id", "game_id", "knn_fake", "is_fake")
+
+
+_relabel("knn_relabel")
+# The search over pivot cells, which large games take.
+_relabel("knn_relabel_cells", one_cell=20)

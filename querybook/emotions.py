@@ -9,10 +9,19 @@ from reviewscope.operators import emotions, ensemble
 MODELS = ("alpha", "beta", "gamma")
 
 
+def folded(i: str) -> str:
+    """All 64 entries of a vector laid over 24 places, so that the whole vector counts."""
+    return "(" + " + ".join(f"coalesce(double(get(embedding, {i} + {k})), 0D)" for k in (0, 24, 48)) + ")"
+
+
+def folded_sql(i: str) -> str:
+    return "(" + " + ".join(f"coalesce(embedding[{i} + {k}]::double, 0)" for k in (1, 25, 49)) + ")"
+
+
 def logits(spark, sf):
     z = {
         name: F.expr(
-            f"transform(sequence(0, 5), j -> 20D * (double(embedding[j]) + 0.35D * double(embedding[6 + 6 * {m} + j])))"
+            f"transform(sequence(0, 5), j -> 20D * ({folded('j')} + 0.35D * {folded(f'6 + 6 * {m} + j')}))"
         )
         for m, name in enumerate(MODELS)
     }
@@ -39,7 +48,7 @@ LONG_SQL = f"""
 names(j, name) as (values {LABELS}),
 z as (
   select vec_id as review_id, cast(label % 2 as varchar) as game_id, label % 6 as truth, m.m, n.j, n.name,
-    20 * (embedding[n.j + 1]::double + 0.35::double * embedding[6 + 6 * m.m + n.j + 1]::double) as z
+    20 * ({folded_sql('n.j')} + 0.35::double * {folded_sql('6 + 6 * m.m + n.j')}) as z
   from embeddings, range(3) m(m), names n),
 p as (select * exclude (z), exp(z - max(z) over w) / sum(exp(z - max_z)) over w as p
   from (select *, max(z) over (partition by review_id, m) as max_z from z) window w as (partition by review_id, m)),

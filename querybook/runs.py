@@ -79,9 +79,10 @@ def _(spark, sf):
 
 
 def written_reviews(spark, sf):
-    """Texts with the numbers of the event of the same id, and logits where there is a vector."""
-    meta = reviews_meta(spark, sf).drop("game_id", "review")
-    both = reviews_text(spark, sf).join(meta, "review_id")
+    """All events with the text of the same id, where there is one, all other texts, and logits where there is a vector."""
+    meta = reviews_meta(spark, sf).drop("review").withColumnRenamed("game_id", "event_game")
+    both = meta.join(reviews_text(spark, sf), "review_id", "full")
+    both = both.withColumn("game_id", F.coalesce("game_id", "event_game")).drop("event_game")
     return both.join(logits(spark, sf).drop("game_id", "truth"), "review_id", "left")
 
 

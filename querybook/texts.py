@@ -254,29 +254,30 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------------------- topics
-# A given factor table: the first ten entries of each vector, without signs.
+# A given factor table: the entries of each vector, without signs, dealt to ten topics; none for a document without a vector.
 def factors(spark, sf):
     from querybook.base import table
 
     docs = reviews_text(spark, sf)
-    w = table(spark, sf, "embeddings").selectExpr(
-        "vec_id as review_id", "transform(slice(embedding, 1, 10), x -> abs(double(x))) as weights"
-    )
-    return docs.join(w, "review_id")
+    w = table(spark, sf, "embeddings").selectExpr("vec_id as review_id", "embedding")
+    parts = " + ".join(f"coalesce(abs(double(get(embedding, t + {k}))), 0D)" for k in range(0, 70, 10))
+    weights = F.expr(f"transform(sequence(0, 9), t -> ({parts}) / 7D)")
+    return docs.join(w, "review_id", "left").withColumn("weights", weights).drop("embedding")
 
 
 def given_topics(spark, sf):
     """Words per topic from the vocabulary: topic t owns ranks t, t+10, t+20, ..."""
     vocab = features.vocabulary(counts(spark, sf), **features.FREE)
     words = vocab.withColumn("topic", F.concat(F.lit("topic_"), ((F.col("rank") - 1) % 10).cast("string")))
-    return words.filter("rank <= 100").groupBy("game_id", "topic").agg(
+    return words.groupBy("game_id", "topic").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("words")
     )
 
 
 DOMINANT_SQL = (
-    "f as (select d.game_id, d.review_id, list_transform(embedding[1:10], lambda x: abs(x::double)) as w "
-    "from reviews d join embeddings e on e.vec_id = d.review_id), "
+    "f as (select d.game_id, d.review_id, list_transform(range(10), lambda t: ("
+    + " + ".join(f"coalesce(abs(embedding[t + {k + 1}]::double), 0)" for k in range(0, 70, 10))
+    + ") / 7) as w from reviews d left join embeddings e on e.vec_id = d.review_id), "
     "best as (select game_id, review_id, list_max(w) as relevance, list_position(w, list_max(w)) - 1 as t from f), "
     "dominant as (select game_id, review_id, 'topic_' || t as topic, relevance from best where relevance > 0.1)"
 )
@@ -288,7 +289,7 @@ TOPIC_SQL = (
 )
 WORDS_SQL = vocab_sql(**features.FREE).removeprefix(TEXT_SQL + ", ") + (
     ", topicwords as (select game_id, 'topic_' || ((rank - 1) % 10) as topic, list(term order by rank) as words "
-    "from vocab where rank <= 100 group by all)"
+    "from vocab group by all)"
 )
 
 
