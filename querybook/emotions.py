@@ -409,6 +409,14 @@ def _(spark, sf):
     return emotions.emotion_report(predictions(spark, sf))
 
 
-@query("emotion_report_lines")
+LINES_SQL = (
+    "select game_id, section, position, item || ' = ' || "
+    "case when value = floor(value) then cast(cast(value as bigint) as varchar) else printf('%.3f', floor(value * 1000 + 0.5) / 1000) end || "
+    "case when section = '2 distribution' then printf(' %% of reviews; reviews = %d; mean confidence = %.3f', n, confidence) else '' end as line "
+    f"from ({REPORT_SQL}) where value is not null"
+)
+
+
+@query("emotion_report_lines", LINES_SQL)
 def _(spark, sf):
     return emotions.emotion_report_lines(emotions.emotion_report(predictions(spark, sf)))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from querybook.base import META_SQL, RAW_SQL, query, r6, reviews_meta, reviews_raw, table
-from querybook.emotions import WITH, predictions
+from querybook.emotions import LINES_SQL, WITH, predictions
 from querybook.texts import JUDGED_SQL, aspect_table
 from querybook.summaries import RETENTION_SQL, flagged
 from reviewscope.operators import aspects, emotions, summary
@@ -166,9 +166,9 @@ def _(spark, sf):
     return back.select("game_id", "data_summary.total_reviews", F.inline("aspect_sentiments"))
 
 
-@query("write_report")
+@query("write_report", f"select game_id, line from ({LINES_SQL})")
 def _(spark, sf):
     path = scratch_path(spark, "report")
     report = emotions.emotion_report(predictions(spark, sf))
     writers.write_report(emotions.emotion_report_lines(report), path)
-    return spark.read.text(path).select("game_id", F.col("value").alias("line"))
+    return spark.read.text(path).select(F.col("game_id").cast("string").alias("game_id"), F.col("value").alias("line"))

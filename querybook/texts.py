@@ -220,8 +220,7 @@ def _(spark, sf):
     return aspects.top_aspects(aspect_table(spark, sf))
 
 
-@query(
-    "aspect_report",
+ASPECT_REPORT_SQL = (
     f"with {JUDGED_SQL}, {EXAMPLES_SQL}, {SUMMARY_SQL}, "
     "q as (select game_id, aspect, string_agg('[' || label || '] ' || short, chr(10) order by rank) as q from examples where rank <= 3 group by all) "
     "select game_id, '1 aspects' as section, row_number() over (partition by game_id order by mentions desc, aspect) as position, aspect as item, "
@@ -239,14 +238,25 @@ def _(spark, sf):
             ),
             1,
         )
-    ),
+    )
 )
+
+
+@query("aspect_report", ASPECT_REPORT_SQL)
 def _(spark, sf):
     j = judged(spark, sf)
     return aspects.aspect_report(aspects.aspect_sentiment(j), aspects.aspect_examples(j))
 
 
-@query("aspect_report_lines")
+ASPECT_LINES_SQL = (
+    "select game_id, section, position, case when section = '3 summary' then concat_ws(': ', item, detail) else "
+    "printf('%s = %d mentions; positive %d, %.2f %%; negative %d, %.2f %%', upper(item), mentions, positive, positive_pct, negative, negative_pct) "
+    "|| case when detail <> '' then chr(10) || detail else '' end end as line "
+    f"from ({ASPECT_REPORT_SQL})"
+)
+
+
+@query("aspect_report_lines", ASPECT_LINES_SQL)
 def _(spark, sf):
     j = judged(spark, sf)
     report = aspects.aspect_report(aspects.aspect_sentiment(j), aspects.aspect_examples(j))

@@ -30,45 +30,61 @@ PENALTY_WEIGHT = 0.3
 # --- fixed values: aspect seed words -----------------------------------------------
 ASPECT_SEEDS = {
     "gameplay": (
-        "gameplay mechanics controls playing fun combat difficulty challenge progression "
-        "flow satisfying engaging addictive"
-    ).split(),
+        "gameplay", "mechanics", "controls", "playing", "fun", "combat", "difficulty", "challenge",
+        "progression", "flow", "satisfying", "engaging", "addictive",
+    ),
     "graphics": (
-        "graphics visuals art beautiful stunning style design textures animations lighting "
-        "detailed aesthetic"
-    ).split(),
+        "graphics", "visuals", "art", "beautiful", "stunning", "style", "design", "textures", "animations",
+        "lighting", "detailed", "aesthetic",
+    ),
     "performance": (
-        "performance fps lag smooth optimization crashes bugs stable loading technical issues"
-    ).split(),
+        "performance", "fps", "lag", "smooth", "optimization", "crashes", "bugs", "stable", "loading",
+        "technical", "issues",
+    ),
     "content": (
-        "story content length narrative replay variety depth characters plot ending quests"
-    ).split(),
-    "audio": "sound music audio voice soundtrack effects immersive".split(),
-    "value": "price worth value money expensive cheap cost".split(),
+        "story", "content", "length", "narrative", "replay", "variety", "depth", "characters", "plot",
+        "ending", "quests",
+    ),
+    "audio": (
+        "sound", "music", "audio", "voice", "soundtrack", "effects", "immersive",
+    ),
+    "value": (
+        "price", "worth", "value", "money", "expensive", "cheap", "cost",
+    ),
 }
 FALLBACK_KEYWORDS = 5
 
 # English function words removed before terms are counted.  A parameter of the text
 # operators: pass another list to follow another library's choice.
-STOP_WORDS = tuple(
-    (
-        "a about above after again against all am an and any are as at be because been before "
-        "being below between both but by can could did do does doing down during each few for "
-        "from further had has have having he her here hers herself him himself his how i if in "
-        "into is it its itself me more most my myself no nor not now of off on once only or "
-        "other our ours ourselves out over own same she should so some such than that the their "
-        "theirs them themselves then there these they this those through to too under until up "
-        "very was we were what when where which while who whom why will with would you your "
-        "yours yourself yourselves"
-    ).split()
+STOP_WORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at",
+    "be", "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "could", "did",
+    "do", "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have",
+    "having", "he", "her", "here", "hers", "herself", "him", "himself", "his", "how", "i", "if", "in", "into",
+    "is", "it", "its", "itself", "me", "more", "most", "my", "myself", "no", "nor", "not", "now", "of", "off",
+    "on", "once", "only", "or", "other", "our", "ours", "ourselves", "out", "over", "own", "same", "she",
+    "should", "so", "some", "such", "than", "that", "the", "their", "theirs", "them", "themselves", "then",
+    "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was",
+    "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would",
+    "you", "your", "yours", "yourself", "yourselves",
 )
 
 # Frequent function words per language, used to guess a language when no column names it.
 LANGUAGE_PROFILES = {
-    "en": "the of and to is that it for with was are this be at from".split(),
-    "fr": "le la les des et est une que qui dans pour pas sur avec elle".split(),
-    "de": "der die das und ist nicht ein eine mit für den von auf auch sich".split(),
-    "es": "el los las que en una por con para del se su como más pero".split(),
+    "en": (
+        "the", "of", "and", "to", "is", "that", "it", "for", "with", "was", "are", "this", "be", "at", "from",
+    ),
+    "fr": (
+        "le", "la", "les", "des", "et", "est", "une", "que", "qui", "dans", "pour", "pas", "sur", "avec",
+        "elle",
+    ),
+    "de": (
+        "der", "die", "das", "und", "ist", "nicht", "ein", "eine", "mit", "für", "den", "von", "auf", "auch",
+        "sich",
+    ),
+    "es": (
+        "el", "los", "las", "que", "en", "una", "por", "con", "para", "del", "se", "su", "como", "más", "pero",
+    ),
 }
 
 

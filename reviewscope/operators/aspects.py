@@ -11,14 +11,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewscope.config import ASPECT_SEEDS, CUTS, FALLBACK_KEYWORDS, SentimentCuts
+from reviewscope.config import ASPECT_SEEDS, CUTS, SentimentCuts
 from reviewscope.functions import text as ft
 from reviewscope.functions.numeric import percent
 from reviewscope.operators import grouping
 from reviewscope.operators.sentiment import Scorer, score_sentiment
 
 GAME = "game_id"
-KEYWORDS = {aspect: words[:FALLBACK_KEYWORDS] for aspect, words in ASPECT_SEEDS.items()}
+KEYWORDS = ASPECT_SEEDS
 
 
 def tag_aspects(
@@ -292,7 +292,7 @@ def aspect_report_lines(report: DataFrame) -> DataFrame:
     """The report rows as text lines, ready for a text sink."""
     c = F.col
     counts = F.format_string(
-        "%s: %d mentions, positive %d (%.1f%%), negative %d (%.1f%%)",
+        "%s = %d mentions; positive %d, %.2f %%; negative %d, %.2f %%",
         F.upper("item"), c("mentions"), c("positive"), c("positive_pct"), c("negative"), c("negative_pct"),
     )
     line = F.when(c("section") == "3 summary", F.concat_ws(": ", "item", "detail")).otherwise(

@@ -259,17 +259,13 @@ def emotion_report(df: DataFrame) -> DataFrame:
 
 
 def emotion_report_lines(report: DataFrame) -> DataFrame:
-    """The report rows as text lines, ready for a text sink."""
+    """The report rows as text lines, ready for a text sink: item = value, with reviews and confidence of an emotion."""
     c = F.col
-    plain = c("item").isin("total_analyzed", "sample_size", "disagreement_count")
-    line = (
-        F.when(
-            c("section") == "2 distribution",
-            F.format_string("%-10s: %5.1f%% (%4d reviews, avg conf: %.3f)", c("item"), c("value"), c("n"), c("confidence")),
-        )
-        .when(plain, F.format_string("%s: %d", c("item"), c("value").cast("long")))
-        .when(c("item") == "valence_ratio", F.format_string("%s: %.2f:1", c("item"), c("value")))
-        .when(c("item") == "overall_avg_confidence", F.format_string("%s: %.3f", c("item"), c("value")))
-        .otherwise(F.format_string("%s: %.1f%%", c("item"), c("value")))
+    rounded = F.floor(c("value") * 1000 + 0.5) / 1000
+    value = F.when(c("value") == F.floor("value"), F.format_string("%d", c("value").cast("long"))).otherwise(
+        F.format_string("%.3f", rounded)
     )
+    line = F.concat(c("item"), F.lit(" = "), value)
+    emotion = F.format_string(" %% of reviews; reviews = %d; mean confidence = %.3f", c("n"), c("confidence"))
+    line = F.when(c("section") == "2 distribution", F.concat(line, emotion)).otherwise(line)
     return report.filter(c("value").isNotNull()).select(GAME, "section", "position", line.alias("line"))
