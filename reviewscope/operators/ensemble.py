@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,14 +17,35 @@ from pyspark.sql import types as T
 from reviewscope.config import EMOTIONS, PENALTY_WEIGHT, UNKNOWN
 from reviewscope.functions import arrays as av
 from reviewscope.functions import text as ft
+from reviewscope.operators.sentiment import one_by_one
 
 
 def model_scorer(make_predict: Callable, batch_size: int = 24) -> Callable[..., Column]:
     """A user model as a column function: `make_predict` runs once per Python worker and
-    returns batch -> (n, 6) logits; Spark feeds it Arrow batches of `batch_size` rows."""
-    return predict_batch_udf(
-        make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size
-    )
+    returns batch -> (n, 6) logits; Spark feeds it Arrow batches of `batch_size` rows.
+    A row that the model raises on gets null, so the ensemble goes on without this model; its batch is scored."""
+
+    def tolerant():
+        predict = make_predict()
+
+        def run(texts):
+            try:
+                return predict(texts)
+            except Exception:
+                rows = one_by_one(predict, texts, lambda: None)
+                width = next((np.shape(r)[1] for r in rows if r is not None), 1)
+                return np.array([np.full(width, np.nan) if r is None else np.asarray(r, dtype=float)[0] for r in rows])
+
+        return run
+
+    predict = predict_batch_udf(tolerant, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+
+    def score(*columns) -> Column:
+        # A failed row comes back as NaN (or null) entries.
+        whole = lambda v: F.when(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)), v)
+        return F.get(F.transform(F.array(predict(*columns)), whole), F.lit(0))
+
+    return score
 
 
 def score_models(df: DataFrame, logits: dict[str, Column], labels: Sequence[str] = EMOTIONS) -> DataFrame:

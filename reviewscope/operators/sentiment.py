@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +39,35 @@ def lexicon_scorer(positive: Sequence[str], negative: Sequence[str]) -> Scorer:
     return score
 
 
+def one_by_one(predict: Callable, texts, missing: Callable) -> list:
+    """Answers of single rows after a batch has failed; a row that fails alone gets `missing()`."""
+    out = []
+    for i in range(len(texts)):
+        try:
+            out.append(predict(texts[i : i + 1]))
+        except Exception:
+            out.append(missing())
+    return out
+
+
 def model_scorer(make_predict: Callable, batch_size: int = 32, max_chars: int | None = None) -> Scorer:
     """A user model as scorer: `make_predict()` runs once per Python worker and returns a function
     of a batch of texts to {"label": [...], "confidence": [...]}.  `max_chars` serves models with a
-    limited input."""
-    predict = predict_batch_udf(make_predict, return_type=SENTIMENT, batch_size=batch_size)
+    limited input.  A text that the model raises on gets no label; the rest of its batch is scored."""
+
+    def tolerant():
+        predict = make_predict()
+
+        def run(texts):
+            try:
+                return predict(texts)
+            except Exception:
+                rows = one_by_one(predict, texts, lambda: {"label": [None], "confidence": [None]})
+                return {c: np.array([r[c][0] for r in rows], dtype=object) for c in ("label", "confidence")}
+
+        return run
+
+    predict = predict_batch_udf(tolerant, return_type=SENTIMENT, batch_size=batch_size)
 
     def score(text: Column) -> Column:
         return predict(text if max_chars is None else ft.truncate(text, max_chars))
@@ -53,9 +78,10 @@ def model_scorer(make_predict: Callable, batch_size: int = 32, max_chars: int |
 def score_sentiment(df: DataFrame, scorer: Scorer | None, text: str = "review") -> DataFrame:
     """Add label and confidence; without a scorer, or where it gives nothing, NEUTRAL at 0.5."""
     neutral = F.struct(F.lit("NEUTRAL").alias("label"), F.lit(0.5).alias("confidence"))
-    result = neutral if scorer is None else F.coalesce(scorer(F.col(text)), neutral)
+    result = neutral if scorer is None else scorer(F.col(text))
     return (
         df.withColumn("__s", result)
+        .withColumn("__s", F.when(F.col("__s.label").isNotNull(), F.col("__s")).otherwise(neutral))
         .withColumns({"label": F.col("__s.label"), "confidence": F.col("__s.confidence")})
         .drop("__s")
     )

@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewscope.config import FALLBACK_KEYWORDS
-from reviewscope.operators import aspects, features, topics
+from reviewscope.config import EMOTIONS, FALLBACK_KEYWORDS
+from reviewscope.operators import aspects, ensemble, features, topics
 from reviewscope.operators.sentiment import lexicon_scorer, model_scorer, score_sentiment
 
 
@@ -98,3 +98,30 @@ def test_scorers(spark):
 
     own = score_sentiment(df.filter("review is not null"), model_scorer(make, batch_size=2)).collect()
     assert {r["review_id"]: r["label"] for r in own} == {1: "POSITIVE", 2: "POSITIVE", 4: "NEGATIVE"}
+
+
+def test_a_scorer_that_raises_on_one_text_scores_the_rest(spark):
+    df = spark.createDataFrame([(i, "bomb" if i == 3 else f"text {i}") for i in range(8)], "review_id long, review string").coalesce(1)
+
+    def make():
+        def run(texts):
+            if "bomb" in list(texts):
+                raise RuntimeError("cannot")
+            return {"label": np.array(["POSITIVE"] * len(texts)), "confidence": np.full(len(texts), 0.9)}
+
+        return run
+
+    got = {r["review_id"]: (r["label"], r["confidence"]) for r in score_sentiment(df, model_scorer(make, batch_size=4)).collect()}
+    assert got.pop(3) == ("NEUTRAL", 0.5) and set(got.values()) == {("POSITIVE", 0.9)}
+
+    def logits():
+        def run(texts):
+            if "bomb" in list(texts):
+                raise RuntimeError("cannot")
+            return np.tile(np.arange(6.0), (len(texts), 1))
+
+        return run
+
+    scored = ensemble.score_models(df, {m: ensemble.model_scorer(logits, batch_size=4)(F.col("review")) for m in "abc"})
+    joint = {r["review_id"]: (r["emotion"], r["confidence"]) for r in ensemble.ensemble(scored).collect()}
+    assert joint.pop(3) == ("unknown", 0.0) and {e for e, _ in joint.values()} == {EMOTIONS[5]}
