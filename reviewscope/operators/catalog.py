@@ -19,10 +19,10 @@ def search_catalog(catalog: DataFrame, query: str, max_results: int = 10) -> Dat
 def resolve_items(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Per distinct input the catalog id and name: digits are an id, anything else a name search.
 
-    A name search is an equi-join: an entry can only contain the input if it contains the
-    input's first three characters, so entries are indexed by their character triples (and pairs and
-    single characters for shorter inputs) and only sharers are compared.  Unresolved inputs stay, with
-    null id.
+    A name search is an equi-join: an entry can only contain the input if it contains all of its
+    character triples, so entries are indexed by them and only the entries that share the input's rarest
+    triple are compared.  An input of up to three characters is such an index entry itself, whose first name
+    is found once for all.  Unresolved inputs stay, with null id.
     """
     asked = inputs.select(F.col("input").cast("string").alias("input")).distinct()
     by_id = asked.filter(F.col("input").rlike("^[0-9]+$")).withColumn(
@@ -39,11 +39,26 @@ def resolve_items(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     index = entries.withColumn("low", low).filter(F.length("low") > 0).select(
         "id", "name", "low", F.explode(grams).alias("gram")
     )
+    seen = index.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("entries"), F.min(F.struct("name", "id")).alias("first")
+    )
     words = asked.filter(~F.col("input").rlike("^[0-9]+$") & (F.length("input") > 0)).select(
-        "input", F.lower("input").alias("wanted"), F.substring(F.lower("input"), 1, GRAM).alias("gram")
+        "input", F.lower("input").alias("wanted")
+    )
+    short = words.filter(F.length("wanted") <= GRAM).withColumnRenamed("wanted", "gram")
+    found = short.join(seen, "gram").select("input", "first")
+    triples = F.expr(f"explode(transform(sequence(1, length(wanted) - {GRAM - 1}), i -> substring(wanted, i, {GRAM})))")
+    rarest = (
+        words.filter(F.length("wanted") > GRAM)
+        .select("input", "wanted", triples.alias("gram"))
+        .join(seen.select("gram", "entries"), "gram")
+        .groupBy("input", "wanted")
+        .agg(F.min(F.struct("entries", "gram")).alias("rarest"))
+        .select("input", "wanted", F.col("rarest.gram").alias("gram"))
     )
-    hits = grouping.join_small(index, words, ["gram"]).filter(F.contains("low", F.col("wanted")))
-    first = hits.groupBy("input").agg(F.min(F.struct("name", "id")).alias("first"))
+    hits = index.join(rarest, "gram").filter(F.contains("low", F.col("wanted")))
+    long = hits.groupBy("input").agg(F.min(F.struct("name", "id")).alias("first"))
+    first = found.unionByName(long)
     names = first.select("input", F.col("first.id").alias("id"), F.col("first.name").alias("name"))
     return asked.join(ids.unionByName(names), "input", "left")
 

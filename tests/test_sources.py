@@ -104,6 +104,13 @@ def test_resolve_short_and_unknown_inputs(spark):
     assert got == {"b": 1, "AB": 1, "30": 30, "31": None, "d": 1, "q": None, "": None}
 
 
+def test_resolve_with_a_prefix_that_all_entries_share(spark):
+    games = spark.createDataFrame([(i, f"The Game {i:04d} end") for i in range(500)], "id long, name string")
+    asked = spark.createDataFrame([("the game 0123",), ("THE GAME",), ("0499 e",), ("the game 9",)], "input string")
+    got = {r["input"]: r["id"] for r in catalog.resolve_items(asked, games).collect()}
+    assert got == {"the game 0123": 123, "THE GAME": 0, "0499 e": 499, "the game 9": None}
+
+
 def test_a_failed_part_leaves_the_rest(spark):
     def broken(df):
         raise RuntimeError("no model")
