@@ -11,13 +11,26 @@ from reviewscope.functions import text as ft
 from reviewscope.functions.numeric import epoch_to_utc
 
 
-def read_reviews(spark: SparkSession, path: str, columns: T.StructType = schema.REVIEW_CSV) -> DataFrame:
-    """A stored review table in CSV; numbers stay text until they are coerced."""
-    return (
-        spark.read.schema(columns)
-        .options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
-        .csv(path)
-    )
+def read_reviews(
+    spark: SparkSession,
+    path: str,
+    columns: T.StructType = schema.REVIEW_CSV,
+    fmt: str = "csv",
+    multi_line: bool = True,
+    damaged: str | None = None,
+) -> DataFrame:
+    """A stored review table, in CSV or parquet; numbers of a CSV stay text until they are coerced.
+
+    Quoted line ends need `multi_line`, which reads each file in one task; turn it off for files without them.
+    `damaged` names a column that keeps the raw text of lines which do not fit the columns (null for the others).
+    """
+    if fmt == "parquet":
+        return spark.read.parquet(path)
+    reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', mode="PERMISSIVE")
+    if damaged:
+        columns = T.StructType([*columns.fields, T.StructField(damaged, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", damaged)
+    return reader.schema(columns).csv(path)
 
 
 def read_review_pages(spark: SparkSession, path: str, columns: T.StructType = schema.REVIEW_PAGE) -> DataFrame:

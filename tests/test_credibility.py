@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewscope.config import NUMERIC_COLUMNS
 from reviewscope.operators import credibility as cred
-from reviewscope.operators import neighbours
+from reviewscope.operators import grouping, neighbours
 
 START = datetime(2024, 1, 1)
 SCHEMA = (
@@ -132,8 +132,10 @@ def brute_force(pdf, k):
     return out
 
 
-@pytest.mark.parametrize("one_cell", [20, 100_000])
-def test_neighbours_equal_brute_force(spark, one_cell):
+@pytest.mark.parametrize("one_cell,broadcast", [(20, True), (100_000, True), (20, False)])
+def test_neighbours_equal_brute_force(spark, one_cell, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(grouping, "BROADCAST_ROWS", 0)
     rng = np.random.default_rng(5)
     n = 1200
     x = np.round(rng.normal(size=(n, 3)), 1)

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from querybook.base import reviews_meta
 from querybook.inputs import review_pages
@@ -130,3 +131,14 @@ def test_evaluation_counts_missing_classes_as_zero(spark):
     row = models.evaluate(df).first()
     assert row["accuracy"] == pytest.approx(1 / 3)
     assert row["precision"] == pytest.approx(1 / 6) and row["recall"] == pytest.approx(1 / 6)
+
+
+def test_review_tables_keep_damaged_lines(spark):
+    path = scratch_path(spark, "csv")
+    lines = ["a,b", "1,x", "2,y,surplus", "3,z"]
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
+    got = readers.read_reviews(spark, path, T.StructType.fromDDL("a string, b string"), multi_line=False, damaged="raw").collect()
+    assert [(r["a"], r["raw"]) for r in got] == [("1", None), ("2", "2,y,surplus"), ("3", None)]
+    table = scratch_path(spark, "parquet")
+    spark.range(3).write.parquet(table)
+    assert readers.read_reviews(spark, table, fmt="parquet").count() == 3
