@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 WINDOW = 4096
 END = 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 ROWS_OUT = 20_000
 OUT = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 

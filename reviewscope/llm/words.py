@@ -80,7 +80,7 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(mix64(mixed))
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 2 << 20):
+def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 19):
     """Parts of a batch with about `size` bytes of text each; one text may be longer."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
