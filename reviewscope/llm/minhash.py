@@ -10,12 +10,14 @@ Links are found without listing the pairs of a bucket:
 1. Documents with equal sets are one class, and classes are the nodes from here on.
 2. Each class is compared with the smallest class of every bucket it is in. A group of near copies is one
    component after this, however large it is.
-3. Only classes of one bucket that are still in different components are compared with each other. Where more than
-   `CROWD` of a bucket are left (say, they share one passage), their pairs come from an exact prefix join instead: two
-   similar sets share one of their rarest shingles.
+3. Only classes of one bucket that are still in different components are compared with each other, inside one task;
+   only links leave it. Where a bucket's members have more than `CROWD` words (say, they share one passage), their
+   pairs come from an exact prefix join instead: two similar sets share one of their rarest shingles.
 
-Every candidate is confirmed on the full sets (64-bit hashes of all shingles, in exact integer arithmetic). Links that steps 2 and 3 need
-not look at lie inside a component, so components are those of all links.
+A sketch is the low byte of every coordinate. A pair goes on only if its sketches agree in as many coordinates as a
+similar pair does but for one in 10**10 (6.3 standard deviations below). Every pair that goes on is confirmed on the
+full sets (64-bit hashes of all shingles, in exact integer arithmetic). Links that steps 2 and 3 need not look at lie
+inside a component, so components are those of all links.
 
 Edge cases: a document with fewer words than the n-gram is one shingle; one without words, or null, has none, is
 linked with nothing and stays. The smallest key of a component stays; null keys lose, and a class with null keys only has a null
@@ -34,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewscope.llm.components import components
+from reviewscope.llm.components import components, written
 from reviewscope.llm.words import BASE, Powers, hashed_words, mix64, shingles, slices
 from reviewscope.session import stored
 
@@ -43,7 +45,7 @@ PERCENT = 80
 BANDS, ROWS = 32, 5
 STEP = 0x9E3779B1
 CHUNK = 1 << 16
-CROWD = 256
+CROWD = 4_000_000
 
 
 # -------------------------------------------------------------------------------- signatures
@@ -69,22 +71,31 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     return out
 
 
-def bands(sets: list[np.ndarray], count: int, rows: int) -> np.ndarray:
-    """Bucket keys of every set; the band's number is part of the key."""
+def bands(sets: list[np.ndarray], count: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys of every set (the band's number is part of the key) and its sketch."""
     out = np.empty((len(sets), count), dtype=np.uint64)
+    sketch = np.empty((len(sets), count * rows), dtype=np.uint8)
     at = 0
     while at < len(sets):
         to, held = at + 1, len(sets[at])
         while to < len(sets) and held + len(sets[to]) <= CHUNK:
             held += len(sets[to])
             to += 1
-        found = signatures(sets[at:to], count * rows).astype(np.uint64).reshape(to - at, count, rows)
+        found = signatures(sets[at:to], count * rows)
+        sketch[at:to] = found.astype(np.uint8)
+        found = found.astype(np.uint64).reshape(to - at, count, rows)
         key = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64), found.shape[:2])
         for r in range(rows):
             key = mix64(key * np.uint64(BASE) + found[:, :, r])
         out[at:to] = key
         at = to
-    return out
+    return out, sketch
+
+
+def agreement(coordinates: int, percent: int) -> int:
+    """Coordinates in which two similar sets agree at least, but for one pair in 10**10."""
+    p = percent / 100
+    return max(0, int(coordinates * p - 6.3 * (coordinates * p * (1 - p)) ** 0.5))
 
 
 def text_sets(texts: pa.Array, width: int, powers: Powers) -> list[np.ndarray]:
@@ -105,9 +116,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 # ------------------------------------------------------------------------------------- Spark
 def signed(docs: DataFrame, key: str, text: str, width: int, count: int, rows: int) -> DataFrame:
-    """key, n (set size), node (digest of the set) and bands, for every row."""
+    """key, n (set size), node (digest of the set), bands and sketch, for every row."""
     kept = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    schema = T.StructType([kept.schema["key"], *T._parse_datatype_string("n long, node binary, bands array<long>").fields])
+    schema = T.StructType([kept.schema["key"], *T._parse_datatype_string("n long, node binary, bands array<long>, sketch binary").fields])
 
     def run(batches):
         powers = Powers()
@@ -115,15 +126,17 @@ def signed(docs: DataFrame, key: str, text: str, width: int, count: int, rows: i
             for part in slices(batch, 1):
                 sets = text_sets(part.column(1), width, powers)
                 full = [s for s in sets if len(s)]
-                keys = iter(bands(full, count, rows).view(np.int64).tolist() if full else ())
+                keys, sketches = bands(full, count, rows)
+                keys, sketches = iter(keys.view(np.int64).tolist()), iter(sketches)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([digest(s) for s in sets], pa.binary()),
                         pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                        pa.array([next(sketches).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                     ],
-                    names=["key", "n", "node", "bands"],
+                    names=["key", "n", "node", "bands", "sketch"],
                 )
 
     return kept.mapInArrow(run, schema)
@@ -167,6 +180,61 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def matrix(sketches) -> np.ndarray:
+    """One row of bytes per sketch."""
+    return np.frombuffer(b"".join(sketches.to_pylist()), dtype=np.uint8).reshape(len(sketches), -1)
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sketches agree enough."""
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                one, other = matrix(batch.column(2)), matrix(batch.column(3))
+                fine = (one == other).sum(axis=1) >= agreement(one.shape[1], percent)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fine))
+
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a binary, b binary")
+
+
+def linked_across(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links inside each bucket (bucket, node, n, root, sketch, bands, text) between different components.
+
+    A pair is looked at in the first of the buckets that it shares, and only as long as links found before, in this
+    bucket, have not joined its components. Pairs of similar size and sketch are confirmed on the full sets, so only links leave
+    the task.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, powers, first, second, sets = table.column("bucket")[0].as_py(), Powers(), [], [], {}
+        sketch, n, names = matrix(table.column("sketch")), table.column("n").to_numpy(), table.column("node").to_pylist()
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(names), -1)
+        label = np.unique(np.array([b.hex() for b in table.column("root").to_pylist()]), return_inverse=True)[1]
+        texts, least = table.column("text").combine_chunks(), agreement(sketch.shape[1], percent)
+
+        def full(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = text_sets(texts.slice(i, 1), width, powers)[0]
+            return sets[i]
+
+        for i in range(len(names) - 1):
+            other = np.arange(i + 1, len(names))
+            other = other[(label[other] != label[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
+            other = other[(sketch[other] == sketch[i]).sum(axis=1) >= least]
+            shared = np.where(keys[other] == keys[i], keys[i], np.iinfo(np.int64).max).min(axis=1) if len(other) else other
+            for j in other[shared == bucket]:
+                if label[j] != label[i] and similar(full(i), full(j), percent):
+                    label[label == label[j]] = label[i]
+                    first.append(names[i])
+                    second.append(names[j])
+        return pa.table([pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["a", "b"])
+
+    return members.groupBy("bucket").applyInArrow(run, "a binary, b binary")
+
+
 def sized(left, right, percent: int):
     """Can two sets of these sizes be similar?"""
     return (100 * F.least(left, right)) >= (percent * F.greatest(left, right))
@@ -209,10 +277,11 @@ def across(rows: DataFrame, bucket: str, percent: int) -> DataFrame:
 
 def linked(rows: DataFrame, docs: DataFrame, text: str, width: int, percent: int, crowd: int) -> DataFrame:
     """(node, root) of all classes that have a link; `rows` is the written table of `signed`."""
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = rows.filter("n > 0").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "bands", "sketch")))
+    nodes = stored(nodes, "classes")
     exploded = stored(nodes.select("node", "n", F.explode("bands").alias("bucket")), "buckets")
     pivots = exploded.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count(F.lit(1)).alias("members"))
-    pivots = stored(pivots.filter("members > 1").drop("members"), "pivots")
+    pivots = written(pivots.filter("members > 1").drop("members"), "pivots")
     shared = stored(exploded.join(pivots, "bucket"), "shared-buckets")
     involved = shared.select("node").distinct()
     texts = with_node(docs, F.col(f"`{text}`"), text, width).groupBy("node").agg(F.first("row").alias("text"))
@@ -220,23 +289,27 @@ def linked(rows: DataFrame, docs: DataFrame, text: str, width: int, percent: int
 
     stars = shared.filter((F.col("node") != F.col("pivot.node")) & sized(F.col("n"), F.col("pivot.n"), percent))
     stars = stars.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct()
-    links = stored(confirmed(stars, texts, width, percent), "links")
+    links = written(confirmed(plausible(stars, nodes, percent), texts, width, percent), "links")
 
     # What is still apart in a bucket.
     roots = components(links)
     apart = shared.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = stored(apart, "rooted-buckets")
     mixed = apart.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")
+        F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("words")
     )
-    mixed = stored(mixed.filter(F.col("low") != F.col("high")).select("bucket", "members"), "mixed-buckets")
+    mixed = written(mixed.filter(F.col("low") != F.col("high")).select("bucket", "words"), "mixed-buckets")
     open_ = apart.join(mixed, "bucket")
-    pairs = across(open_.filter(F.col("members") <= crowd), "bucket", percent)
-    crowded = stored(open_.filter(F.col("members") > crowd).select("node", "n", "root").distinct(), "crowded")
+    few = open_.filter(F.col("words") <= crowd).join(nodes.select("node", "sketch", "bands"), "node").join(texts, "node")
+    more = linked_across(few.select("bucket", "node", "n", "root", "sketch", "bands", "text"), width, percent)
+    crowded = written(open_.filter(F.col("words") > crowd).select("node", "n", "root").distinct(), "crowded")
     if not crowded.isEmpty():
-        pairs = pairs.unionByName(crowded_pairs(crowded, texts, width, percent)).distinct()
-    more = stored(confirmed(pairs.join(stars, ["a", "b"], "left_anti"), texts, width, percent), "links")
-    return components(links.unionByName(more)) if not more.isEmpty() else roots
+        pairs = plausible(crowded_pairs(crowded, texts, width, percent), nodes, percent)
+        more = more.unionByName(confirmed(pairs, texts, width, percent))
+    more = written(more, "links")
+    if more.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def verdicts(rows: DataFrame, roots: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def made(seed=1):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("crowd", [minhash.CROWD, 3])
+@pytest.mark.parametrize("crowd", [minhash.CROWD, 300])
 def test_made(spark, crowd):
     rows = made()
     df = spark.createDataFrame([(k, t, "a") for k, t in rows], "doc_id long, text string, node string").repartition(3)
