@@ -227,5 +227,4 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document, learned from the labelled ones."""
     docs = table(spark, sf_dir, "documents")
-    labelled = docs.select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    return toxicity.score(docs, toxicity.fit(labelled))
+    return toxicity.score(docs, toxicity.fit(toxicity.sampled(docs, table(spark, sf_dir, "labels"))))

@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 A text's features are its distinct words and the first `PREFIXES` letters of them. Those that separate the labelled
-texts best are the vocabulary; every labelled text counts for it. The model is proportional odds: P(grade > k) = sigmoid(w x - b_k) with
+texts best are the vocabulary. The model is proportional odds: P(grade > k) = sigmoid(w x - b_k) with
 one weight vector for all thresholds b_1 <= b_2 <= ..., so a feature moves a text along one scale of severity. It is
 fitted on a bounded sample of labelled texts and gives the probability of each grade and the expected severity.
 
@@ -9,8 +9,9 @@ Grades, where only toxic or not is labelled: 0 is not toxic; toxic texts are gra
 of the vocabulary's toxic features they have, cut at quantiles of the labelled toxic texts. With a column of grades these are
 used as they are.
 
-Bounds: `VOCABULARY` features, and a fitting sample of `SAMPLE` texts of each label, drawn by a hash of the text. Only the
-vocabulary and the sample's features reach the driver.
+Bounds: `VOCABULARY` features, and a fitting sample of `SAMPLE` labelled texts of each label. `sampled` draws it by a hash of
+the key from the labels alone, so no other text is read twice or moved; `fit` counts all rows that it is given and
+fits on a draw of the same size. Only the vocabulary and the sample's feature numbers reach the driver.
 
 Edge cases: a null or empty text has no features and gets the severity of the intercepts alone. Rows that repeat are scored alike; labels
 that are null do not train, and a key that is labelled twice trains twice. Without labels of both kinds every severity is 0 and nothing
@@ -25,16 +26,18 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewscope.llm.words import slices
+from reviewscope.session import stored
 
 PREFIXES = (4, 5, 6)
 VOCABULARY = 600
 LEAST_TEXTS = 4  # and one in LEAST_SHARE of the labelled texts, so that chance words of a few texts do not count
 LEAST_SHARE = 400
-SAMPLE = 3000
+SAMPLE = 10_000
 GRADES = 4
 RIDGE = 1.0
 TOXIC_AT = 0.3  # probability of any grade above 0 from which a text counts as toxic
@@ -128,6 +131,19 @@ def feature_rows(docs: DataFrame, keep: list[str], vocabulary: list[str] | None
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
+def sampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """text and label of at most `sample` labelled rows of each side (0, and above 0), written once."""
+    rows = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").alias(label)).filter(F.col(label).isNotNull() & F.col("key").isNotNull())
+    rows = rows.withColumns({"side": F.col(label) > 0, "hash": F.xxhash64("key")})
+    counts = {r["side"]: r["n"] for r in rows.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.when(F.col("side"), 2 * sample / max(1, counts.get(True, 0))).otherwise(2 * sample / max(1, counts.get(False, 0)))
+    rows = rows.filter(F.pmod(F.col("hash"), F.lit(1 << 30)) / float(1 << 30) <= share)
+    drawn = rows.withColumn("place", F.row_number().over(W.partitionBy("side").orderBy("hash", "key", label))).filter(F.col("place") <= sample)
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    # At most 2 * sample keys, so they may be broadcast.
+    return stored(texts.join(F.broadcast(drawn.select("key", label)), "key").select("text", label), "labelled-sample")
+
+
 def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", grade: str | None = None, vocabulary: int = VOCABULARY, sample: int = SAMPLE) -> Model:
     """Learn from rows with a text and a label."""
     rows = labelled.select(

@@ -62,4 +62,7 @@ def test_odd_rows_and_given_grades(spark):
     empty = df.limit(0)
     nothing = toxicity.fit(empty)
     assert toxicity.score(empty, model).count() == 0
+    few = toxicity.sampled(df, df.select("doc_id", "toxic"), sample=5)
+    assert few.columns == ["text", "toxic"] and few.filter("toxic = 0").count() == 5 and few.filter("toxic = 2").count() >= 5
+    assert toxicity.sampled(df, empty.select("doc_id", "toxic")).count() == 0
     assert {(r["severity"], r["toxic"]) for r in toxicity.score(df, nothing).collect()} == {(0.0, False)}
