@@ -1,7 +1,7 @@
 """Language-model scores by prediction with partial matching, beside a word model as the base.
 
-The model is a trie of byte contexts of up to `ORDER` bytes. A symbol is predicted in the longest context that the trie has.
-If it was never seen there, an escape is paid (method C: as many escapes as distinct symbols, plus what was pruned) and
+The model is the counts of all byte contexts of up to `ORDER` bytes. A symbol is predicted in the longest context that was seen.
+If it was never seen there, an escape is paid (method C: as many escapes as distinct symbols) and
 the next shorter context is asked, with all symbols of the longer one excluded. Below the empty context every byte that is left
 is equally likely. So the probabilities of all 256 symbols add up to one in every context.
 
@@ -10,10 +10,11 @@ end (byte 0xFF, which UTF-8 never uses; contexts before the first word are made
 probability of all bytes and the end.
 
 All training documents are counted: tasks fold the (ORDER + 1)-grams and the words of their documents, and the
-counts are merged by shuffles. Shorter contexts are sums over longer ones. What workers need in memory is bounded: of each order the
-trie keeps the grams with at least 1 / `NODES` of all counts, so there are `NODES` of them at most; the words that make up
-at least 1 / `WORDS` of all tokens are sent along, and the counts of all other words are joined to the documents by a
-shuffle. Words are 64-bit hashes.
+counts are merged by shuffles. Shorter contexts are sums over longer ones. Nothing is pruned; what workers need in memory is
+bounded: the logs of the longest grams that make up at least 1 / `NODES` of all symbols are sent along, as are the words that
+make up at least 1 / `WORDS` of all tokens. The logs of all other grams and the counts of all other words are joined to the
+documents by a shuffle. Grams of held-out texts that were never seen get theirs by joins, context by context. Words are
+64-bit hashes.
 
 Edge cases: a null or empty text is the end alone. Rows that repeat a key are scored each on its own; null keys train
 (they are in no held-out part). Without training documents every symbol costs log10(1/256) and the base is 0 for each token.
@@ -162,7 +163,10 @@ def shorter_bytes(level: Level) -> int:
 
 
 class Trie:
-    """levels: per context length (grams, counts), from the empty context on."""
+    """The model in memory, for counts that fit there. Grams that are left out add to the escapes of their contexts.
+
+    levels: per context length (grams, counts), from the empty context on.
+    """
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         self.levels: list[Level] = []
@@ -255,14 +259,65 @@ def counted(train: DataFrame, order: int) -> DataFrame:
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def trie_rows(grams: DataFrame, order: int, nodes: int) -> DataFrame:
-    """level, key, n: the grams of every context length that are frequent enough. `grams` has key and n."""
+def level_rows(grams: DataFrame, order: int) -> DataFrame:
+    """level, key, n: the grams of every context length. `grams` has key and n."""
     each = F.explode(F.array(*(F.struct(F.lit(j).alias("level"), F.lit((1 << 8 * (j + 1)) - 1).alias("mask")) for j in range(order + 1))))
     rows = grams.select("key", "n", each.alias("at")).select(F.col("at.level").alias("level"), F.col("key").bitwiseAND(F.col("at.mask")).alias("key"), "n")
-    least = grams.agg((F.sum("n") / F.lit(nodes)).alias("least"))
-    summed = rows.groupBy("level", "key").agg(F.sum("n").alias("n"))
-    limit = least.first()[0] or 0
-    return summed.filter((F.col("level") == 0) | (F.col("n") >= F.lit(float(limit))))
+    return rows.groupBy("level", "key").agg(F.sum("n").alias("n"))
+
+
+def trie_rows(grams: DataFrame, order: int, nodes: int) -> DataFrame:
+    """level, key, n: the grams of every context length that are frequent enough for a `Trie` of bounded size."""
+    limit = grams.agg((F.sum("n") / F.lit(nodes)).alias("least")).first()[0] or 0
+    return level_rows(grams, order).filter((F.col("level") == 0) | (F.col("n") >= F.lit(float(limit))))
+
+
+def context_rows(levels: DataFrame) -> DataFrame:
+    """level, context, total, distinct, excluded: of each context the symbols after it, and what these count in the next shorter context."""
+    below = levels.select((F.col("level") + 1).alias("level"), F.col("key").alias("suffix"), F.col("n").alias("below"))
+    rows = levels.withColumn("suffix", F.expr("key & (shiftleft(1L, 8 * level) - 1)")).join(below, ["level", "suffix"], "left")
+    return rows.groupBy("level", F.shiftright("key", 8).alias("context")).agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.sum("below").alias("excluded")
+    )
+
+
+def unseen_logs(unseen: DataFrame, levels: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
+    """gram, log: log10 probability of grams that the longest level does not have."""
+    rows = unseen
+    for j in range(order, -1, -1):
+        of = contexts.filter(F.col("level") == j).select(
+            F.col("context").alias(f"c{j}"), F.col("total").alias(f"t{j}"), F.col("distinct").alias(f"d{j}"), F.col("excluded").alias(f"e{j}")
+        )
+        key = F.col("gram").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1))
+        # Tables of at most 2**16 rows are sent along: their keys are hot.
+        rows = rows.withColumn(f"c{j}", F.shiftright(key, 8)).join(F.broadcast(of) if j <= 2 else of, f"c{j}", "left")
+        if j < order:
+            seen = levels.filter(F.col("level") == j).select(F.col("key").alias(f"g{j}"), F.col("n").alias(f"n{j}"))
+            rows = rows.withColumn(f"g{j}", key).join(F.broadcast(seen) if j <= 1 else seen, f"g{j}", "left")
+    log = -F.log10(256 - F.coalesce("d0", F.lit(0)))
+    for j in range(order + 1):
+        longer = (F.coalesce(f"e{j + 1}", F.lit(0)), F.coalesce(f"d{j + 1}", F.lit(0))) if j < order else (F.lit(0), F.lit(0))
+        left, new = F.col(f"t{j}") - longer[0], F.col(f"d{j}") - longer[1]
+        # A context never seen costs no escape, nor does one that leaves no other symbol.
+        log = F.when(new > 0, F.log10(new / (left + new))).otherwise(0.0) + log
+        if j < order:
+            log = F.when(F.col(f"n{j}").isNotNull(), F.log10(F.col(f"n{j}") / (left + new))).otherwise(log)
+    return rows.select("gram", log.alias("log"))
+
+
+def listed(keys: np.ndarray, owner: np.ndarray, size: int, name: str) -> pa.ListArray:
+    """The distinct keys of each text, with how often they occur in it."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    start = np.flatnonzero(new)
+    times = np.diff(np.append(start, len(keys)))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[start], minlength=size))]).astype(np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(offsets),
+        pa.StructArray.from_arrays([pa.array(keys[start].view(np.int64)), pa.array(times.astype(np.int64))], names=[name, "times"]),
+    )
 
 
 def score(
@@ -285,31 +340,39 @@ def score(
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     floor = total / words
     often = vocabulary.filter(F.col("n") >= floor).toArrow()
-    rows = trie_rows(counts.filter(F.col("kind") == GRAM).select("key", "n"), order, nodes).toArrow()
-    level, grams, n = (rows.column(c).to_numpy() for c in ("level", "key", "n"))
+    levels = stored(level_rows(counts.filter(F.col("kind") == GRAM).select("key", "n"), order), "ppm-grams")
+    contexts = stored(context_rows(levels), "ppm-contexts")
+    longest = levels.filter(F.col("level") == order).select(F.col("key").alias("gram"), "n", F.shiftright("key", 8).alias("context"))
+    longest = longest.join(contexts.filter(F.col("level") == order).select("context", "total", "distinct"), "context")
+    logs = stored(longest.select("gram", "n", F.log10(F.col("n") / (F.col("total") + F.col("distinct"))).alias("log")), "ppm-logs")
+    gram_floor = (logs.agg(F.sum("n")).first()[0] or 0) / nodes
+    frequent = logs.filter(F.col("n") >= gram_floor).select("gram", "log").toArrow()
     held = spark.sparkContext.broadcast(
         {
-            "levels": [(grams[level == j].view(np.uint64), n[level == j]) for j in range(order + 1)],
+            "frequent": (frequent.column("gram").to_numpy().view(np.uint64), frequent.column("log").to_numpy()),
             "often": (often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()),
         }
     )
-    fields = "row long, n_tokens long, n_often long, base_often double, score double, rare array<struct<word long, times long>>"
+    fields = "row long, n_tokens long, n_often long, base_often double, score double, rare array<struct<word long, times long>>, grams array<struct<gram long, times long>>"
     schema = T.StructType([*kept.select("key", "held_out").schema, *T._parse_datatype_string(fields)])
 
     def run(batches):
         at_worker = held.value
-        if "trie" not in at_worker:
-            at_worker["trie"] = Trie(at_worker["levels"])
+        if "find" not in at_worker:
+            at_worker["find_gram"] = Hashed(at_worker["frequent"][0]).find
             at_worker["find"] = Hashed(at_worker["often"][0]).find
             at_worker["logs"] = np.log10(at_worker["often"][1] + 0.1)
-        trie, find, logs = (at_worker[c] for c in ("trie", "find", "logs"))
+        find_gram, find, logs, gram_logs = at_worker["find_gram"], at_worker["find"], at_worker["logs"], at_worker["frequent"][1]
         powers, row = Powers(), TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch, 2):
                 size = len(part)
                 grams, sizes = streams(part.column(2), order)
                 owner = np.repeat(np.arange(size), sizes)
-                scores = np.bincount(owner, weights=trie.logs(grams), minlength=size)
+                found = find_gram(grams)
+                known = found >= 0
+                scores = np.bincount(owner[known], weights=gram_logs[found[known]], minlength=size)
+                rest = listed(grams[~known], owner[~known], size, "gram")
                 hashes, sizes = hashed_words(part.column(2), powers)
                 hashes = np.concatenate([hashes, np.full(size, END_WORD)])
                 owner = np.concatenate([np.repeat(np.arange(size), sizes), np.arange(size)])
@@ -317,40 +380,35 @@ def score(
                 known = found >= 0
                 base = np.bincount(owner[known], weights=logs[found[known]], minlength=size)
                 often = np.bincount(owner[known], minlength=size)
-                # The other words of each text, with how often they occur in it.
-                order_ = np.lexsort((hashes[~known], owner[~known]))
-                other, whose = hashes[~known][order_], owner[~known][order_]
-                new = np.ones(len(other), dtype=bool)
-                new[1:] = (other[1:] != other[:-1]) | (whose[1:] != whose[:-1])
-                start = np.flatnonzero(new)
-                times = np.diff(np.append(start, len(other)))
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(whose[start], minlength=size))]).astype(np.int32)
-                rare = pa.ListArray.from_arrays(
-                    pa.array(offsets),
-                    pa.StructArray.from_arrays([pa.array(other[start].view(np.int64)), pa.array(times.astype(np.int64))], names=["word", "times"]),
-                )
+                rare = listed(hashes[~known], owner[~known], size, "word")
                 columns = [np.arange(row, row + size), sizes + 1, often.astype(np.int64), base.astype(np.float64), scores.astype(np.float64)]
                 row += size
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, columns), rare], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, columns), rare, rest], names=schema.names)
 
     scored = stored(kept.mapInArrow(run, schema), "ppm-scores")
     seldom = vocabulary.filter(F.col("n") < floor).select(F.col("key").alias("word"), F.col("n").alias("c"))
     pairs = scored.select("row", F.explode("rare").alias("rare")).select("row", "rare.word", "rare.times")
-    sums = (
-        pairs.join(seldom, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("base_rare"),
-            F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_rare"),
-        )
+    by_word = pairs.join(seldom, "word", "left").select(
+        "row",
+        (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("base"),
+        F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0).alias("known"),
+        F.lit(0.0).alias("log"),
+    )
+    # The grams that were not sent: all those of training texts were seen, of the others some never were.
+    grams = scored.select("row", "held_out", F.explode("grams").alias("grams")).select("row", "held_out", "grams.gram", "grams.times")
+    unseen = stored(grams.filter("held_out").select("gram").distinct().join(logs, "gram", "left_anti"), "ppm-unseen")
+    other = logs.filter(F.col("n") < gram_floor).select("gram", "log").unionByName(unseen_logs(unseen, levels, contexts, order))
+    by_gram = grams.join(other, "gram", "left").select(
+        "row", F.lit(0.0).alias("base"), F.lit(0).cast("bigint").alias("known"), (F.col("times") * F.col("log")).alias("log")
     )
+    sums = by_word.unionByName(by_gram).groupBy("row").agg(F.sum("base").alias("base_rare"), F.sum("known").alias("n_rare"), F.sum("log").alias("score_rest"))
     norm = math.log10(total + 0.1 * (distinct + 1))
-    return scored.drop("rare").join(sums, "row", "left").select(
+    return scored.drop("rare", "grams").join(sums, "row", "left").select(
         F.col("key").alias(key),
         "held_out",
         "n_tokens",
         (F.col("n_often") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base_often") + F.coalesce("base_rare", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("score_rest", F.lit(0.0))).alias("score"),
     )

@@ -85,6 +85,18 @@ def test_made(spark, words):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
+@pytest.mark.parametrize("nodes", [1, 50])
+def test_grams_that_are_not_sent_count_too(spark, nodes):
+    texts = [t for t in TEXTS if t and len(t) < 100] * 2 + ["the cat sat on a hat", "xyzzy the mat", "abcabd été"]
+    rows = [(i, t, i % 3 == 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hold boolean").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in ppm.score(df, df["hold"], nodes=nodes).collect()}
+    counts = plain_counts([t for _, t, h in rows if not h], ppm.ORDER)
+    for i, t, _ in rows:
+        s = stream(t, ppm.ORDER)
+        assert got[i] == pytest.approx(sum(plain_log(counts, s[k - ppm.ORDER : k], s[k]) for k in range(ppm.ORDER, len(s))), rel=1e-9)
+
+
 @pytest.mark.parametrize("nodes", [1 << 40, 60])
 def test_probabilities_add_up(spark, nodes):
     texts = [t for t in TEXTS if t] * 2
