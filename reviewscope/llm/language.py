@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewscope.llm.words import slices
+from reviewscope.session import stored
 
 SAMPLE_BYTES = 49_152
 SAMPLE_TEXTS = 512
@@ -181,16 +182,16 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_byte
     """Learn from rows that have text and language. A bounded sample of them is collected."""
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).filter("text is not null and lang is not null")
     rows = rows.withColumn("hash", F.xxhash64("text"))
+    # Copies of a text are folded first: the draw is one of distinct texts.
+    sizes = stored(rows.groupBy("lang", "hash").agg(F.max(F.octet_length("text")).alias("size")), "language-texts")
     # About four times the texts wanted, evenly by hash: what is left to order is bounded by language, not by task.
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in sizes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model([], [])
     pairs = [F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * sample_texts / n))]
     share = F.element_at(F.create_map(*pairs), F.col("lang"))
-    rows = rows.filter(F.pmod(F.col("hash"), F.lit(1 << 30)) / float(1 << 30) <= share)
+    sizes = sizes.filter(F.pmod(F.col("hash"), F.lit(1 << 30)) / float(1 << 30) <= share)
     drawn = W.partitionBy("lang").orderBy("hash")
-    # Copies of a text are folded before they are shuffled.
-    sizes = rows.groupBy("lang", "hash").agg(F.max(F.octet_length("text")).alias("size"))
     sizes = sizes.withColumn("place", F.row_number().over(drawn))
     before = F.coalesce(F.sum("size").over(drawn.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     chosen = sizes.filter(F.col("place") <= sample_texts).withColumn("before", before).filter(F.col("before") < sample_bytes)

@@ -63,6 +63,14 @@ def test_odd_rows(spark):
     assert language.predict(df.limit(0), model).count() == 0
 
 
+def test_many_copies_of_few_texts(spark):
+    texts = [f"der hund und die katze nummer {w} sind nicht hier" for w in ("eins", "zwei", "drei", "vier")]
+    rows = [(texts[i % 4], "de") for i in range(40_000)] + [("the cat sat on the mat", "en")]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string").repartition(3), sample_texts=4)
+    assert model.languages == ["de", "en"]
+    assert all(language.symbols(pa.array([t]))[0].tobytes() in model.samples[0] for t in texts)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = op5_identify_language(spark, sf)
