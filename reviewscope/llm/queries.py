@@ -227,4 +227,4 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document, learned from the labelled ones."""
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(toxicity.sampled(docs, table(spark, sf_dir, "labels"))))
+    return toxicity.score(docs, toxicity.fit_sampled(docs, table(spark, sf_dir, "labels")))

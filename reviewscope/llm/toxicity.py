@@ -11,7 +11,8 @@ used as they are.
 
 Bounds: `VOCABULARY` features, and a fitting sample of `SAMPLE` labelled texts of each label. `sampled` draws it by a hash of
 the key from the labels alone, so no other text is read twice or moved; `fit` counts all rows that it is given and
-fits on a draw of the same size. Only the vocabulary and the sample's feature numbers reach the driver.
+fits on a draw of the same size. Each side of the sample weighs as much as it does among all labels, so probabilities do not
+depend on where the bounds cut. Only the vocabulary and the sample's feature numbers reach the driver.
 
 Edge cases: a null or empty text has no features and gets the severity of the intercepts alone. Rows that repeat are scored alike; labels
 that are null do not train, and a key that is labelled twice trains twice. Without labels of both kinds every severity is 0 and nothing
@@ -35,8 +36,7 @@ from reviewscope.session import stored
 
 PREFIXES = (4, 5, 6)
 VOCABULARY = 600
-LEAST_TEXTS = 4  # and one in LEAST_SHARE of the labelled texts, so that chance words of a few texts do not count
-LEAST_SHARE = 400
+LEAST_TEXTS = 4  # at every size; the ridge keeps chance words of a few texts small
 SAMPLE = 10_000
 GRADES = 4
 RIDGE = 1.0
@@ -71,12 +71,15 @@ def probabilities(scale: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return edges[:, :-1] - edges[:, 1:]
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, width: int, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(
+    rows: list[np.ndarray], grades: np.ndarray, width: int, ridge: float = RIDGE, steps: int = STEPS, mass: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by penalised likelihood (gradient steps with per-parameter rates).
 
-    rows: the features present in each text. Grades count from 0.
+    rows: the features present in each text. Grades count from 0. mass: how much each text counts, 1 by default.
     """
     levels = int(grades.max())
+    mass = np.ones(len(rows)) if mass is None else mass
     flat, owner = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     weights = np.zeros(width)
     # Thresholds as the first one and the logs of the steps between them: they stay in order.
@@ -92,7 +95,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, width: int, ridge: f
         slopes = np.concatenate([np.zeros((len(rows), 1)), slope, np.zeros((len(rows), 1))], axis=1)
         at = np.arange(len(rows))
         likelihood = np.maximum(edges[at, grades] - edges[at, grades + 1], 1e-12)
-        factor = 1 / likelihood
+        factor = mass / likelihood
         to_scale = factor * (slopes[at, grades] - slopes[at, grades + 1])
         to_threshold = np.zeros((len(rows), levels + 2))
         np.add.at(to_threshold, (at, grades), -factor * slopes[at, grades])
@@ -144,8 +147,23 @@ def sampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return stored(texts.join(F.broadcast(drawn.select("key", label)), "key").select("text", label), "labelled-sample")
 
 
-def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", grade: str | None = None, vocabulary: int = VOCABULARY, sample: int = SAMPLE) -> Model:
-    """Learn from rows with a text and a label."""
+def fit_sampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
+    """Learn from a draw of the labelled documents, in which each side counts as much as among all labels."""
+    sides = labels.filter(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).groupBy((F.col(f"`{label}`") > 0).cast("int").alias("side"))
+    shares = {r["side"]: max(1.0, r["n"] / sample) for r in sides.agg(F.count(F.lit(1)).alias("n")).collect()}
+    return fit(sampled(docs, labels, key, text, label, sample), toxic=label, sample=sample, shares=shares)
+
+
+def fit(
+    labelled: DataFrame,
+    text: str = "text",
+    toxic: str = "toxic",
+    grade: str | None = None,
+    vocabulary: int = VOCABULARY,
+    sample: int = SAMPLE,
+    shares: dict[int, float] | None = None,
+) -> Model:
+    """Learn from rows with a text and a label. shares: how many labelled texts a row of each side (0, 1) stands for."""
     rows = labelled.select(
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
         F.col(f"`{grade or toxic}`").cast("int").alias("grade"),
@@ -159,7 +177,7 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", grade: st
     # Log odds of the smoothed shares, weighed by how often the feature is seen: a frequent clear sign comes first.
     bad, good = (F.col("bad") + 0.5) / (totals[1] + 1), (F.col("good") + 0.5) / (totals[0] + 1)
     strength = F.abs(F.log(bad / good)) * F.sqrt(bad + good)
-    best = counts.filter(F.col("bad") + F.col("good") >= max(LEAST_TEXTS, sum(totals.values()) / LEAST_SHARE)).withColumn("strength", strength)
+    best = counts.filter(F.col("bad") + F.col("good") >= LEAST_TEXTS).withColumn("strength", strength)
     chosen = best.orderBy(F.desc("strength"), "feature").limit(vocabulary).select("feature", (bad > good).alias("points")).collect()
     names = [r["feature"] for r in chosen]
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, min(1.0, 1.5 * sample / n + 0.001)))), F.col("toxic"))
@@ -178,7 +196,12 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", grade: st
         grades = np.where(bad, 1 + np.searchsorted(cuts, marks, side="left"), 0)
     if not bad_and_good(grades):
         return Model([], np.zeros(0), np.zeros(0))
-    weights, thresholds = fit_ordinal(lists, grades, max(1, len(names)))
+    # Texts of a side count for those that were not drawn, too; 1 on average, so that the ridge is that of the sample.
+    mass = np.zeros(len(order))
+    for v in (0, 1):
+        own = flags[order] == v
+        mass[own] = (shares or {}).get(v, 1.0) * totals[v] / max(1, own.sum())
+    weights, thresholds = fit_ordinal(lists, grades, max(1, len(names)), mass=mass / mass.mean())
     return Model(names, weights, thresholds)
 
 

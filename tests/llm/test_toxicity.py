@@ -66,3 +66,19 @@ def test_odd_rows_and_given_grades(spark):
     assert few.columns == ["text", "toxic"] and few.filter("toxic = 0").count() == 5 and few.filter("toxic = 2").count() >= 5
     assert toxicity.sampled(df, empty.select("doc_id", "toxic")).count() == 0
     assert {(r["severity"], r["toxic"]) for r in toxicity.score(df, nothing).collect()} == {(0.0, False)}
+
+
+def test_probabilities_do_not_depend_on_the_bound(spark):
+    """50 of 950 texts with nothing but common words are toxic, however many of either side are drawn."""
+    plain = "these are the same words"
+    docs = spark.createDataFrame([(i, plain + (" you scum" if i < 50 else "")) for i in range(1000)], "doc_id long, text string")
+    labels = docs.select("doc_id", (docs["doc_id"] < 100).cast("int").alias("toxic"))
+    for sample in (10_000, 60):
+        model = toxicity.fit_sampled(docs, labels, sample=sample)
+        (row,) = toxicity.score(docs.filter("doc_id = 999"), model).collect()
+        assert row["p_toxic"] == pytest.approx(50 / 950, abs=0.03) and not row["toxic"]
+
+
+def test_rare_features_are_kept_at_every_size(spark):
+    rows = [("lovely day", 0)] * 3000 + [("lovely scum", 1)] * 6
+    assert "scum" in toxicity.fit(spark.createDataFrame(rows, "text string, toxic int")).features
