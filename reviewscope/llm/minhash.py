@@ -244,7 +244,7 @@ def crowded_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int
     """Exact prefix join of the classes (node, n, root): pairs in different components that may be similar.
 
     Shingles are ordered from rare to frequent; of two similar sets of n shingles each has one of the other's in its
-    first n - ceil(percent / 100 * n) + 1.
+    first n - ceil(percent / 100 * n) + 1. Shingles of one class only come first, so they take places but are not listed.
     """
 
     def run(batches):
@@ -260,8 +260,10 @@ def crowded_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int
     common = stored(listed.groupBy("shingle").count(), "shingle-counts")
     rare = W.partitionBy("node").orderBy("count", "shingle")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = listed.join(common.filter("count > 1"), "shingle").withColumn("place", F.row_number().over(rare))
-    prefix = prefix.join(members, "node").filter(F.col("place") <= length).select("shingle", "node", "n", "root")
+    prefix = listed.join(common.filter("count > 1"), "shingle").withColumns(
+        {"place": F.row_number().over(rare), "shared": F.count(F.lit(1)).over(W.partitionBy("node"))}
+    )
+    prefix = prefix.join(members, "node").filter(F.col("n") - F.col("shared") + F.col("place") <= length).select("shingle", "node", "n", "root")
     prefix = stored(prefix, "prefixes")
     return across(prefix, "shingle", percent)
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from reviewscope.llm import minhash
@@ -75,6 +76,18 @@ def test_made(spark, crowd):
     assert answer(minhash.classes(df, width=4, crowd=crowd)) == sorted(brute(rows, 4, 80), key=repr)
 
 
+def test_shared_passage_is_no_prefix(spark):
+    """Documents that share less than a prefix allows join with none; near copies among them still do."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(f"d{d}w{i}" for i in range(60)) + " " + passage for d in range(6)]
+    texts.append(texts[0] + " more")
+    sets = minhash.text_sets(pa.array(texts), 4, minhash.Powers())
+    rows = [(bytes([i]), len(s), bytes([i]), t) for i, (s, t) in enumerate(zip(sets, texts))]
+    df = spark.createDataFrame(rows, "node binary, n long, root binary, text string")
+    got = minhash.crowded_pairs(df.select("node", "n", "root"), df.select("node", "text"), 4, 80).collect()
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in got] == [(b"\x00", b"\x06")]
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
