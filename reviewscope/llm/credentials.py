@@ -10,6 +10,9 @@ Positions come from the lengths of the matches and of the gaps between them. The
 of one text, in order of their start, look into a range of SCOPE characters to both sides. Only texts with complementary
 parts anywhere take part, each distinct text once, and a group of the window is one text.
 
+Every pattern is matched without recursion and every step is linear in the text (but for 1 / `WALK` of the squared number of its
+matches, copied as references), so texts of megabytes of nothing but matches are fine.
+
 Edge cases: a null text counts as empty and has no spans. Rows that repeat are reported each on its own. Parts that
 start at one place are ordered by kind, in the order of `KINDS`. Null keys are kept as null. Empty tables give empty results;
 other columns are ignored, whatever their names.
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from reviewscope.session import stored
 
 SCOPE = 256
+WALK = 128
 
 
 class Kind(NamedTuple):
@@ -45,20 +49,25 @@ KINDS = (
     Kind("hex", r"[0-9a-f]+", "secret", True, 0, ("^.{24}",)),
     Kind("login", r"(?i:(username|user|login|client_?id|account_?id|access_?id))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]+)", "id", False, 2, ("^.{3}",)),
     Kind("opaque", r"[A-Za-z0-9+/_-]+", "secret", False, 0, ("^.{20}", "[0-9]", "[a-z]", "[A-Z]")),
-    Kind("endpoint", r"(https?://[^\x09-\x0D\x20\"'<>]+|(?i:(host|server|endpoint))[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+)", "endpoint", False, 0, ()),
+    Kind("endpoint", r"(https?://[^\x09-\x0D\x20\"'<>]+|(?i:(host|server|endpoint))[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)++)", "endpoint", False, 0, ()),
 )
-#: Cheap tests that a text with a match of the kind passes.
+#: Cheap tests that a text with a match of the kind passes. None of them runs twice over one stretch of text.
 HINTS = {
-    "assign": r"(?i:pass|secret|token|api_?key)[a-zA-Z]*[\"']?\x20*[:=]",
+    "assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]",
     "access": "AKIA[A-Z0-9]{16}",
     "hex": "[0-9a-f]{24}",
-    "login": r"(?i:user|login|client|account|access)[a-zA-Z_]*[\"']?\x20*[:=]",
+    "login": r"(?i:username|user|login|client_?id|account_?id|access_?id)[\"']?\x20*[:=]",
     "opaque": "[A-Za-z0-9+/_-]{20}",
     "endpoint": r"://|(?i:host|server|endpoint)[\"']?\x20*[:=]",
 }
 WEAK = tuple(k.name for k in KINDS if not k.strong)
 
 
+def once(value: Column, body) -> Column:
+    """`body` of a value that is evaluated a single time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans(text: Column, kind: Kind) -> Column:
     """Array of (start, kind, end) of the matches that count; code points, end exclusive."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), 0)
@@ -85,7 +94,19 @@ def spans(text: Column, kind: Kind) -> Column:
             F.when(F.coalesce(row["fits"], F.lit(False)), F.concat(state["found"], found)).otherwise(state["found"]).alias("found"),
         )
 
-    walked = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("found")), walk, lambda s: s["found"])
+    def stretches(rows: Column) -> Column:
+        """What each `WALK` matches show, and how many characters they span."""
+        start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+        steps = F.sequence(F.lit(1), F.greatest(F.size(rows), F.lit(1)), F.lit(WALK))
+        return F.transform(steps, lambda at: F.aggregate(F.slice(rows, at, F.lit(WALK)), start, walk))
+
+    def shifted(state: Column, one: Column) -> Column:
+        found = F.transform(one["found"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), s["place"].alias("place"), (s["end"] + state["at"]).alias("end")))
+        return F.struct((state["at"] + one["at"]).alias("at"), F.concat(state["found"], F.array(found)).alias("found"))
+
+    # A growing array is copied at each step, so matches are walked through in stretches, and these one after the other.
+    nested = F.array().cast("array<array<struct<start:int,place:int,end:int>>>")
+    walked = F.flatten(F.aggregate(once(rows, stretches), F.struct(F.lit(0).alias("at"), nested.alias("found")), shifted, lambda s: s["found"]))
     return F.when(text.rlike(HINTS[kind.name]), walked).otherwise(empty)
 
 

@@ -2,6 +2,9 @@
 
 import hashlib
 import re
+import time
+
+import pytest
 
 from reviewscope.llm import credentials
 from reviewscope.llm.queries import op1_scan_secrets
@@ -68,3 +71,11 @@ def test_query_and_empty(spark):
     for r in rows:
         assert r["base_sha256"] == hashlib.sha256(listed(base(docs[r["doc_id"]] or "")).encode()).hexdigest()
     assert credentials.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["host=" + "a." * 500_000 + "a", "token=abcdef " * 77_000, "pass" * 250_000, "a." * 500_000, "token" + " " * 1_000_000, "user=abc9 " * 100_000])
+def test_a_megabyte_of_one_thing(spark, text):
+    began = time.perf_counter()
+    (row,) = credentials.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row["base"] == listed(base(text))
+    assert time.perf_counter() - began < 10
