@@ -38,8 +38,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """A table of ids, in files for about two tasks per core."""
-    return stored(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism), name)
+    """A table of ids. They are dealt anew once they are made, into few files while they are few; the work before keeps its own tasks."""
+    return stored(df.hint("rebalance"), name)
 
 
 def settled(edges: DataFrame) -> bool:

@@ -11,7 +11,7 @@ Links are found without listing the pairs of a bucket:
 2. Each class is compared with the smallest class of every bucket it is in. A group of near copies is one
    component after this, however large it is.
 3. Only classes of one bucket that are still in different components are compared with each other, inside one task;
-   only links leave it. Where a bucket's members have more than `CROWD` words (say, they share one passage), their
+   only links leave it. Where a bucket has more than `MEMBERS` members, or these more than `CROWD` words (say, they share one passage), their
    pairs come from an exact prefix join instead: two similar sets share one of their rarest shingles.
 
 A sketch is the low byte of every coordinate. A pair goes on only if its sketches agree in as many coordinates as a
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewscope.llm.components import components, written
-from reviewscope.llm.words import BASE, Powers, hashed_words, mix64, shingles, slices
+from reviewscope.llm.words import BASE, hashed_words, mix64, shingles, slices
 from reviewscope.session import stored
 
 WIDTH = 5
@@ -46,6 +46,7 @@ BANDS, ROWS = 32, 5
 STEP = 0x9E3779B1
 CHUNK = 1 << 16
 CROWD = 4_000_000
+MEMBERS = 4096
 
 
 # -------------------------------------------------------------------------------- signatures
@@ -98,8 +99,8 @@ def agreement(coordinates: int, percent: int) -> int:
     return max(0, int(coordinates * p - 6.3 * (coordinates * p * (1 - p)) ** 0.5))
 
 
-def text_sets(texts: pa.Array, width: int, powers: Powers) -> list[np.ndarray]:
-    words, counts = hashed_words(texts, powers)
+def text_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    words, counts = hashed_words(texts)
     ends = np.cumsum(counts)
     return [shingles(words[e - c : e], width) for e, c in zip(ends, counts)]
 
@@ -121,10 +122,9 @@ def signed(docs: DataFrame, key: str, text: str, width: int, count: int, rows: i
     schema = T.StructType([kept.schema["key"], *T._parse_datatype_string("n long, node binary, bands array<long>, sketch binary").fields])
 
     def run(batches):
-        powers = Powers()
         for batch in batches:
             for part in slices(batch, 1):
-                sets = text_sets(part.column(1), width, powers)
+                sets = text_sets(part.column(1), width)
                 full = [s for s in sets if len(s)]
                 keys, sketches = bands(full, count, rows)
                 keys, sketches = iter(keys.view(np.int64).tolist()), iter(sketches)
@@ -148,10 +148,9 @@ def with_node(docs: DataFrame, carried, text: str, width: int) -> DataFrame:
     schema = T.StructType([kept.schema["row"], T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType())])
 
     def run(batches):
-        powers = Powers()
         for batch in batches:
             for part in slices(batch, 1):
-                sets = text_sets(part.column(1), width, powers)
+                sets = text_sets(part.column(1), width)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary())],
                     names=["row", "n", "node"],
@@ -166,15 +165,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
-        powers, last = Powers(), (None, None)
+        last = (None, None)
         for batch in batches:
             for part in slices(batch, 2):
                 found = []
                 names = part.column(1).to_pylist()
                 for i, name in enumerate(names):
                     if name != last[0]:
-                        last = (name, text_sets(part.column(3).slice(i, 1), width, powers)[0])
-                    found.append(similar(text_sets(part.column(2).slice(i, 1), width, powers)[0], last[1], percent))
+                        last = (name, text_sets(part.column(3).slice(i, 1), width)[0])
+                    found.append(similar(text_sets(part.column(2).slice(i, 1), width)[0], last[1], percent))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(found))
 
     return both.mapInArrow(run, "a binary, b binary")
@@ -209,7 +208,7 @@ def linked_across(members: DataFrame, width: int, percent: int) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, powers, first, second, sets = table.column("bucket")[0].as_py(), Powers(), [], [], {}
+        bucket, first, second, sets = table.column("bucket")[0].as_py(), [], [], {}
         sketch, n, names = matrix(table.column("sketch")), table.column("n").to_numpy(), table.column("node").to_pylist()
         keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(names), -1)
         label = np.unique(np.array([b.hex() for b in table.column("root").to_pylist()]), return_inverse=True)[1]
@@ -217,7 +216,7 @@ def linked_across(members: DataFrame, width: int, percent: int) -> DataFrame:
 
         def full(i: int) -> np.ndarray:
             if i not in sets:
-                sets[i] = text_sets(texts.slice(i, 1), width, powers)[0]
+                sets[i] = text_sets(texts.slice(i, 1), width)[0]
             return sets[i]
 
         for i in range(len(names) - 1):
@@ -248,10 +247,9 @@ def crowded_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int
     """
 
     def run(batches):
-        powers = Powers()
         for batch in batches:
             for i in range(len(batch)):
-                one = text_sets(batch.column(1).slice(i, 1), width, powers)[0].view(np.int64)
+                one = text_sets(batch.column(1).slice(i, 1), width)[0].view(np.int64)
                 for at in range(0, len(one), 10_000):
                     some = pa.array(one[at : at + 10_000])
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(some), pa.binary()), some], names=["node", "shingle"])
@@ -277,7 +275,7 @@ def across(rows: DataFrame, bucket: str, percent: int) -> DataFrame:
     return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def linked(rows: DataFrame, docs: DataFrame, text: str, width: int, percent: int, crowd: int) -> DataFrame:
+def linked(rows: DataFrame, docs: DataFrame, text: str, width: int, percent: int, crowd: int, members: int) -> DataFrame:
     """(node, root) of all classes that have a link; `rows` is the written table of `signed`."""
     nodes = rows.filter("n > 0").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "bands", "sketch")))
     nodes = stored(nodes, "classes")
@@ -298,13 +296,14 @@ def linked(rows: DataFrame, docs: DataFrame, text: str, width: int, percent: int
     apart = shared.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = stored(apart, "rooted-buckets")
     mixed = apart.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("words")
+        F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("words"), F.count(F.lit(1)).alias("members")
     )
-    mixed = written(mixed.filter(F.col("low") != F.col("high")).select("bucket", "words"), "mixed-buckets")
+    full = (F.col("words") > crowd) | (F.col("members") > members)
+    mixed = written(mixed.filter(F.col("low") != F.col("high")).select("bucket", full.alias("full")), "mixed-buckets")
     open_ = apart.join(mixed, "bucket")
-    few = open_.filter(F.col("words") <= crowd).join(nodes.select("node", "sketch", "bands"), "node").join(texts, "node")
+    few = open_.filter("not full").join(nodes.select("node", "sketch", "bands"), "node").join(texts, "node")
     more = linked_across(few.select("bucket", "node", "n", "root", "sketch", "bands", "text"), width, percent)
-    crowded = written(open_.filter(F.col("words") > crowd).select("node", "n", "root").distinct(), "crowded")
+    crowded = written(open_.filter("full").select("node", "n", "root").distinct(), "crowded")
     if not crowded.isEmpty():
         pairs = plausible(crowded_pairs(crowded, texts, width, percent), nodes, percent)
         more = more.unionByName(confirmed(pairs, texts, width, percent))
@@ -334,10 +333,11 @@ def classes(
     count: int = BANDS,
     rows: int = ROWS,
     crowd: int = CROWD,
+    members: int = MEMBERS,
 ) -> DataFrame:
     """For every row: key, n_shingles, component_id, kept."""
     sets = stored(signed(docs, key, text, width, count, rows), "signed")
-    found = verdicts(sets, linked(sets, docs, text, width, percent, crowd))
+    found = verdicts(sets, linked(sets, docs, text, width, percent, crowd, members))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
     return sets.select("key", "n", "node").join(found, "node", "left").select(
         F.col("key").alias(key),
@@ -356,10 +356,11 @@ def deduplicate(
     count: int = BANDS,
     rows: int = ROWS,
     crowd: int = CROWD,
+    members: int = MEMBERS,
 ) -> DataFrame:
     """The rows that stay, with their own columns: one document of each component, and all that have no words."""
     sets = stored(signed(docs, key, text, width, count, rows), "signed")
-    found = verdicts(sets, linked(sets, docs, text, width, percent, crowd))
+    found = verdicts(sets, linked(sets, docs, text, width, percent, crowd, members))
     again = with_node(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), text, width)
     stay = found.filter(F.col("node") == F.col("keeper")).select("node", "component_id")
     full = again.filter("n > 0").join(stay, "node").filter(F.col(f"row.`{key}`").eqNullSafe(F.col("component_id")))

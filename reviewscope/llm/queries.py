@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewscope.llm import credentials, exact_dedup, language, minhash, mixing, packing, ppm, toxicity, vectors, warc
+from reviewscope.llm import credentials, divergence, exact_dedup, language, minhash, mixing, packing, ppm, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -229,3 +229,52 @@ def op3_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document, learned from the labelled ones."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit_sampled(docs, table(spark, sf_dir, "labels")))
+
+
+# ------------------------------------------------------------------- 11: source divergence audit
+OP11_SQL = rf"""
+with d as (
+  select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents
+),
+tokens as (select row, lang, source, unnest(terms) as term from d),
+kept as (select lang, term from tokens group by all having count(distinct row) >= {divergence.LEAST}),
+counts as (select lang, source, term, count(*) as n from tokens group by all),
+cells as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0)::hugeint as n
+  from (select distinct lang, source from d) g join kept k on g.lang = k.lang
+  left join counts c on c.lang = k.lang and c.term = k.term and c.source = g.source
+),
+sums as (
+  select *, sum(n) over (partition by lang, source) as total, count(*) over (partition by lang, source) as terms,
+    sum(n) over (partition by lang, term) as n_all, sum(n) over (partition by lang) as everything
+  from cells
+),
+p as (
+  select lang, source, term, n, 1 + (1000000000 * (n + 2)) // (total + 2 * terms) as p,
+    1 + (1000000000 * (n_all + 2)) // (everything + 2 * terms) as q
+  from sums
+),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(v.value, 0) as value
+  from (select distinct lang, source from d) a join (select distinct lang, source from d) b on a.lang = b.lang and a.source <> b.source
+  left join (
+    select x.lang, x.source, y.source as item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) as value
+    from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all
+  ) v on v.lang = a.lang and v.source = a.source and v.item = b.source
+),
+rows as (
+  select lang, source, 'pair' as part, item, value::bigint as value from pairs
+  union all
+  select lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::bigint from p where n > 0 and p > q
+),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from rows)
+select * from ranked where part = 'pair' or rank <= {divergence.TOP}
+"""
+
+
+@query("op11_audit_sources", OP11_SQL)
+def op11_audit_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and the words that set each apart from its language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))

@@ -1,7 +1,14 @@
-"""Words and shingles of texts as 64-bit hashes, computed for a whole Arrow batch at a time."""
+"""Words and shingles of texts as hashes, computed for a whole Arrow batch at a time.
+
+Words are cut out of the bytes of all texts at once and numbered by Arrow, string by string. Only the distinct words of a slice are
+hashed, each as a whole by BLAKE2b. So two words share a 64-bit hash with a probability of 2**-64, whatever the words; n words of a corpus
+share none with a probability of 1 - n**2 / 2**65. A null text has no words; neither has one of white space.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,6 +18,7 @@ MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
+_LOWER_BYTES = _LOWER.astype(np.uint8)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -22,42 +30,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Powers:
-    """Powers of BASE and of its inverse modulo 2**64, grown as texts need them."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> None:
-        if n > len(self.up):
-            n = max(n, 2 * len(self.up))
-            inverse = pow(BASE, -1, 1 << 64)
-            self.up, self.down = (powers(base, n) for base in (BASE, inverse))
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    row = np.full(n, base, dtype=np.uint64)
-    row[0] = 1
-    return np.cumprod(row)
-
-
-def hashed_words(texts: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of every text in a row, A-Z in lower case, and the number of words per text."""
-    raw, bounds = raw_bytes(texts)
+def cut_words(raw: np.ndarray, bounds: np.ndarray, solid: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts (runs of solid bytes) as one binary array, their starts and ends, and the number of words per text."""
     n = len(raw)
     if not n:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
-    powers.upto(n)
-    solid = ~_SPACE[raw]
+        none = np.zeros(0, dtype=np.int64)
+        return pa.array([], pa.large_binary()), none, none, np.zeros(len(bounds) - 1, dtype=np.int64)
     edge = np.zeros(n + 1, dtype=bool)
     edge[bounds] = True
     before = np.concatenate([[False], solid[:-1]])
     starts = np.flatnonzero(solid & (~before | edge[:-1]))
     after = np.concatenate([solid[1:], [False]])
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((_LOWER[raw] + np.uint64(1)) * powers.up[:n])])
-    words = mix64((sums[ends] - sums[starts]) * powers.down[starts])
-    return words, np.diff(np.searchsorted(starts, bounds))
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[solid])])
+    return words, starts, ends, np.diff(np.searchsorted(starts, bounds))
+
+
+def word_digests(words: list[bytes], lanes: int = 1) -> np.ndarray:
+    """A row of `lanes` 64-bit numbers for each word."""
+    size = 8 * lanes
+    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=size).digest() for w in words]), dtype="<u8").reshape(-1, lanes)
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of every text in a row, A-Z in lower case, and the number of words per text."""
+    raw, bounds = raw_bytes(texts)
+    words, _, _, counts = cut_words(_LOWER_BYTES[raw], bounds, ~_SPACE[raw])
+    if not len(words):
+        return np.zeros(0, dtype=np.uint64), counts
+    coded = words.dictionary_encode()
+    return word_digests(coded.dictionary.to_pylist())[:, 0].take(coded.indices.to_numpy()), counts
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
