@@ -52,7 +52,7 @@ OUT = ["lang", "source", "part", "item", "value", "rank"]
 def folded(part: pa.RecordBatch) -> pa.Table:
     """lang, source, term, n, docs of a slice of documents (lang, source, text)."""
     raw, bounds = raw_bytes(part.column(2))
-    words, _, _, counts = cut_words(_LOWER_BYTES[raw], bounds, LETTER[raw])
+    words, counts = cut_words(_LOWER_BYTES[raw], bounds, LETTER[raw])
     coded = words.dictionary_encode()
     size = max(1, len(coded.dictionary))
     names = [part.column(i).dictionary_encode() for i in (0, 1)]
