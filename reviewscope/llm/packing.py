@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from itertools import chain
+from string import ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -25,64 +26,111 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewscope.llm.words import _LOWER_BYTES, cut_words, raw_bytes, slices
+
 WINDOW = 4096
 END = 2
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 ROWS_OUT = 20_000
+SLICE_BYTES = 1 << 20
+#: White space that the tokenizer drops, and that no word of it spans.
+BREAK = np.zeros(256, dtype=bool)
+BREAK[[9, 10, 13, 32]] = True
+#: Kinds of ASCII bytes that no unit of the tokenizer mixes; 0: leave together with what stands beside it.
+LETTER, SIGN, DIGIT = 1, 2, 3
+UNIT = np.zeros(256, dtype=np.uint8)
+UNIT[33:127] = SIGN
+UNIT[[*range(65, 91), *range(97, 123)]] = LETTER
+UNIT[48:58] = DIGIT
+UNIT[39] = 0
 OUT = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 class WordEncoder:
     """Token ids of texts, from ids of words that are kept.
 
-    For vocabularies that drop white space: a text's ids are those of its words, one after the other. `ends` are the
-    ids that end a word; they tell apart the words of a joined text.
+    For vocabularies that drop white space and tell letters, digits and other signs apart: a text's ids are those of its words, one after the
+    other, and words are cut where ASCII letters, signs and single digits meet (not at an apostrophe, which may belong to
+    either side, nor next to other scripts). The words of a batch are numbered by Arrow, so each distinct word is looked up once and the ids are gathered by number. `ends` are the
+    ids that end a word; they tell apart the words of a joined text. Where the vocabulary has no capitals, A-Z are made small
+    ahead of it, unless this could make one of its special tokens.
     """
 
-    def __init__(self, model: str, limit: int = CACHED_WORDS, suffix: str = "</w>"):
+    def __init__(self, model: str, end: int, limit: int = CACHED_WORDS, suffix: str = "</w>"):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_str(model)
-        self.limit = limit
-        self.known: dict[str, bytes] = {"": b""}
+        self.whole, self.limit = Tokenizer.from_str(model), limit
+        self.last = np.array([end], dtype=np.uint32)
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.special = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.small = self.whole.encode(ascii_uppercase).ids == self.whole.encode(ascii_uppercase.lower()).ids
+        self.forget()
+
+    def forget(self) -> None:
+        # Word -> its number; where the ids of a number begin in `ids`, and how many there are. Number 0 is the end of a text.
+        self.known: dict[bytes, int] = {}
+        self.ids, self.begin, self.size = self.last, np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def keep(self, words: list[bytes], ids: np.ndarray, stops: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        self.more.append((ids, stops))
+        self.size = np.concatenate([self.size, np.diff(stops, prepend=0)])
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         # A word of letters alone is one unit of the tokenizer, so its ids close with one end.
-        plain = [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.array(self.whole.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
+        self.more: list[tuple[np.ndarray, np.ndarray]] = []
+        texts = [w.decode() for w in words]
+        plain = [(w, t) for w, t in zip(words, texts) if t.isalpha()]
+        other = [(w, t) for w, t in zip(words, texts) if not t.isalpha()]
+        joined = [plain[at : at + 500] for at in range(0, len(plain), 500)]
+        for part, found in zip(joined, self.encoded([" ".join([t for _, t in part]) for part in joined])):
+            ids = np.array(found, dtype=np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part) and stops[-1] == len(ids):
-                raw, stops = ids.tobytes(), (stops * 4).tolist()
-                self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops))))
+                self.keep([w for w, _ in part], ids, stops)
             else:
                 other += part
-        for word, found in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, dtype=np.uint32).tobytes()
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [words(t) for t in texts]
+        if other:
+            found = self.encoded([t for _, t in other])
+            self.keep([w for w, _ in other], np.array([*chain.from_iterable(found)], dtype=np.uint32), np.cumsum([*map(len, found)]))
+        if self.more:
+            self.ids = np.concatenate([self.ids, *(ids for ids, _ in self.more)])
+            self.begin = np.cumsum(self.size) - self.size
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each closed with the end id, and the bounds between them."""
+        raw, bounds = raw_bytes(texts)
+        lower, cuts = _LOWER_BYTES[raw], None
+        data = lower.tobytes()
+        if not any(s in data for s in self.special):
+            raw = lower if self.small else raw
+            kind = UNIT[raw]
+            cuts = np.zeros(len(raw), dtype=bool)
+            cuts[1:] = (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+        words, counts = cut_words(raw, bounds, ~BREAK[raw], cuts)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         if len(self.known) > self.limit:
-            self.known = {"": b""}
-        new = set(chain.from_iterable(split)).difference(self.known)
-        self.learn(list(new))
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), dtype=np.uint32) for ws in split]
-
-
-def words(text: str) -> list[str]:
-    """Parts between white space that the tokenizer drops; lower case where that is safe to do ahead of it."""
-    try:
-        text.encode("latin-1")
-        text = text.lower()
-    except UnicodeEncodeError:
-        pass  # case and normal form are left to the tokenizer
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            self.forget()
+        known = self.known
+        self.learn([w for w in distinct if w not in known])
+        number = np.fromiter(map(known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        # The words' numbers, with that of the end behind each text.
+        last = np.cumsum(counts + 1) - 1
+        placed = np.zeros(int(last[-1]) + 1 if len(last) else 0, dtype=np.int64)
+        inside = np.ones(len(placed), dtype=bool)
+        inside[last] = False
+        placed[inside] = number.take(coded.indices.to_numpy())
+        length = self.size.take(placed)
+        upto = np.cumsum(length)
+        at = np.repeat(self.begin.take(placed) - (upto - length), length)
+        at += np.arange(len(at))
+        return self.ids.take(at), np.concatenate([[0], upto[last]])
 
 
 class Window:
@@ -187,18 +235,15 @@ def pack(
 ) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    `model` is the tokenizer's file as text; it is sent to the workers once, and a worker keeps its encoder.
+    `model` is the tokenizer's file as text; it is sent to the workers once. An encoder lives as long as its task.
     """
-    held = docs.sparkSession.sparkContext.broadcast({"model": model})
+    held = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     field = kept.schema["key"]
     schema = T.StructType([T.StructField("key", field.dataType), *(T.StructField(c, T.LongType()) for c in OUT)])
 
     def run(batches):
-        at_worker = held.value
-        if "encoder" not in at_worker:
-            at_worker["encoder"] = WordEncoder(at_worker["model"])
-        encode = at_worker["encoder"]
+        encode = WordEncoder(held.value, end)
         base = TaskContext.get().partitionId() << 32
         keys: list = []
         rows: list[tuple] = []
@@ -217,14 +262,13 @@ def pack(
             rows.clear()
             return batch
 
-        packer, kind, last = Packer(size, done), None, np.array([end], dtype=np.uint32)
+        packer, kind = Packer(size, done), None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for k, ids in zip(part.column(0).to_pylist(), encode(texts)):
-                    packer.add(k, np.concatenate([ids, last]))
+            for part in slices(batch, 1, SLICE_BYTES):
+                ids, bounds = encode(part.column(1))
+                for at, k in enumerate(part.column(0).to_pylist()):
+                    packer.add(k, ids[bounds[at] : bounds[at + 1]])
                 if len(rows) >= ROWS_OUT:
                     yield out(kind)
         packer.close()

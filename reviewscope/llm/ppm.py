@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewscope.llm.words import _LOWER, _SPACE, Powers, hashed_words, raw_bytes, slices
+from reviewscope.llm.words import _LOWER, _SPACE, hashed_words, raw_bytes, slices
 from reviewscope.session import stored
 
 ORDER = 5
@@ -41,7 +41,7 @@ NODES = 1 << 21
 WORDS = 1 << 20
 END = 0xFF
 END_WORD = np.uint64(0xE7D_0F_7E27)
-HELD = 4_000_000
+HELD = 1_000_000
 GRAM, WORD = 0, 1
 
 
@@ -121,93 +121,9 @@ class Hashed:
         return out
 
 
-class Level:
-    """Contexts of one length: their grams with counts, and what an escape from them costs."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, shorter: Level | None):
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.counts = grams[order], counts[order].astype(np.float64)
-        self.find_gram = Hashed(self.grams).find
-        names, owner = np.unique(self.grams >> np.uint64(8), return_inverse=True)
-        self.find_context = Hashed(names).find
-        kept = np.bincount(owner, weights=self.counts, minlength=len(names))
-        self.distinct = np.bincount(owner, minlength=len(names)).astype(np.float64)
-        self.pruned = np.zeros(len(names))
-        self.kept = kept
-        if shorter is not None:
-            # How often the context itself was seen: its count as a gram of the shorter level.
-            seen = shorter.find_gram(names)
-            full = np.where(seen >= 0, shorter.counts[np.maximum(seen, 0)], 0.0)
-            self.pruned = np.maximum(full - kept, 0.0)
-        total = kept + self.pruned + self.distinct
-        self.log_seen = np.log10(self.counts) - np.log10(total)[owner]
-        self.log_escape = np.log10((self.pruned + self.distinct) / total)
-        self.log_count = np.log10(self.counts)
-        if shorter is not None:
-            bits = np.uint64(8 * shorter_bytes(shorter))
-            tail = (np.uint64(1) << bits) - np.uint64(1)
-            below = shorter.find_context((names & (tail >> np.uint64(8))))
-            same = shorter.find_gram(self.grams & tail)
-            excluded = np.bincount(owner, weights=shorter.counts[same], minlength=len(names))
-            left = shorter.kept[below] - excluded
-            new = shorter.distinct[below] - self.distinct + shorter.pruned[below]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                # Nothing left below: the escape is certain.
-                self.log_below = np.log10(np.where(left + new > 0, left + new, 1.0))
-                self.log_escape_below = np.where(left + new > 0, np.log10(new) - self.log_below, 0.0)
-        self.length = 1 if shorter is None else shorter_bytes(shorter) + 1
-
-
-def shorter_bytes(level: Level) -> int:
-    return level.length
-
-
-class Trie:
-    """The model in memory, for counts that fit there. Grams that are left out add to the escapes of their contexts.
-
-    levels: per context length (grams, counts), from the empty context on.
-    """
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        self.levels: list[Level] = []
-        for grams, counts in levels:
-            if not len(grams):
-                break
-            self.levels.append(Level(grams, counts, self.levels[-1] if self.levels else None))
-        rest = 256 - (self.levels[0].distinct[0] if self.levels else 0)
-        self.log_rest = -math.log10(rest) if rest > 0 else -math.inf
-
-    def logs(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each gram after the bytes before it."""
-        out = np.zeros(len(grams))
-        todo = np.arange(len(grams))
-        above = np.full(len(grams), -1)  # the context escaped from, one level up
-        for j in range(len(self.levels) - 1, -1, -1):
-            level, upper = self.levels[j], self.levels[j + 1] if j + 1 < len(self.levels) else None
-            key = grams[todo] & np.uint64((1 << 8 * (j + 1)) - 1)
-            row = level.find_gram(key)
-            hit = row >= 0
-            fresh = above[todo] < 0
-            first, later = hit & fresh, hit & ~fresh
-            out[todo[first]] = level.log_seen[row[first]]
-            if upper is not None:
-                out[todo[later]] += level.log_count[row[later]] - upper.log_below[above[todo[later]]]
-            todo, key, fresh = todo[~hit], key[~hit], fresh[~hit]
-            if not len(todo):
-                return out
-            context = level.find_context(key >> np.uint64(8))
-            leave = fresh & (context >= 0)
-            out[todo[leave]] += level.log_escape[context[leave]]
-            if upper is not None:
-                out[todo[~fresh]] += upper.log_escape_below[above[todo[~fresh]]]
-            above[todo] = context
-        out[todo] += self.log_rest
-        return out
-
-
 # ------------------------------------------------------------------------------------- Spark
 class Tally:
-    """Counts of keys, folded again and again so that a task holds few of them."""
+    """Counts of keys, folded again and again so that a task holds few of them: at most HELD, and those of one slice."""
 
     def __init__(self):
         self.keys, self.counts, self.held = [], [], 0
@@ -231,7 +147,7 @@ def counted(train: DataFrame, order: int) -> DataFrame:
     """kind, key, n: how often each gram and each word occurs. `train` has the column text."""
 
     def run(batches):
-        tallies, powers = (Tally(), Tally()), Powers()
+        tallies = (Tally(), Tally())
 
         def out(clear: bool):
             for kind, tally in enumerate(tallies):
@@ -248,7 +164,7 @@ def counted(train: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 0):
                 tallies[GRAM].add(streams(part.column(0), order)[0])
-                words, _ = hashed_words(part.column(0), powers)
+                words, _ = hashed_words(part.column(0))
                 tallies[WORD].add(np.concatenate([words, np.full(len(part), END_WORD)]))
                 if max(t.held for t in tallies) > HELD:
                     if max(len(t.fold()[0]) for t in tallies) > HELD // 2:
@@ -266,12 +182,6 @@ def level_rows(grams: DataFrame, order: int) -> DataFrame:
     return rows.groupBy("level", "key").agg(F.sum("n").alias("n"))
 
 
-def trie_rows(grams: DataFrame, order: int, nodes: int) -> DataFrame:
-    """level, key, n: the grams of every context length that are frequent enough for a `Trie` of bounded size."""
-    limit = grams.agg((F.sum("n") / F.lit(nodes)).alias("least")).first()[0] or 0
-    return level_rows(grams, order).filter((F.col("level") == 0) | (F.col("n") >= F.lit(float(limit))))
-
-
 def context_rows(levels: DataFrame) -> DataFrame:
     """level, context, total, distinct, excluded: of each context the symbols after it, and what these count in the next shorter context."""
     below = levels.select((F.col("level") + 1).alias("level"), F.col("key").alias("suffix"), F.col("n").alias("below"))
@@ -281,6 +191,13 @@ def context_rows(levels: DataFrame) -> DataFrame:
     )
 
 
+def seen_logs(levels: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
+    """gram, n, log: log10 probability of the grams of the longest level."""
+    longest = levels.filter(F.col("level") == order).select(F.col("key").alias("gram"), "n", F.shiftright("key", 8).alias("context"))
+    longest = longest.join(contexts.filter(F.col("level") == order).select("context", "total", "distinct"), "context")
+    return longest.select("gram", "n", F.log10(F.col("n") / (F.col("total") + F.col("distinct"))).alias("log"))
+
+
 def unseen_logs(unseen: DataFrame, levels: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
     """gram, log: log10 probability of grams that the longest level does not have."""
     rows = unseen
@@ -342,9 +259,7 @@ def score(
     often = vocabulary.filter(F.col("n") >= floor).toArrow()
     levels = stored(level_rows(counts.filter(F.col("kind") == GRAM).select("key", "n"), order), "ppm-grams")
     contexts = stored(context_rows(levels), "ppm-contexts")
-    longest = levels.filter(F.col("level") == order).select(F.col("key").alias("gram"), "n", F.shiftright("key", 8).alias("context"))
-    longest = longest.join(contexts.filter(F.col("level") == order).select("context", "total", "distinct"), "context")
-    logs = stored(longest.select("gram", "n", F.log10(F.col("n") / (F.col("total") + F.col("distinct"))).alias("log")), "ppm-logs")
+    logs = stored(seen_logs(levels, contexts, order), "ppm-logs")
     gram_floor = (logs.agg(F.sum("n")).first()[0] or 0) / nodes
     frequent = logs.filter(F.col("n") >= gram_floor).select("gram", "log").toArrow()
     held = spark.sparkContext.broadcast(
@@ -363,7 +278,7 @@ def score(
             at_worker["find"] = Hashed(at_worker["often"][0]).find
             at_worker["logs"] = np.log10(at_worker["often"][1] + 0.1)
         find_gram, find, logs, gram_logs = at_worker["find_gram"], at_worker["find"], at_worker["logs"], at_worker["frequent"][1]
-        powers, row = Powers(), TaskContext.get().partitionId() << 36
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch, 2):
                 size = len(part)
@@ -373,7 +288,7 @@ def score(
                 known = found >= 0
                 scores = np.bincount(owner[known], weights=gram_logs[found[known]], minlength=size)
                 rest = listed(grams[~known], owner[~known], size, "gram")
-                hashes, sizes = hashed_words(part.column(2), powers)
+                hashes, sizes = hashed_words(part.column(2))
                 hashes = np.concatenate([hashes, np.full(size, END_WORD)])
                 owner = np.concatenate([np.repeat(np.arange(size), sizes), np.arange(size)])
                 found = find(hashes)

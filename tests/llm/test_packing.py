@@ -16,6 +16,8 @@ ODD = [
     " ",
     "plain words",
     "it's 12 o'clock, isn't it? x<|endoftext|>y",
+    "ΟΔΟΣ.x a,'s 'super x's,'s 12'3 a1b22c naïve,x e\u0301.é! $$,'' 3.14%x -- don't,re've ''s",
+    "CAPITALS <|ENDOFTEXT|> <|endoftext|> AA\u030a",
     "ΟΔΟΣ İstanbul été Ångström",
     "a b c\x1cd\x85e",
     "word " * 9000,

@@ -97,19 +97,33 @@ def test_grams_that_are_not_sent_count_too(spark, nodes):
         assert got[i] == pytest.approx(sum(plain_log(counts, s[k - ppm.ORDER : k], s[k]) for k in range(ppm.ORDER, len(s))), rel=1e-9)
 
 
-@pytest.mark.parametrize("nodes", [1 << 40, 60])
-def test_probabilities_add_up(spark, nodes):
-    texts = [t for t in TEXTS if t] * 2
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    counts = ppm.counted(df, 3).filter("kind = 0")
-    rows = ppm.trie_rows(counts, 3, nodes).toArrow()
-    level, grams, n = (rows.column(c).to_numpy() for c in ("level", "key", "n"))
-    assert all((level == j).sum() <= max(256, nodes) for j in range(4))
-    trie = ppm.Trie([(grams[level == j].view(np.uint64), n[level == j]) for j in range(4)])
-    contexts = np.unique(ppm.streams(pa.array(["the cat sat", "quiet abcab", "ünseen"]), 3)[0] >> np.uint64(8))
-    for c in contexts:
-        all_ = (c << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        assert 10 ** trie.logs(all_) @ np.ones(256) == pytest.approx(1, abs=1e-9)
+def test_probabilities_add_up(spark):
+    """All 256 symbols after contexts that were seen whole, in part or not at all."""
+    order = 3
+    df = spark.createDataFrame([(t,) for t in TEXTS if t], "text string")
+    levels = ppm.level_rows(ppm.counted(df, order).filter("kind = 0").select("key", "n"), order).cache()
+    contexts = ppm.context_rows(levels).cache()
+    asked = np.unique(ppm.streams(pa.array(["the cat sat", "quiet abcab", "ünseen"]), order)[0] >> np.uint64(8))
+    grams = spark.createDataFrame([(int(c) << 8 | s,) for c in asked for s in range(256)], "gram long")
+    logs = ppm.seen_logs(levels, contexts, order).select("gram", "log")
+    logs = logs.join(grams, "gram").unionByName(ppm.unseen_logs(grams.join(logs, "gram", "left_anti"), levels, contexts, order)).toPandas()
+    assert len(logs) == 256 * len(asked)
+    assert (10**logs["log"]).groupby(logs["gram"] // 256).sum().to_numpy() == pytest.approx(np.ones(len(asked)), abs=1e-9)
+
+
+def test_words_that_a_polynomial_modulo_two_powers_confuses(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    df = spark.createDataFrame([(1, one, False), (2, other, True)], "doc_id long, text string, hold boolean")
+    got = {r["doc_id"]: r["n_known"] for r in ppm.score(df, df["hold"]).collect()}
+    assert got == {1: 2, 2: 1}
+
+
+def test_clashing_columns(spark):
+    schema = "doc_id long, text string, key int, row string, grams int, n_tokens string, held_out string"
+    df = spark.createDataFrame([(1, "a b", 1, "x", 2, "y", "z"), (2, "a c", 1, "x", 2, "y", "z")], schema)
+    got = sorted(tuple(r)[:4] for r in ppm.score(df, df["doc_id"] == 2).collect())
+    assert got == [(1, False, 3, 3), (2, True, 3, 2)]
 
 
 def test_query_beats_shorter_contexts_on_held_out_texts(spark):
