@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewscope.llm import credentials, divergence, exact_dedup, language, minhash, mixing, packing, ppm, toxicity, vectors, warc
+from reviewscope.llm import credentials, divergence, exact_dedup, language, minhash, mixing, packing, ppm, substrings, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -278,3 +278,31 @@ select * from ranked where part = 'pair' or rank <= {divergence.TOP}
 def op11_audit_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each language are apart, and the words that set each apart from its language."""
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------------- 12: substring dedup
+OP12_SQL = rf"""
+with d as (select row_number() over () as row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+windows as (
+  select row, doc_id, i, array_to_string(words[i:i + {substrings.WINDOW} - 1], ' ') as text
+  from (select *, unnest(range(1, len(words) - {substrings.WINDOW} + 2)) as i from d)
+),
+firsts as (select text, min(doc_id) as first from windows group by text),
+gone as (
+  select distinct row, i + k as place
+  from (select row, i, unnest(range(0, {substrings.WINDOW})) as k from windows join firsts using (text) where doc_id > first)
+),
+placed as (select row, unnest(words) as word, unnest(range(1, len(words) + 1)) as place from d),
+kept as (
+  select p.row, string_agg(word, ' ' order by place) filter (g.place is null) as text, count(g.place) as n
+  from placed p left join gone g using (row, place) group by p.row
+)
+select doc_id, len(words)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept using (row)
+"""
+
+
+@query("op12_strip_substrings", OP12_SQL)
+def op12_strip_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages that an earlier one has too."""
+    return substrings.strip(table(spark, sf_dir, "documents"))
