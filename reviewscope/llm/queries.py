@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewscope.llm import credentials, divergence, exact_dedup, language, minhash, mixing, packing, ppm, substrings, toxicity, vectors, warc
+from reviewscope.llm import centroids, credentials, divergence, exact_dedup, language, minhash, mixing, packing, ppm, substrings, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -306,3 +306,52 @@ from d left join kept using (row)
 def op12_strip_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the passages that an earlier one has too."""
     return substrings.strip(table(spark, sf_dir, "documents"))
+
+
+# --------------------------------------------------------------------- 13: centroid clustering
+def op13_sql() -> str:
+    """Every round is a table of assignments and one of centroids, both in long form."""
+    d = centroids.DIMENSIONS
+    parts = [
+        f"""
+v as materialized (
+  select row_number() over () as row, vec_id, [floor({centroids.SCALE} * x::double)::bigint for x in embedding] as v
+  from embeddings
+  where len(embedding) = {d} and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+),
+cells as materialized (select row, unnest(v) as x, unnest(range(1, {d} + 1)) as dim from v),
+c0 as materialized (
+  select cluster, unnest(v) as c, unnest(range(1, {d} + 1)) as dim
+  from (select v, (row_number() over (order by sha256('{centroids.SEED}:' || coalesce(vec_id::varchar, 'null')), v) - 1)::int as cluster from v)
+  where cluster < {centroids.CLUSTERS}
+)"""
+    ]
+    for i in range(centroids.ROUNDS + 1):
+        parts.append(f"""
+a{i} as materialized (
+  select row, arg_min(cluster, (distance, cluster)) as cluster, min(distance) as distance
+  from (select row, cluster, sum((x - c) * (x - c))::bigint as distance from cells join c{i} using (dim) group by all)
+  group by row
+)""")
+        if i < centroids.ROUNDS:
+            parts.append(f"""
+c{i + 1} as materialized (
+  select cluster, coalesce(mean, c) as c, dim
+  from c{i} left join (
+    select cluster, dim, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as mean from cells join a{i} using (row) group by all
+  ) using (cluster, dim)
+)""")
+    return f"""
+with {",".join(parts)}
+select vec_id, cluster, distance, sum(distance) over (partition by cluster)::bigint as cluster_inertia, sum(distance) over ()::bigint as inertia,
+  name as centroid_sha256, count(*) over (partition by cluster) as cluster_size
+from a{centroids.ROUNDS} join v using (row) join (
+  select cluster, sha256(string_agg(c::bigint::varchar, ',' order by dim)) as name from c{centroids.ROUNDS} group by cluster
+) using (cluster)
+"""
+
+
+@query("op13_cluster_centroids", op13_sql())
+def op13_cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after the rounds, on whole numbers."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
