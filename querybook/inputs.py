@@ -11,7 +11,7 @@ from reviewscope.schema import REVIEW_CSV
 from reviewscope.session import scratch_path
 from reviewscope.sources import pages as html
 from reviewscope.sources import readers, writers
-from reviewscope.streaming import ingest
+from reviewscope.streaming import crawl, ingest
 
 
 @query(
@@ -31,8 +31,8 @@ def _(spark, sf):
     )
 
 
-def review_pages(spark, sf):
-    """API pages of up to 100 reviews each, every 17th page failed and every 19th empty."""
+def review_pages(spark, sf, repeats=0):
+    """API pages of up to 100 reviews each, every 17th page failed and every 19th empty; each repeats the first few of the next one."""
     c = F.col
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     author = F.struct("author_id", "playtime_forever", "num_games_owned", "num_reviews")
@@ -50,9 +50,11 @@ def review_pages(spark, sf):
         author.alias("author"),
     )
     page = F.floor(c("review_id") / 100)
-    grouped = reviews_meta(spark, sf).groupBy("game_id", page.alias("page")).agg(
-        F.array_sort(F.collect_list(review)).alias("reviews")
-    )
+    rows = reviews_meta(spark, sf).select("game_id", page.alias("page"), review.alias("review"), "review_id")
+    if repeats:
+        again = rows.filter(c("review_id") % 100 < repeats).withColumn("page", c("page") - 1).filter("page >= 0")
+        rows = rows.unionByName(again)
+    grouped = rows.groupBy("game_id", "page").agg(F.array_sort(F.collect_list("review")).alias("reviews"))
     n = F.when(c("page") % 19 == 3, 0).otherwise(F.size("reviews")).cast("long")
     return grouped.select(
         "game_id",
@@ -85,6 +87,44 @@ def _(spark, sf):
     return spark.read.parquet(target).select(*FLAT)
 
 
+# Where the read of a game ends, as a part of its pages: no cursor, a failed page, an empty one, a page that is missing.
+CRAWL_ENDS = {"click": 0.4, "view": 0.3, "purchase": 0.5, "error": 0.2}
+CRAWL_END_SQL = " ".join(f"when '{g}' then floor({part} * m)" for g, part in CRAWL_ENDS.items())
+
+
+@query(
+    "ingest_crawl",
+    f"with {META_SQL}, last as (select floor(max(review_id) / 100) as m from reviews), "
+    f"ends as (select *, floor(review_id / 100) as page, review_id % 100 < 10 as again, case game_id {CRAWL_END_SQL} else m end as stop from reviews, last) "
+    f"select game_id, review_id, author_id, {r6('playtime_forever')} as playtime_forever, votes_up, "
+    "strftime(date_trunc('second', timestamp_created), '%Y-%m-%d %H:%M:%S') as timestamp_created, steam_purchase, review from ends "
+    "where case when game_id in ('click', 'signup') then page <= stop or (again and page = stop + 1) else page < stop or (again and page = stop) end",
+)
+def _(spark, sf):
+    """Two drops of a crawl, the second one with the pages in between; a restart from the checkpoint."""
+    c = F.col
+    path, target, state = (scratch_path(spark, n) for n in ("crawl", "crawled", "crawl-state"))
+    pages = review_pages(spark, sf, repeats=10).withColumn("page", c("cursor").cast("long"))
+    last = table(spark, sf, "events").agg(F.max("event_id")).first()[0] // 100
+    stop = F.coalesce(*(F.when(c("game_id") == g, int(part * last)) for g, part in CRAWL_ENDS.items()), F.lit(-1))
+    at_end = c("page") == stop
+    size = F.size("reviews").cast("long")
+    n = F.when(at_end & (c("game_id") == "purchase"), 0).otherwise(size).cast("long")
+    pages = pages.filter(~(at_end & (c("game_id") == "error"))).select(
+        F.when(c("page") > 0, F.concat(F.lit("c"), c("page"))).alias("requested"),
+        "game_id",
+        F.when(at_end & (c("game_id") == "view"), 2).otherwise(1).alias("success"),
+        F.struct(n.alias("num_reviews"), size.alias("total_reviews")).alias("query_summary"),
+        F.when(at_end & (c("game_id") == "click"), F.lit(None)).otherwise(F.concat(F.lit("c"), c("page") + 1)).alias("cursor"),
+        "reviews",
+        (c("page") % 3 == 1).alias("late"),
+    )
+    for drop in (~c("late"), c("late")):
+        pages.filter(drop).drop("late").write.mode("append").json(path)
+        crawl.ingest_crawl(spark, path, target, state).awaitTermination()
+    return spark.read.parquet(target).select(*FLAT)
+
+
 @query(
     "extract_page_links",
     "with l as (select page_id, regexp_extract_all(html, '<a\\b[^>]*?\\bhref=\"([^\"]*)\"', 1) as hrefs from pages) "

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,9 +43,8 @@ def usable_pages(pages: DataFrame) -> DataFrame:
     return pages.filter((F.col("success") == 1) & (F.col("query_summary.num_reviews") > 0))
 
 
-def flatten_review_pages(pages: DataFrame) -> DataFrame:
-    """One row per review, author fields lifted, time as text in UTC."""
-    r = F.col("r")
+def review_columns(r: Column) -> list[Column]:
+    """The columns of a review table from a page's review: author fields lifted, time as text in UTC."""
     author = ("author_id", "playtime_forever", "num_games_owned", "num_reviews")
     own = (
         "votes_up",
@@ -56,14 +55,19 @@ def flatten_review_pages(pages: DataFrame) -> DataFrame:
         "written_during_early_access",
         "primarily_steam_deck",
     )
-    return usable_pages(pages).select("game_id", F.explode("reviews").alias("r")).select(
-        "game_id",
+    return [
         r["review_id"].alias("review_id"),
         *[r["author"][c].alias(c) for c in author],
         *[r[c].alias(c) for c in own],
         epoch_to_utc(r["timestamp_created"]).alias("timestamp_created"),
         r["review"].alias("review"),
-    )
+    ]
+
+
+def flatten_review_pages(pages: DataFrame) -> DataFrame:
+    """One row per review."""
+    rows = usable_pages(pages).select("game_id", F.explode("reviews").alias("r"))
+    return rows.select("game_id", *review_columns(F.col("r")))
 
 
 def prepare_reviews(reviews: DataFrame, lang: str = "en", min_words: int = 3) -> DataFrame:
