@@ -4,11 +4,12 @@ Terms are runs of letters, A-Z in lower case, and each language keeps those that
 (language, source) and a term counted c times there, p = 1 + floor(10**9 * (c + 2) / (N + 2 V)), N the group's count of all kept terms
 and V their number; q is the same of what the group is compared with, and the divergence is floor((p - q)**2 / (p + q)).
 
-1. Tasks fold their documents to (language, source, term, occurrences, documents) and write that down beside a 64-bit digest of
-   the term. Nothing of it is shuffled but the columns of fixed width: occurrences and documents are added up by digest.
-2. Which digests are kept is known now. A Bloom filter of them (at most `BLOOM_BITS` bits) lets the written strings of other terms stay where
+1. Tasks fold their documents to (language, source, digest, occurrences, documents), the digest being 64 bits of the term, and write that
+   down; the term's string stands beside its first row only. Nothing of it is shuffled but the columns of fixed width: occurrences and
+   documents are added up by digest.
+2. Which digests are kept is known now. A Bloom filter of them (at most 2**`BLOOM_BITS` bits) lets the written strings of other terms stay where
    they are; of the rest the smallest and the largest string of each digest are found. If they differ, several terms share the digest:
-   these are split, that is, counted again by their strings. Terms are never told apart by digests alone.
+   these are split, that is, counted again from the documents by their strings. Terms are never told apart by digests alone.
 3. Everything after that is done by digest; the ten words of a group get their text at the end, when few rows are left.
 
 A pair of sources needs the sum over all kept terms, those that neither has included. The sum is that of two sources without any term (one
@@ -31,14 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reviewscope.llm.words import _LOWER_BYTES, cut_words, raw_bytes, slices
+from reviewscope.llm.words import _LOWER_BYTES, BASE, cut_words, mix64, raw_bytes, slices
 from reviewscope.session import stored
 
 LEAST = 10
 TOP = 10
 SCALE = 1_000_000_000
 HELD = 200_000
-BLOOM_BITS = 1 << 27
+BLOOM_BITS = 27
 HASHES = 4
 #: Bytes of letters: a-z, A-Z and all of other scripts' characters.
 LETTER = np.ones(256, dtype=bool)
@@ -73,11 +74,22 @@ def folded(part: pa.RecordBatch) -> pa.Table:
 
 
 def term_parts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs; a task gives a term of a group once, or a few times if it meets very many."""
+    """lang, source, term, n, docs, first; a task gives a term of a group once, or a few times if it meets very many.
+
+    `first` marks one row for each term of a language that is given at a time.
+    """
 
     def run(batches):
         held, rows = [], 0
 
+        def out():
+            table = sums()
+            names = [table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "term")]
+            key = names[0].indices.to_numpy().astype(np.int64) * len(names[1].dictionary) + names[1].indices.to_numpy()
+            first = np.zeros(len(table), dtype=bool)
+            first[np.unique(key, return_index=True)[1]] = True
+            yield from table.append_column("first", pa.array(first)).to_batches(max_chunksize=50_000)
+
         def sums() -> pa.Table:
             return pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(NAMES)
 
@@ -89,50 +101,61 @@ def term_parts(docs: DataFrame) -> DataFrame:
                     held = [sums()]
                     rows = len(held[0])
                     if rows > HELD // 2:
-                        yield from held[0].to_batches(max_chunksize=50_000)
+                        yield from out()
                         held, rows = [], 0
         if held:
-            yield from sums().to_batches(max_chunksize=50_000)
+            yield from out()
 
-    return docs.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return docs.mapInArrow(run, "lang string, source string, term string, n long, docs long, first boolean")
 
 
+#: As Arrow's sums leave them.
 NAMES = ["lang", "source", "term", "n", "docs"]
 
 
 # ------------------------------------------------------------------------------- which are kept
-def bloom(kept: DataFrame) -> np.ndarray:
-    """The digests of `kept` as a Bloom filter in 64-bit words; at most BLOOM_BITS bits reach the driver."""
-    n = kept.count()
-    bits = 1 << min(BLOOM_BITS.bit_length() - 1, max(10, (16 * n).bit_length()))
-    place = F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(i), "digest"), F.lit(bits)) for i in range(HASHES))))
-    words = kept.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
-    rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(bits // 64, dtype=np.int64)
+def places(digests: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of each digest in a Bloom filter of 2**bits bits, a row for each hash."""
+    digests = digests.view(np.uint64)
+    return np.stack([(mix64(digests + np.uint64((i + 1) * BASE % 2**64)) >> np.uint64(64 - bits)).astype(np.int64) for i in range(HASHES)])
+
+
+def bloom(kept: DataFrame, bits: int) -> np.ndarray:
+    """The digests of `kept` as a Bloom filter in 64-bit words; 2**bits bits at most reach the driver."""
+
+    def run(batches):
+        for batch in batches:
+            at = np.unique(places(batch.column(0).to_numpy(), bits))
+            words, first = np.unique(at >> 6, return_index=True)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.bitwise_or.reduceat(np.int64(1) << (at & 63), first))], names=["word", "bits"])
+
+    rows = kept.select("digest").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << bits >> 6, dtype=np.int64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return out
 
 
 def passing(parts: DataFrame, kept: DataFrame) -> DataFrame:
-    """lang, digest, term of the parts whose digest is kept, and of a few others."""
-    held = parts.sparkSession.sparkContext.broadcast(bloom(kept))
-    bits = 64 * len(held.value)
-    places = F.array(*(F.pmod(F.xxhash64(F.lit(i), "digest"), F.lit(bits)) for i in range(HASHES)))
+    """lang, digest, term of the parts with a term whose digest is kept, and of a few others."""
+    bits = min(BLOOM_BITS, max(10, (16 * kept.count()).bit_length()))
+    held = parts.sparkSession.sparkContext.broadcast(bloom(kept, bits))
 
     def run(batches):
         words = held.value
         for batch in batches:
             if len(batch):
-                place = batch.column(3).flatten().to_numpy().reshape(-1, HASHES)
-                fine = ((words[place >> 6] >> (place & 63)) & 1).all(axis=1)
-                yield batch.select(["lang", "digest", "term"]).filter(pa.array(fine))
+                at = places(batch.column(1).to_numpy(), bits)
+                yield batch.filter(pa.array(((words[at >> 6] >> (at & 63)) & 1).all(axis=0)))
 
-    return parts.select("lang", "digest", "term", places.alias("places")).mapInArrow(run, "lang string, digest long, term string")
+    return parts.filter("term is not null").select("lang", "digest", "term").mapInArrow(run, "lang string, digest long, term string")
 
 
-def kept_counts(parts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def kept_counts(parts: DataFrame, again: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, source, digest, split, n) of the kept terms that a group has, and (lang, digest, term) of those that have a digest of their own.
 
+    `parts` has strings for some rows; `again`, which is read only if terms share a digest, for all.
+
     `split` is empty where the digest is one term's, and the term where several share it.
     """
     counts = stored(parts.groupBy(*GROUP, "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term-counts")
@@ -144,7 +167,7 @@ def kept_counts(parts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     found = counts.join(names.select("lang", "digest"), ["lang", "digest"]).select(*GROUP, "digest", F.lit("").alias("split"), "n")
     shared = ends.filter("low <> high").select("lang", "digest")
     if not shared.isEmpty():
-        exact = parts.join(shared, ["lang", "digest"]).groupBy(*GROUP, "digest", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        exact = again.join(shared, ["lang", "digest"]).groupBy(*GROUP, "digest", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         often = exact.groupBy("lang", "term").agg(F.sum("docs").alias("all")).filter(F.col("all") >= least).select("lang", "term")
         found = found.unionByName(exact.join(often, ["lang", "term"]).select(*GROUP, "digest", F.col("term").alias("split"), "n"))
     return stored(found, "kept-terms"), names
@@ -197,8 +220,9 @@ def audit(
 ) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank. `digest` is a parameter so that tests can make terms collide."""
     named = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(to) for c, to in ((lang, "lang"), (source, "source"), (text, "text"))))
-    parts = stored(term_parts(named).withColumn("digest", digest(F.col("term"))), "term-parts")
-    kept, names = kept_counts(parts, least)
+    whole = term_parts(named).withColumn("digest", digest(F.col("term")))
+    parts = stored(whole.select(*GROUP, "digest", "n", "docs", F.when(F.col("first"), F.col("term")).alias("term")), "term-parts")
+    kept, names = kept_counts(parts, whole, least)
 
     totals = stored(kept.groupBy(*TERM).agg(F.sum("n").alias("all")), "term-totals")
     languages = totals.groupBy("lang").agg(F.sum("all").alias("everything"), F.count(F.lit(1)).alias("terms"))
