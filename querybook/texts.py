@@ -347,3 +347,48 @@ def _(spark, sf):
     found = topics.nmf_topics(reviews_text(spark, sf))
     rows = reviews_text(spark, sf).join(found.weights, ["game_id", "review_id"])
     return topics.topic_sentiment(rows, found.topics, SCORER)
+
+
+# One multiplicative step on the free topics' weights, in blocks of ten reviews: what the models' table and the blocks' sums have to give.
+STEP_TOPICS, STEP_SEED, STEP_SCALE, STEP_TERMS = 3, 42, 0.1, 5
+
+
+def _start_sql(item: str) -> str:
+    number = topics.scattered(item, "c", STEP_SEED).replace("pmod(", "mod(").replace(f"{topics.PRIME + 1}D", f"{topics.PRIME + 1}::double")
+    return f"{number} * {STEP_SCALE}::double"
+
+
+STEP_SQL = (
+    f"{vocab_sql(**features.FREE)}, raw as (select game_id, review_id, rank, tf * (ln((1 + docs)::double / (1 + df)) + 1) as w "
+    "from tf join vocab using (game_id, term)), "
+    "x as (select game_id, review_id, rank, w / sqrt(sum(w * w) over (partition by game_id, review_id)) as v from raw), "
+    f"parts as (select unnest(range({STEP_TOPICS})) as c), "
+    f"w0 as (select game_id, review_id, c, {_start_sql('review_id')} as w from (select distinct game_id, review_id from x), parts), "
+    f"h0 as (select game_id, rank, c, {_start_sql('rank')} as h from vocab, parts), "
+    "xht as (select game_id, review_id, c, sum(v * h) as s from x join h0 using (game_id, rank) group by all), "
+    "hht as (select a.game_id, a.c, b.c as d, sum(a.h * b.h) as s from h0 a join h0 b using (game_id, rank) group by all), "
+    "wden as (select w0.game_id, review_id, hht.c, sum(w * s) as s from w0 join hht on w0.game_id = hht.game_id and w0.c = hht.d group by all), "
+    "w1 as (select game_id, review_id, c, w * xht.s / wden.s as w from w0 join xht using (game_id, review_id, c) join wden using (game_id, review_id, c)), "
+    "wtx as (select game_id, rank, c, sum(v * w) as s from x join w1 using (game_id, review_id) group by all), "
+    "wtw as (select a.game_id, a.c, b.c as d, sum(a.w * b.w) as s from w1 a join w1 b using (game_id, review_id) group by all), "
+    "hden as (select h0.game_id, rank, wtw.c, sum(h * s) as s from h0 join wtw on h0.game_id = wtw.game_id and h0.c = wtw.d group by all), "
+    "h1 as (select game_id, rank, c, h * wtx.s / hden.s as h from h0 join wtx using (game_id, rank, c) join hden using (game_id, rank, c)), "
+    "best as (select *, row_number() over (partition by game_id, c order by h desc, rank) as place from h1 where h > 0)"
+)
+
+
+@query(
+    "nmf_one_step",
+    f"with {STEP_SQL} select game_id, 'review' as part, review_id::varchar as item, c as component, null::bigint as place, {r6('w')} as weight from w1 "
+    f"union all select game_id, 'term', term, c, place, {r6('h')} from best join vocab using (game_id, rank) where place <= {STEP_TERMS}",
+)
+def _(spark, sf):
+    def start(game, terms, places):
+        return topics.scattered_rows(STEP_TOPICS, terms, STEP_SEED) * STEP_SCALE
+
+    given = counts(spark, sf)
+    vocab = features.vocabulary(given, **features.FREE)
+    terms, reviews = topics.factorise(given, vocab, STEP_TOPICS, start, max_iter=1, w_scale=STEP_SCALE, seed=STEP_SEED, top_n=STEP_TERMS, block_rows=10)
+    rows = reviews.select("game_id", F.lit("review").alias("part"), F.col("review_id").cast("string").alias("item"), F.posexplode("weights").alias("component", "weight"))
+    rows = rows.withColumn("place", F.lit(None).cast("bigint"))
+    return rows.unionByName(terms.select("game_id", F.lit("term").alias("part"), F.col("term").alias("item"), "component", "weight", "place"))

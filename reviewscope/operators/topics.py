@@ -1,10 +1,10 @@
 """Non-negative factorisation of the term weights per game, for all games at once.
 
-Reviews are packed into blocks of bounded size.  A game of one block is fitted inside the task that
-holds the block.  For a larger game one pass over its blocks per iteration updates the review side W
-and returns, per task and game, sums no larger than the topic side H.  That H (topics x at most 1000
-terms) lives on the driver as in any iterative Spark estimator; if the games together exceed
-MODEL_BYTES they are fitted in several rounds, so its size is bounded.
+Reviews are packed into blocks of bounded size. A game of one block is fitted inside the task that holds the block. Larger games share a
+table of models, one row per game with its topic side H (topics x at most 1000 terms). An iteration joins the models to the blocks,
+updates the review side W where it lies, adds up what the next H needs in the executors (per task first, no sum larger than H), and
+writes the next models, again in executors. The driver asks every few iterations whether any game is still moving; no matrix
+ever reaches it. Starting values are hashed from ids and ranks, so neither partitioning nor engine changes them.
 """
 
 from __future__ import annotations
@@ -30,13 +30,17 @@ from reviewscope.session import shared_dir, stored
 GAME = "game_id"
 BLOCK_ROWS = 2000
 BLOCKS_PER_TASK = 64
-MODEL_BYTES = 256 << 20
+# All models together are broadcast up to this size; beyond it they are joined by a shuffle.
+MODEL_BYTES = 64 << 20
 CHECK_EVERY = 10
 EPSILON = float(np.finfo(np.float32).eps)
 
 STATE = "game_id string, block long, ids array<long>, lens array<int>, idx array<int>, vals array<double>, w array<double>"
 
 
+MODEL = "game_id string, h array<double>, first double, last double, active boolean"
+PRIME = 1_000_003
+
 # (game, number of terms, seed word -> column) -> first H
 Start = Callable[[str, int, Mapping[str, int]], np.ndarray]
 
@@ -46,6 +50,18 @@ class Topics(NamedTuple):
     weights: DataFrame  # game_id, review_id, weights
 
 
+def scattered(item: str, component: str, seed: int) -> str:
+    """A number in (0, 1) for each (item, component), in whole-number arithmetic that SQL and numpy share."""
+    x = f"pmod(pmod({item}, {PRIME}) * 7919 + {component} * 104729 + {seed}, {PRIME})"
+    return f"(pmod(pmod({x} * {x} + 12345, {PRIME}) * ({x} + 1), {PRIME}) + 1) / {PRIME + 1}D"
+
+
+def scattered_rows(k: int, terms: int, seed: int) -> np.ndarray:
+    """The same for items 1 to `terms`, a row per component."""
+    x = ((np.arange(1, terms + 1) % PRIME) * 7919 + np.arange(k)[:, None] * 104729 + seed) % PRIME
+    return (((x * x + 12345) % PRIME * (x + 1)) % PRIME + 1) / (PRIME + 1)
+
+
 def _blocks(weights: DataFrame, k: int, scale: float, seed: int, sizes: DataFrame, tasks: int) -> DataFrame:
     """Reviews of a game in blocks of about BLOCK_ROWS, with hashed starting values for W."""
     docs = weights.groupBy(GAME, "review_id").agg(
@@ -54,9 +70,7 @@ def _blocks(weights: DataFrame, k: int, scale: float, seed: int, sizes: DataFram
     docs = grouping.join_small(docs, sizes.select(GAME, "blocks"), [GAME]).withColumn(
         "block", F.pmod(F.xxhash64("review_id"), F.col("blocks"))
     )
-    start = F.expr(
-        f"transform(sequence(0, {k - 1}), c -> (pmod(xxhash64(review_id, c, {seed}), 1000003) + 1) / 1000004D * {scale!r}D)"
-    )
+    start = F.expr(f"transform(sequence(0, {k - 1}), c -> {scattered('review_id', 'c', seed)} * {scale!r}D)")
     packed = docs.withColumn("w", start).groupBy(GAME, "block").agg(
         F.array_sort(F.collect_list(F.struct("review_id", "t", "w"))).alias("rows")
     )
@@ -84,15 +98,16 @@ def _update_block(w: np.ndarray, h: np.ndarray, lens, idx, vals):
     return w, np.concatenate([wtx.ravel(), (w.T @ w).ravel(), [float(vals @ vals), *before]])
 
 
-def _step(models, k: int):
+def _step(k: int):
+    """W against the H that came with each block, and per game one row of sums."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for pdf in batches:
             new = []
-            for game, lens, idx, vals, w in zip(pdf[GAME], pdf["lens"], pdf["idx"], pdf["vals"], pdf["w"]):
-                h = models.value.get(game)
+            for game, lens, idx, vals, w, h in zip(pdf[GAME], pdf["lens"], pdf["idx"], pdf["vals"], pdf["w"], pdf["h"]):
                 if h is not None:
-                    w, stats = _update_block(w.reshape(-1, k), h, lens, idx, vals)
+                    w, stats = _update_block(w.reshape(-1, k), h.reshape(k, -1), lens, idx, vals)
                     sums[game] = sums[game] + stats if game in sums else stats
                 new.append(np.ravel(w))
             yield pdf[["game_id", "block", "ids", "lens", "idx", "vals"]].assign(w=new, stats=None)
@@ -103,6 +118,26 @@ def _step(models, k: int):
     return run
 
 
+def _advance(k: int, turn: int, tol: float):
+    """The next model of each game from the sums of one pass; a game that has stalled rests."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples():
+                h, first, last, active = row.h, row.first, row.last, row.active
+                if row.sums is not None:
+                    h, error, before = _next_h(h.reshape(k, -1), row.sums, k)
+                    if turn == 1:
+                        first = last = before or EPSILON
+                    if turn % CHECK_EVERY == 0:
+                        active, last = (last - error) / first >= tol, error
+                out.append((row.game_id, np.ravel(h), first, last, active))
+            yield pd.DataFrame(out, columns=["game_id", "h", "first", "last", "active"])
+
+    return run
+
+
 def _next_h(h: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, float, float]:
     """H after the sums of one pass, the error now, and the error before that pass."""
     cut = h.size
@@ -159,40 +194,44 @@ def _places(seeds) -> dict[str, int]:
     return {} if seeds is None else {x["term"]: x["rank"] - 1 for x in seeds}
 
 
-def _fit_together(state: DataFrame, models: dict[str, np.ndarray], k: int, max_iter: int, tol: float) -> DataFrame:
-    """Games of many blocks: W moves in the tasks, H here, until every game's error stalls.
+def _first_models(start: Start):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            h = [np.ravel(start(g, int(n), _places(s))) for g, n, s in zip(pdf[GAME], pdf["terms"], pdf["seeds"])]
+            yield pd.DataFrame({GAME: pdf[GAME], "h": h, "first": 0.0, "last": 0.0, "active": True})
 
-    `models` is updated in place; one job per iteration.
+    return run
+
+
+def _best_terms(k: int, top_n: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(g, *t) for g, h in zip(pdf[GAME], pdf["h"]) for t in _top_terms(h.reshape(k, -1), top_n)]
+            yield pd.DataFrame(rows, columns=["game_id", "component", "place", "rank", "weight"])
+
+    return run
+
+
+def _fit_together(
+    state: DataFrame, models: DataFrame, small: bool, k: int, max_iter: int, tol: float
+) -> tuple[DataFrame, DataFrame]:
+    """Games of many blocks: one pass over the blocks per iteration, until every game's error stalls. (blocks, models)
+
+    `small` says that all models together may be broadcast.
     """
-    spark = state.sparkSession
-    active = dict(models)
-    first: dict[str, float] = {}
-    last: dict[str, float] = {}
+    models = stored(models, "topic-models")
     columns = ["game_id", "block", "ids", "lens", "idx", "vals", "w"]
     held: DataFrame | None = None
     for turn in range(1, max_iter + 1):
-        shipped = spark.sparkContext.broadcast(active)
-        moved = state.mapInPandas(_step(shipped, k), STATE + ", stats array<double>")
-        moved = moved.persist(StorageLevel.MEMORY_AND_DISK)
-        sums = (
-            moved.filter("stats is not null")
-            .groupBy(GAME)
-            .agg(vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("s"))
-            .collect()
-        )
-        check = turn % CHECK_EVERY == 0
-        active = dict(active)
-        for game, s in sums:
-            h, error, before = _next_h(active[game], np.asarray(s), k)
-            models[game] = active[game] = h
-            if turn == 1:
-                first[game] = last[game] = before or EPSILON
-            if check:
-                if (last[game] - error) / first[game] < tol:
-                    del active[game]
-                last[game] = error
+        moving = models.filter("active").select(GAME, "h")
+        together = state.join(F.broadcast(moving) if small else moving, GAME, "left")
+        moved = together.mapInPandas(_step(k), STATE + ", stats array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+        sums = moved.filter("stats is not null").groupBy(GAME)
+        sums = sums.agg(vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("sums"))
+        models = stored(models.join(sums, GAME, "left").mapInPandas(_advance(k, turn, tol), MODEL), "topic-models")
         state = moved.filter("ids is not null").select(*columns)
-        done = not active or turn == max_iter
+        check = turn % CHECK_EVERY == 0
+        done = turn == max_iter or (check and models.filter("active").isEmpty())
         if check or done:
             # Written to the shared folder: bounds the lineage and survives lost executors.
             state = state.checkpoint()
@@ -200,10 +239,9 @@ def _fit_together(state: DataFrame, models: dict[str, np.ndarray], k: int, max_i
             if old is not None:
                 old.unpersist()
         held = None if check or done else moved
-        shipped.unpersist()
         if done:
             break
-    return state
+    return state, models
 
 
 def factorise(
@@ -247,20 +285,12 @@ def factorise(
 
     large = sizes.filter("blocks > 1")
     terms = int(large.agg(F.sum("terms")).first()[0] or 0)
-    rounds = math.ceil(terms * k * 8 * 3 / MODEL_BYTES)
-    for r in range(rounds):
-        mine = F.pmod(F.xxhash64(GAME), F.lit(rounds)) == r
-        models = {
-            row[GAME]: start(row[GAME], int(row["terms"]), _places(row["seeds"]))
-            for row in large.filter(mine).collect()
-        }
-        if not models:
-            continue
-        own = grouping.join_small(packed.filter(mine), large.filter(mine).select(GAME), [GAME])
-        state = _fit_together(own, models, k, max_iter, tol)
+    if terms:
+        own = grouping.join_small(packed, large.select(GAME), [GAME])
+        models = large.select(GAME, "terms", "seeds").mapInPandas(_first_models(start), MODEL)
+        state, models = _fit_together(own, models, terms * k * 8 <= MODEL_BYTES, k, max_iter, tol)
         states.append(state.select(GAME, "ids", "w"))
-        best = [(game, *t) for game, h in models.items() for t in _top_terms(h, top_n)]
-        tops = tops.unionByName(spark.createDataFrame(best, tops.schema))
+        tops = tops.unionByName(models.mapInPandas(_best_terms(k, top_n), tops.schema))
 
     named = tops.join(vocab.select(GAME, "rank", "term"), [GAME, "rank"])
     reviews = reduce(DataFrame.unionByName, states)
@@ -326,7 +356,7 @@ def nmf_topics(
     """Free topics: the ten strongest words of each, and every review's weight per topic."""
 
     def start(game: str, terms: int, places: Mapping[str, int]) -> np.ndarray:
-        return np.random.default_rng(seed).random((n_topics, terms)) * 0.1
+        return scattered_rows(n_topics, terms, seed) * 0.1
 
     counts = features.term_counts(df)
     vocab = features.vocabulary(counts, **features.FREE)
