@@ -6,7 +6,7 @@ from querybook.base import META_SQL, RAW_SQL, TEXT_SQL, query, r6, reviews_meta,
 from reviewscope.config import LANGUAGE_PROFILES, NUMERIC_COLUMNS, REQUIRED_COLUMNS
 from reviewscope.functions import numeric as fn
 from reviewscope.functions import text as ft
-from reviewscope.operators import cleaning, text_models
+from reviewscope.operators import cleaning, languages, text_models
 
 BLANK = r"coalesce(not regexp_matches(review, '[^\pZ\pC]'), true)"
 W = r"[\pL\pN_]"
@@ -44,6 +44,34 @@ def _(spark, sf):
     return df.select("review_id", ft.guess_language(F.col("review")).alias("guessed"))
 
 
+# Trained on four fifths of the documents; every document is told, the rest of them held out.
+TRIGRAMS_SQL = (
+    f"{TEXT_SQL}, points as (select review_id, lang, list_transform(string_split(' ' || "
+    "trim(regexp_replace(lower(review), '[^\\pL]+', ' ', 'g')) || ' ', ''), lambda c: unicode(c)) as p from reviews where review is not null), "
+    f"cells as (select review_id, lang, unnest(list_transform(range(1, len(p) - 1), lambda i: (p[i]::bigint * 961 + p[i + 1] * 31 + p[i + 2]) % {languages.CELLS})) as cell from points), "
+    "counts as (select lang, cell, count(*) as n from cells where review_id % 5 <> 0 and lang is not null group by all), "
+    "totals as (select lang, sum(n) as total from counts group by lang), "
+    "sums as (select review_id, t.lang, count(*) as size, "
+    f"sum(round(ln((coalesce(n, 0) + 1)::double / (total + {languages.CELLS})) * {languages.UNIT})::bigint)::bigint as sum "
+    "from cells c join totals t on true left join counts k on k.lang = t.lang and k.cell = c.cell group by all), "
+    "ranked as (select *, row_number() over (partition by review_id order by sum desc, lang) as place, "
+    "lead(sum) over (partition by review_id order by sum desc, lang) as next from sums)"
+)
+
+
+@query(
+    "language_trigrams",
+    f"with {TRIGRAMS_SQL} select r.review_id, r.review_id % 5 = 0 as held_out, k.lang as detected, "
+    f"{r6(f'(sum - next) / {languages.UNIT}::double / size')} as margin from reviews r left join ranked k on r.review_id = k.review_id and place = 1",
+)
+def _(spark, sf):
+    df = reviews_text(spark, sf)
+    held_out = F.col("review_id") % 5 == 0
+    model = languages.train_languages(df.filter(~held_out))
+    found = df.select("review_id", held_out.alias("held_out"), model.detect("review").alias("found"))
+    return found.select("review_id", "held_out", F.col("found.language").alias("detected"), "found.margin")
+
+
 @query("repair_text")
 def _(spark, sf):
     df = reviews_text(spark, sf)

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from reviewscope.config import NUMERIC_COLUMNS, REQUIRED_COLUMNS
 from reviewscope.functions import numeric as fn
 from reviewscope.functions import text as ft
+from reviewscope.operators.languages import LanguageModel
 
 
-def language_filter(df: DataFrame, text: str = "review", lang: str = "en", column: str | None = "lang") -> DataFrame:
-    """Keep rows in one language, by a language column if there is one, else by a guess."""
-    known = F.col(column) if column and column in df.columns else ft.guess_language(F.col(text))
+def language_filter(
+    df: DataFrame, text: str = "review", lang: str = "en", column: str | None = "lang", model: LanguageModel | None = None
+) -> DataFrame:
+    """Keep rows in one language: by a trained model if given, else by a language column if there is one, else by a guess."""
+    if model is not None:
+        known = model.detect(text)["language"]
+    else:
+        known = F.col(column) if column and column in df.columns else ft.guess_language(F.col(text))
     return df.filter(known == lang)
 
 
