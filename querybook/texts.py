@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from querybook.base import TEXT_SQL, query, r6, reviews_text
 from querybook.cleaning import W
 from reviewscope.config import STOP_WORDS
+from reviewscope.functions import text as ft
 from reviewscope.operators import aspects, features, topics
 from reviewscope.operators.sentiment import lexicon_scorer, score_sentiment
 
@@ -110,6 +111,32 @@ def _(spark, sf):
     return tagged.select("review_id", F.explode("aspects").alias("aspect"))
 
 
+@query("tag_aspects_automaton", f"with {JUDGED_SQL} select review_id, aspect from tagged")
+def _(spark, sf):
+    tagged = aspects.tag_aspects(reviews_text(spark, sf), KEYWORDS, automaton=True)
+    return tagged.select("review_id", F.explode("aspects").alias("aspect"))
+
+
+# Ten thousand keywords: the words found in most reviews, dealt to aspects by their length.
+MANY = 10_000
+MANY_SQL = (
+    f"{TEXT_SQL}, tokens as (select distinct review_id, unnest(regexp_extract_all(lower(review), '{W}+')) as word from reviews), "
+    "most as (select word, count(*) as n from tokens group by word), "
+    f"listed as (select word, 'length ' || length(word) as aspect from most order by n desc, word limit {MANY})"
+)
+
+
+@query("tag_many_keywords", f"with {MANY_SQL} select distinct review_id, aspect from tokens join listed using (word)")
+def _(spark, sf):
+    words = reviews_text(spark, sf).select("review_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("review"), F.lit(ft.WORD + "+"), F.lit(0)))).alias("word"))
+    most = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(MANY)
+    dictionary: dict[str, list[str]] = {}
+    for r in most.collect():
+        dictionary.setdefault(f"length {len(r['word'])}", []).append(r["word"])
+    tagged = aspects.tag_aspects(reviews_text(spark, sf), dictionary)
+    return tagged.select("review_id", F.explode("aspects").alias("aspect"))
+
+
 @query(
     "score_sentiment",
     f"with {JUDGED_SQL} select review_id, label, {r6('confidence')} as confidence from scored",

@@ -15,28 +15,44 @@ from reviewscope.config import ASPECT_SEEDS, CUTS, SentimentCuts
 from reviewscope.functions import text as ft
 from reviewscope.functions.numeric import percent
 from reviewscope.operators import grouping
+from reviewscope.operators.automaton import ANY_GAME, MOST_KEYWORDS, tag_by_automaton
 from reviewscope.operators.sentiment import Scorer, score_sentiment
 
 GAME = "game_id"
 KEYWORDS = ASPECT_SEEDS
+PATTERN_KEYWORDS = 500
 
 
 def tag_aspects(
-    df: DataFrame, keywords: Mapping[str, Sequence[str]] | DataFrame = KEYWORDS, text: str = "review"
+    df: DataFrame,
+    keywords: Mapping[str, Sequence[str]] | DataFrame = KEYWORDS,
+    text: str = "review",
+    automaton: bool | None = None,
 ) -> DataFrame:
     """Add `aspects`, the names of all aspects with a keyword (word or phrase) in the text.
 
     `keywords` is one dictionary for all games, or a DataFrame (game_id, aspect, keywords) with a
-    dictionary per game; a game missing there gets no aspects.
+    dictionary per game; a game missing there gets no aspects. `automaton` looks for all keywords in one pass; it is the
+    default for dictionaries of more than PATTERN_KEYWORDS. A table is then collected, of MOST_KEYWORDS keywords at most.
     """
     low = F.lower(F.col(text))
     if isinstance(keywords, DataFrame):
+        if automaton:
+            entries = keywords.select(F.col(GAME).cast("string"), "aspect", F.explode("keywords").alias("keyword")).limit(MOST_KEYWORDS + 1)
+            return tag_by_automaton(df, [(r[0] if r[0] is not None else "", r[1], r[2]) for r in entries.collect()], text)
         return _tag_by_game(df, keywords, low)
     named = {a: w for a, w in sorted(keywords.items()) if w}
+    if automaton if automaton is not None else large(keywords):
+        return tag_by_automaton(df, [(ANY_GAME, a, w) for a, words in named.items() for w in words], text)
     hits = [F.when(low.rlike(ft.any_word(words)), F.lit(a)) for a, words in named.items()]
     return df.withColumn("aspects", F.array_compact(F.array(*hits)))
 
 
+def large(keywords: Mapping[str, Sequence[str]]) -> bool:
+    """Too many keywords for patterns."""
+    return sum(map(len, keywords.values())) > PATTERN_KEYWORDS
+
+
 def _tag_by_game(df: DataFrame, keywords: DataFrame, low: Column) -> DataFrame:
     hits = F.transform(
         F.transform("keywords", lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_ ])", r"\\$1")),
@@ -60,7 +76,7 @@ def judged_reviews(df: DataFrame, keywords=KEYWORDS, scorer: Scorer | None = Non
     Later steps unfold `aspects` with an outer generator; an inner one would tag every text again
     for the filter Spark derives from it.
     """
-    if isinstance(keywords, DataFrame):
+    if isinstance(keywords, DataFrame) or large(keywords):
         tagged = tag_aspects(df, keywords, text).filter(F.size("aspects") > 0)
     else:
         # One pattern of all keywords decides; a filter on `aspects` would run all patterns twice.
