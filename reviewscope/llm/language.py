@@ -8,10 +8,13 @@ Symbols are the bytes of the lower-case text; ASCII characters that are no lette
 it count once. A phrase ends after `BLOCK` symbols at the latest, so long texts are many blocks, and a batch of blocks walks
 through the automata side by side: one step is a table lookup for all of them.
 
-Fitting takes a bounded sample: per language whole labelled texts, in the order of a hash of the text, until there are
-`sample_bytes` bytes (`sample_texts` texts at most). Only this sample reaches the driver and the workers.
+Fitting takes a bounded sample: per language pieces of labelled texts, of `PIECE` characters at most and from a place that the text's hash
+says, in the order of that hash, until there are `sample_bytes` bytes (`sample_texts` texts at most). Pieces are cut in the
+tasks; with many languages each has an equal part of `TOTAL_BYTES`. The driver builds the automata once, and their tables, at most
+about 500 bytes per sampled byte, are sent to the workers.
 
-Edge cases: a null text, and one without any letter, is `und` with score 0; so is everything if no language was learned.
+Edge cases: a null text, and one without any letter, is `und` with score 0; so is everything if no language was learned, but `identified`
+then keeps every row that has a letter.
 Equal costs are decided by the smaller language name. Rows that repeat are each predicted alike. Very long texts are
 walked through in blocks of bounded memory. Empty tables give empty results; other columns are carried or ignored,
 whatever their names.
@@ -24,7 +27,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +37,8 @@ from reviewscope.session import stored
 
 SAMPLE_BYTES = 49_152
 SAMPLE_TEXTS = 512
+TOTAL_BYTES = 1 << 19
+PIECE = 2048
 BLOCK = 256
 WALK_BYTES = 1 << 20
 UNKNOWN = "und"
@@ -146,6 +151,20 @@ class Identifier:
         self.code[seen] = np.arange(2, len(seen) + 2)  # 0: never seen, 1: behind the end
         self.walkers = [Walker(s, self.code, len(seen) + 2) for s in model.samples]
 
+    def plain(self) -> tuple:
+        """All it knows as lists and arrays, which workers can read without this package."""
+        return self.languages, self.code, [vars(w) for w in self.walkers]
+
+    @classmethod
+    def of(cls, plain: tuple) -> Identifier:
+        made = cls(Model([], []))
+        made.languages, made.code, tables = plain
+        for table in tables:
+            walker = Walker.__new__(Walker)
+            vars(walker).update(table)
+            made.walkers.append(walker)
+        return made
+
     def __call__(self, texts: pa.Array) -> tuple[list[str | None], np.ndarray]:
         """Language and score of every text."""
         n = len(texts)
@@ -183,11 +202,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_byte
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).filter("text is not null and lang is not null")
     rows = rows.withColumn("hash", F.xxhash64("text"))
     # Copies of a text are folded first: the draw is one of distinct texts.
-    sizes = stored(rows.groupBy("lang", "hash").agg(F.max(F.octet_length("text")).alias("size")), "language-texts")
+    sizes = stored(rows.groupBy("lang", "hash").agg(F.max(F.octet_length(piece())).alias("size")), "language-texts")
     # About four times the texts wanted, evenly by hash: what is left to order is bounded by language, not by task.
     counts = {r["lang"]: r["n"] for r in sizes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model([], [])
+    sample_bytes = min(sample_bytes, TOTAL_BYTES // len(counts))
     pairs = [F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * sample_texts / n))]
     share = F.element_at(F.create_map(*pairs), F.col("lang"))
     sizes = sizes.filter(F.pmod(F.col("hash"), F.lit(1 << 30)) / float(1 << 30) <= share)
@@ -198,7 +218,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_byte
     hashes = [r[0] for r in chosen.select("hash").distinct().collect()]
     if not hashes:
         return Model([], [])
-    found = rows.filter(F.col("hash").isin(hashes)).groupBy("lang", "hash", "text").count().drop("count").collect()
+    found = rows.filter(F.col("hash").isin(hashes)).select("lang", "hash", piece().alias("text")).distinct().collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["hash"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
@@ -207,27 +227,33 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_byte
     return Model(list(joined), list(joined.values()))
 
 
+def piece() -> Column:
+    """What a text may give to the sample."""
+    start = F.pmod(F.shiftright("hash", 20), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1)
+    return F.substring(F.col("text"), (start + 1).cast("int"), F.lit(PIECE))
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """`row` (a struct of the carried columns, all by default), lang_pred, score."""
     carry = docs.columns if carry is None else carry
-    held = docs.sparkSession.sparkContext.broadcast({"model": model})
+    held = docs.sparkSession.sparkContext.broadcast(Identifier(model).plain())
     kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(f"`{text}`").alias("text"))
     schema = T.StructType(
         [kept.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     )
 
     def run(batches):
-        at_worker = held.value
-        if "identify" not in at_worker:
-            at_worker["identify"] = Identifier(at_worker["model"])
+        identify = Identifier.of(held.value)
         for batch in batches:
             for part in slices(batch, 1, WALK_BYTES):
-                lang, score = at_worker["identify"](part.column(1))
+                lang, score = identify(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
     return kept.mapInArrow(run, schema)
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of `docs` whose language could be told, with their own columns."""
+    """The rows of `docs` whose language could be told, with their own columns; all with a letter, if there is nothing to tell it by."""
+    if not model.languages:
+        return docs.filter(F.col(f"`{text}`").rlike(r"\p{L}"))
     return predict(docs, model, text).filter(F.col("lang_pred") != UNKNOWN).select("row.*")

@@ -60,6 +60,7 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 5, 5, 7, 8]
     nothing = language.fit(df.limit(0))
     assert {r["lang_pred"] for r in language.predict(df, nothing).collect()} == {"und"}
+    assert sorted(r["doc_id"] or 0 for r in language.identified(df, nothing).collect()) == [0, 1, 2, 5, 5, 7, 8]
     assert language.predict(df.limit(0), model).count() == 0
 
 
@@ -78,3 +79,12 @@ def test_held_out_accuracy(spark):
     right = got.join(truth, "doc_id").groupBy("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.count("*").alias("n"))
     rows = {r["held_out"]: r for r in right.collect()}
     assert rows[True]["n"] > 150 and rows[True]["a"] > 0.98 and rows[False]["a"] > 0.98
+
+
+def test_a_long_text_gives_a_piece(spark):
+    long = " ".join(f"wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(50_000))
+    rows = [(long, "de"), ("der hund und die katze", "de"), ("the cat sat", "en")] + [(f"lang {chr(97 + i)} x", f"l{i}") for i in range(26)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 28
+    sample = model.samples[model.languages.index("de")]
+    assert b"hund und" in sample and 2000 < len(sample) <= language.TOTAL_BYTES // 28
