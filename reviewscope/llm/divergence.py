@@ -38,7 +38,7 @@ from reviewscope.session import stored
 LEAST = 10
 TOP = 10
 SCALE = 1_000_000_000
-HELD = 200_000
+HELD = 600_000
 BLOOM_BITS = 27
 HASHES = 4
 #: Bytes of letters: a-z, A-Z and all of other scripts' characters.
