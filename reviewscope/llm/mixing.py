@@ -1,20 +1,22 @@
 """Mixing sources to target weights: Pareto order sampling, native DataFrame operations only.
 
 A source has `words` words and a target of words. Every document of it gets `floor(target / words)` certain whole
-copies. What is left, the fraction p of the source, is a sample without replacement: documents are ranked by
-random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken in this order up to the fixed size. The size
-is counted in words, so a source misses its target by half a document at most.
+copies. What is left is a sample without replacement and with unequal probabilities: a document is to be included with a probability in
+proportion to its words, min(1, c * size), c being solved per source so that the expected words are those wanted. Documents that
+reach 1 are certain too. The others are ranked by random odds over inclusion odds, (u / (1 - u)) / (pi / (1 - pi)), and taken in this order
+up to the fixed size. The size is counted in words, so a source misses its target by half a document at most.
 
-No source is sorted as a whole: ranks are dealt to slices of about `SLICE` documents, the words of the slices are
-summed up, and only the slice that holds the cut is ordered. The cut is a rank per source, which documents compare
-themselves with, so that no text is moved.
+c comes from how many documents of a source have each size, so a source is never sorted as a whole: sizes are, and then ranks (as
+t = rank / (1 + rank), which orders alike) are dealt to slices of about `SLICE` documents, the words of the slices are
+summed up, and only the slice that holds the cut is ordered. The cut is a number per source, which documents compare
+themselves with, so that no text is moved. Targets are computed over one row per source, in one task.
 
 Targets: sources in code point order, null last, weigh 5, 2, 1, repeating, and share `share` of all words. A target
 stops at `most` times its source's words and the excess goes to the others by weight: target = min(most * words,
 level * weight), with the one level at which the targets add up.
 
 Edge cases: a null text has no words; documents without words take 0 words, and `mix` gives them the certain copies of
-their source. A null source is a source of its own. u depends on the key alone: reruns agree, and rows that repeat a key are
+their source and are never sampled. A null source is a source of its own. u depends on the key alone: reruns agree, and rows that repeat a key are
 taken or left together. A null key draws one u like any other. An empty table gives an empty result.
 """
 
@@ -61,23 +63,34 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float
 
 
 def plan(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.0, slice_docs: int = SLICE) -> DataFrame:
-    """Per source: words, target, whole copies, inclusion odds and the last rank taken.
+    """Per source: words, target, whole copies, c, the largest size that is not certain, and the last t taken.
 
-    `sizes` has source, size and u; it is read three times and should be a small written table.
+    `sizes` has source, size and u; it is read several times and should be a small written table.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
     per = targets(totals, weights, share, most)
-    copies = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(F.lit(0.0))
-    per = (
-        per.withColumn("whole", F.floor(copies))
-        .withColumn("p", copies - F.col("whole"))
-        .withColumn("odds", F.col("p") / (1 - F.col("p")))
-        .withColumn("left", F.greatest(F.col("target") - F.col("whole") * F.col("words"), F.lit(0.0)))
-        .withColumn("slices", F.ceil(F.col("docs") / F.lit(slice_docs)))
+    per = per.withColumn("whole", F.floor(F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(F.lit(0.0)))).withColumn(
+        "wanted", F.greatest(F.col("target") - F.col("whole") * F.col("words"), F.lit(0.0))
     )
     # One row per source, written: Spark then knows its size, and does not deal out all documents by source to meet it.
-    per = stored(per, "mixing-sources")
-    ranked = matched(sizes, per, "slices", "odds", "left").withColumn("slice", F.floor(F.col("u") * F.col("slices")))
+    per = stored(per.withColumn("slices", F.ceil(F.col("docs") / F.lit(slice_docs))), "mixing-sources")
+
+    wide = "decimal(38,0)"
+    counts = matched(sizes.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), per.filter("wanted > 0"), "wanted")
+    counts = counts.withColumn("held", F.col("size") * F.col("n")).withColumn("squares", F.col("held").cast("decimal(19,0)") * F.col("size").cast("decimal(10,0)"))
+    larger = W.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(W.unboundedPreceding, -1)
+    rest = F.sum("squares").over(W.partitionBy("source")).cast(wide) - F.coalesce(F.sum("squares").over(larger).cast(wide), F.lit(0).cast(wide))
+    # As if all larger sizes were certain and this one were not.
+    counts = counts.withColumn("certain", F.coalesce(F.sum("held").over(larger), F.lit(0))).withColumn(
+        "c", (F.col("wanted") - F.col("certain")) / rest.cast("double")
+    )
+    fair = counts.filter(F.col("c") * F.col("size") <= 1).groupBy("source")
+    fair = fair.agg(F.max_by(F.struct(F.col("size").alias("limit"), "c", (F.col("wanted") - F.col("certain")).alias("left")), "size").alias("fair"))
+    fair = stored(fair.select("source", "fair.*"), "mixing-inclusion")
+    per = matched(per.drop("docs", "wanted"), fair, "limit", "c", "left", how="left")
+
+    ranked = matched(sizes.filter("size > 0"), matched(fair, per, "slices"), "slices", "c", "limit", "left").filter("size <= limit")
+    ranked = ranked.withColumn("t", place()).withColumn("slice", F.floor(F.col("t") * F.col("slices")))
     upto = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     filled = (
         ranked.groupBy("source", "slice", "left")
@@ -85,30 +98,29 @@ def plan(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = 3.
         .withColumn("before", F.coalesce(F.sum("held").over(upto), F.lit(0)))
     )
     # Slices wholly inside the sample, and the one that holds the cut.
-    last = filled.filter((F.col("before") < F.col("left")) & (F.col("held") > 0)).groupBy("source").agg(
-        F.max_by(F.struct("slice", "before"), "before").alias("cut")
-    )
+    last = filled.filter(F.col("before") < F.col("left")).groupBy("source").agg(F.max_by(F.struct("slice", "before"), "before").alias("cut"))
     last = stored(last, "mixing-edges")
-    at_cut = matched(ranked, last, "cut").filter(F.col("slice") == F.col("cut.slice")).withColumn("rank", rank(F.col("u"), F.col("odds")))
-    along = W.partitionBy("source").orderBy("rank")
+    at_cut = matched(ranked, last, "cut").filter(F.col("slice") == F.col("cut.slice"))
+    along = W.partitionBy("source").orderBy("t")
     taken = at_cut.withColumn(
         # Rows of one rank go together; a group is taken if the middle of its words lies before the end.
         "middle",
         F.col("cut.before")
         + F.sum("size").over(along.rangeBetween(W.unboundedPreceding, W.currentRow))
-        - F.sum("size").over(W.partitionBy("source", "rank")) / 2,
+        - F.sum("size").over(W.partitionBy("source", "t")) / 2,
     ).filter(F.col("middle") <= F.col("left"))
-    reached = taken.groupBy("source").agg(F.max("rank").alias("reached"))
+    reached = taken.groupBy("source").agg(F.max("t").alias("reached"))
     edges = last.select("source", F.col("cut.slice").alias("edge"))
     joined = matched(matched(per, edges, "edge", how="left"), reached, "reached", how="left")
-    below = rank(F.col("edge") / F.col("slices"), F.col("odds"))
-    cut = F.when(F.col("p") <= 0, F.lit(-1.0)).otherwise(F.coalesce(F.col("reached"), below, F.lit(-1.0)))
-    return stored(joined.select("source", "words", "target", "whole", "odds", cut.alias("cut")), "mixing-plan")
+    # Nothing of the last slice: all that lies before it.
+    cut = F.coalesce(F.col("reached"), F.col("edge") / F.col("slices"), F.lit(-1.0))
+    return stored(joined.select("source", "words", "target", "whole", "c", "limit", cut.alias("cut")), "mixing-plan")
 
 
-def rank(u: Column, odds: Column) -> Column:
-    """Random odds over inclusion odds."""
-    return (u / (1 - u)) / odds
+def place() -> Column:
+    """t of a document that carries u, size and its source's c: u's odds over inclusion odds, brought to [0, 1)."""
+    u, pi = F.col("u"), F.col("c") * F.col("size")
+    return u * (1 - pi) / (u * (1 - pi) + pi * (1 - u))
 
 
 def matched(left: DataFrame, right: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
@@ -118,8 +130,13 @@ def matched(left: DataFrame, right: DataFrame, *columns: str, how: str = "inner"
 
 
 def copies() -> Column:
-    """Copies of a document that carries u and its source's row of the plan."""
-    return F.col("whole") + F.when((F.col("cut") > 0) & (rank(F.col("u"), F.col("odds")) <= F.col("cut")), 1).otherwise(0)
+    """Copies of a document that carries size, u and its source's row of the plan."""
+    certain = F.col("size") > F.col("limit")
+    sampled = (F.col("size") > 0) & (F.col("size") <= F.col("limit"))
+    return F.col("whole") + F.when(certain, 1).when(sampled & (place() <= F.col("cut")), 1).otherwise(0)
+
+
+PLAN = ("words", "target", "whole", "c", "limit", "cut")
 
 
 def drawn(docs: DataFrame, key: str, text: str, source: str, seed: str) -> DataFrame:
@@ -134,7 +151,7 @@ def drawn(docs: DataFrame, key: str, text: str, source: str, seed: str) -> DataF
 def allocate(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", **how) -> DataFrame:
     """For every row: key, size, source_size, target, taken (words, repeats counted) and copies."""
     sizes = stored(drawn(docs, key, text, source, seed), "mixing-sizes")
-    return matched(sizes, plan(sizes, **how), "words", "target", "whole", "odds", "cut").select(
+    return matched(sizes, plan(sizes, **how), *PLAN).select(
         F.col("key").alias(key),
         "size",
         F.col("words").alias("source_size"),
@@ -150,7 +167,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.col(f"`{source}`").alias("source"),
+        word_count(F.col(f"`{text}`")).alias("size"),
         uniform(F.col(f"`{key}`"), seed).alias("u"),
     )
-    times = matched(rows, plan(sizes, **how), "whole", "odds", "cut").withColumn("times", copies().cast("int")).filter("times > 0")
+    times = matched(rows, plan(sizes, **how), *PLAN).withColumn("times", copies().cast("int")).filter("times > 0")
     return times.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("one")).select("row.*")

@@ -64,24 +64,33 @@ levels as (
   from weighed
 ),
 per as (select source, words, least(cap, max(level) over () * weight)::double as target from levels),
-shares as (
+plans as (
   select *, floor(case when words > 0 then target / words else 0 end)::double as whole,
-    case when words > 0 then target / words else 0 end - floor(case when words > 0 then target / words else 0 end) as p
+    greatest(target - floor(case when words > 0 then target / words else 0 end)::double * words, 0) as wanted
   from per
 ),
-plans as (select *, p / (1 - p) as odds, greatest(target - whole * words, 0) as left_words from shares),
+counts as (
+  select s.source, size, wanted, count(*) * size as held, (count(*) * size)::hugeint * size as squares
+  from sizes s join plans p on s.source is not distinct from p.source where size > 0 and wanted > 0 group by s.source, size, wanted
+),
+levels_of as (
+  select source, size, wanted - coalesce(sum(held) over larger, 0) as left_words,
+    (wanted - coalesce(sum(held) over larger, 0)) / (sum(squares) over (partition by source) - coalesce(sum(squares) over larger, 0))::double as c
+  from counts window larger as (partition by source order by size desc rows between unbounded preceding and 1 preceding)
+),
+fair as (select source, max(size) as lim, arg_max(c, size) as c, arg_max(left_words, size) as left_words from levels_of where c * size <= 1 group by source),
 ranked as (
-  select s.doc_id, s.size, s.source, p.words, p.target, p.whole, p.p, p.left_words,
-    case when p.p > 0 then (s.u / (1 - s.u)) / p.odds end as rank
-  from sizes s join plans p on s.source is not distinct from p.source
+  select s.doc_id, s.size, s.source, p.words, p.target, p.whole, f.lim, f.left_words,
+    case when s.size > 0 and s.size <= f.lim then s.u * (1 - f.c * s.size) / (s.u * (1 - f.c * s.size) + f.c * s.size * (1 - s.u)) end as t
+  from sizes s join plans p on s.source is not distinct from p.source left join fair f on s.source is not distinct from f.source
 ),
 summed as (
-  select *, sum(size) over (partition by source order by rank range between unbounded preceding and current row)
-    - sum(size) over (partition by source, rank) / 2.0 as middle
+  select *, sum(size) filter (t is not null) over (partition by source order by t range between unbounded preceding and current row)
+    - sum(size) over (partition by source, t) / 2.0 as middle
   from ranked
 )
 select doc_id, size, words as source_size, target,
-  cast(size * (whole + case when p > 0 and middle <= left_words then 1 else 0 end) as bigint) as taken
+  cast(size * (whole + case when size > lim then 1 when t is not null and middle <= left_words then 1 else 0 end) as bigint) as taken
 from summed
 """
 

@@ -79,14 +79,32 @@ def test_odd_tables(spark):
     assert sum(r["taken"] for r in got) == 7 and all(r["copies"] == 1 for r in got)
 
 
-def test_inclusion_is_even(spark):
-    """Over many draws every document of a source is taken about as often as its share says."""
-    df = spark.range(40).selectExpr("id as doc_id", "'w w w w' as text", "if(id < 20, 'a', 'b') as source")
-    taken = {}
-    for seed in range(12):
+def test_inclusion_follows_the_words(spark):
+    """Over many draws a document is taken in proportion to its words; those that would be taken more than once always are."""
+    sizes = [1, 2, 2, 4, 4, 8, 60]
+    docs = [(i, " ".join("w" * sizes[i % 7]), "a" if i < 70 else "b") for i in range(140)]
+    docs = [(i, " ".join(["w"] * sizes[i % 7]), s) for i, _, s in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").cache()
+    draws, taken = 25, dict.fromkeys(range(140), 0)
+    for seed in range(draws):
         for r in mixing.allocate(df, seed=str(seed)).collect():
-            taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["copies"]
-    # Targets 5/7 and 2/7 of 160 words: 1.43 and 0.57 copies.
-    assert sum(taken[i] for i in range(20)) / 240 == pytest.approx(10 / 7, abs=0.03)
-    assert sum(taken[i] for i in range(20, 40)) / 240 == pytest.approx(4 / 7, abs=0.03)
-    assert max(taken[i] for i in range(20, 40)) < 12 and min(taken[i] for i in range(20)) >= 12
+            taken[r["doc_id"]] += r["copies"]
+    # Targets 5/7 and 2/7 of 1,620 words: for b 463 of its 810, and of these 10 documents of 60 words would fill 600.
+    left = 2 / 7 * 1620
+    c = left / sum(n * n * 10 for n in sizes)
+    limit = max(n for n in sizes if c * n <= 1)
+    assert limit == 60
+    for n in set(sizes):
+        own = [taken[i] / draws for i in range(70, 140) if sizes[i % 7] == n]
+        assert sum(own) / len(own) == pytest.approx(c * n, abs=0.05)
+    # For a 1,157 words: one whole copy and 347 words more.
+    assert all(draws <= taken[i] <= 2 * draws for i in range(70))
+
+
+def test_certain_documents(spark):
+    rows = [(i, " ".join(["w"] * n), "a") for i, n in enumerate([1000, 900] + [10] * 30)] + [(100 + i, "x " * 600, "b") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in "123":
+        got = {r["doc_id"]: r for r in mixing.allocate(df, weights=(1, 4), seed=seed).collect()}
+        assert got[0]["copies"] == 1 or got[1]["copies"] == 1
+        assert abs(sum(got[i]["taken"] for i in range(32)) - got[0]["target"]) <= 500
