@@ -10,9 +10,9 @@ Of captures with one payload of at least `LEAST` bytes, the one with the smalles
 digests of page id, url and payload, so a task that runs again writes the same records.
 
 Edge cases: a null payload is empty; a null url is left out of the records; a null page id comes back as null, and is
-a response only if no capture of the payload has an id. Rows that repeat page id, url and payload are one
-capture, archived as often as given and assembled once. A file holds `PER_FILE` captures at most, whatever their
-length; it is unpacked as a stream. A request or metadata record without its response still makes a row,
+a response only if no capture of the payload has an id. Rows that repeat page id, url and payload are archived as often as given, under the
+same ids, and come back as often. A file holds the captures of one of the classes in `FILES`, so about 128 MiB at most or a single larger
+one; it is unpacked as a stream. A request or metadata record without its response still makes a row,
 with a null response. An empty table gives empty archives. Other columns are ignored, whatever their names.
 """
 
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from reviewscope.session import scratch_path, stored
 
 LEAST = 100
-PER_FILE = 2000
+#: (largest payload in bytes, captures in a file); payloads beyond the last have files of their own.
+FILES = ((64 << 10, 2000), (4 << 20, 32))
+COPIES = 4096
 END = "\r\n"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -104,8 +106,14 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
         },
         F.concat_ws(END, F.concat(F.lit("page-id: "), F.col("page").cast("string")), F.lit("via: pages"), F.lit("")),
     )
-    out = rows.select(F.concat_ws(END * 2, response, request, metadata).alias("value"))
-    out.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    out = rows.select("size", F.concat_ws(END * 2, response, request, metadata).alias("value"))
+    largest = rows.agg(F.max("size")).first()[0] or 0
+    least = -1
+    for most, captures_in in (*FILES, (1 << 40, 1)):
+        if largest > least:
+            own = out.filter((F.col("size") > least) & (F.col("size") <= most)).select("value")
+            own.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", captures_in).text(f"{path}/upto-{most}")
+        least = most
 
 
 def _header_value(value: Column) -> Column:
@@ -172,7 +180,7 @@ def records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFr
                 if rows:
                     yield _batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInArrow(run, FIELDS)
 
 
@@ -183,7 +191,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def transactions(found: DataFrame) -> DataFrame:
-    """One nested row per capture: capture (its id), response, request, metadata (structs of the records' columns).
+    """One nested row per capture: capture (its id), response, request, metadata (structs of the records' columns) and times.
+
+    `times` says how often the response was archived: rows that repeat have one id.
 
     Records meet at the id that they have or are concurrent to. If several say that they are a capture's request (or metadata), the one
     with the smallest id counts, so a capture is one row of bounded size.
@@ -193,7 +203,15 @@ def transactions(found: DataFrame) -> DataFrame:
     def one(name: str, *kinds: str) -> Column:
         return F.min_by(F.when(F.col("record.type").isin(*kinds), F.col("record")), F.when(F.col("record.type").isin(*kinds), F.col("record.record_id"))).alias(name)
 
-    return rows.groupBy("capture").agg(one("response", "response", "revisit"), one("request", "request"), one("metadata", "metadata"))
+    times = F.count_if(F.col("record.type").isin("response", "revisit")).alias("times")
+    return rows.groupBy("capture").agg(one("response", "response", "revisit"), one("request", "request"), one("metadata", "metadata"), times)
+
+
+def repeated(rows: DataFrame, times: str = "times") -> DataFrame:
+    """Each row as often as its `times` says; a large number is unfolded in two steps of bounded arrays."""
+    last = F.col(times) - 1
+    blocks = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(COPIES).cast("long"))))
+    return blocks.withColumn("copy", F.explode(F.sequence(F.col("block"), F.least(F.col("block") + COPIES - 1, last)))).drop("block", "copy", times)
 
 
 def captures(found: DataFrame, key_type: str = "long") -> DataFrame:
@@ -206,10 +224,11 @@ def captures(found: DataFrame, key_type: str = "long") -> DataFrame:
         F.col("response.refers_to").alias("refers"),
         F.col("response.payload_bytes").alias("bytes"),
         F.coalesce("response.payload_sha256", "response.declared").alias("payload_digest"),
+        "times",
     )
     rows = stored(rows, "warc-captures")
     responses = rows.filter("record_type = 'response'").select(F.col("capture").alias("refers"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("held"))
-    return rows.join(responses, "refers", "left").select(
+    return repeated(rows).join(responses, "refers", "left").select(
         "page_id", F.coalesce("bytes", "held").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
     )
 

@@ -35,14 +35,21 @@ def expected(pages):
     for page, _, html in pages:
         if page is not None:
             first[html or ""] = min(page, first.get(html or "", page))
-    out = set()
+    out = []
     for page, url, html in pages:
         data, least = (html or "").encode(), first.get(html or "")
         again = len(data) >= 100 and least is not None and least != page
-        out.add((page, url, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", least if again else None))
+        out.append((page, url, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", least if again else None))
     return sorted(((p, *rest) for p, _, *rest in out), key=repr)
 
 
+def test_many_copies_of_a_page(spark, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES", 7)
+    rows = [(3, "http://a.example/3", LONG)] * 50 + [(9, "http://a.example/9", LONG)] * 15 + [(1, None, "p" * 5_000_000)] + [(2, "u", None)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert sorted(map(tuple, warc.round_trip(df).collect()), key=repr) == expected(rows)
+
+
 def test_round_trip(spark):
     df = spark.createDataFrame([(*p, i) for i, p in enumerate(PAGES)], "page_id long, url string, html string, digest int").repartition(3)
     assert sorted(map(tuple, warc.round_trip(df).collect()), key=repr) == expected(PAGES)
