@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml.functions import predict_batch_udf
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,13 +76,45 @@ def model_scorer(make_predict: Callable, batch_size: int = 32, max_chars: int |
     return score
 
 
-def score_sentiment(df: DataFrame, scorer: Scorer | None, text: str = "review") -> DataFrame:
+class FittedScorer:
+    """A fitted classifier as scorer: the likelier of its labels, and how likely it is.
+
+    `probabilities(df, text)` adds a column `probs`, an array in the order of `labels`: `TextBayes.probabilities`, or
+    `pipeline_probabilities` of a fitted pipeline. A null or blank text is left to the neutral answer.
+    """
+
+    def __init__(self, probabilities: Callable[[DataFrame, str], DataFrame], labels: Sequence[str]):
+        self.probabilities, self.labels = probabilities, list(labels)
+
+    def apply(self, df: DataFrame, text: str) -> DataFrame:
+        """Add `__s`, a struct of label and confidence."""
+        names = F.array(*map(F.lit, self.labels))
+        best = F.array_max("__probs")
+        found = F.struct(F.get(names, F.array_position("__probs", best).cast("int") - 1).alias("label"), best.alias("confidence"))
+        scored = self.probabilities(df, text).withColumnRenamed("probs", "__probs")
+        return scored.withColumn("__s", F.when(~ft.is_blank(F.col(text)), found)).drop("__probs")
+
+
+def pipeline_probabilities(model: PipelineModel) -> Callable[[DataFrame, str], DataFrame]:
+    """Of a fitted pipeline that reads the text column it was trained on and gives `probability`."""
+
+    def add(df: DataFrame, text: str) -> DataFrame:
+        ready = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+        scored = model.transform(ready).withColumn("probs", vector_to_array("probability"))
+        return scored.select(*df.columns, "probs")
+
+    return add
+
+
+def score_sentiment(df: DataFrame, scorer: Scorer | FittedScorer | None, text: str = "review") -> DataFrame:
     """Add label and confidence; without a scorer, or where it gives nothing, NEUTRAL at 0.5."""
     neutral = F.struct(F.lit("NEUTRAL").alias("label"), F.lit(0.5).alias("confidence"))
-    result = neutral if scorer is None else scorer(F.col(text))
+    if isinstance(scorer, FittedScorer):
+        scored = scorer.apply(df, text)
+    else:
+        scored = df.withColumn("__s", neutral if scorer is None else scorer(F.col(text)))
     return (
-        df.withColumn("__s", result)
-        .withColumn("__s", F.when(F.col("__s.label").isNotNull(), F.col("__s")).otherwise(neutral))
+        scored.withColumn("__s", F.when(F.col("__s.label").isNotNull(), F.col("__s")).otherwise(neutral))
         .withColumns({"label": F.col("__s.label"), "confidence": F.col("__s.confidence")})
         .drop("__s")
     )
