@@ -8,6 +8,8 @@ from querybook.emotions import LONG_SQL, MODELS, logits, predictions
 from querybook.texts import JUDGED_SQL, KEYWORDS, SCORER, SUMMARY_SQL, aspect_table
 from reviewscope.operators import catalog, ensemble, summary
 from reviewscope.plans import jobs
+from reviewscope.session import scratch_path
+from reviewscope.sources import publish
 
 
 def parts(spark, sf):
@@ -78,6 +80,30 @@ def _(spark, sf):
     return jobs.run_review_pipeline(chosen, jobs.RunConfig(use_knn=False)).state
 
 
+# A run over all games, then one over every second review of two of them: what is current afterwards.
+AGAIN = ("click", "purchase")
+AGAIN_SQL = rules_sql().replace("from events)", f"from events where not (event_type in {AGAIN} and event_id % 2 = 1))")
+
+
+@query(
+    "publish_review_run",
+    f"with {AGAIN_SQL}, kinds as (select unnest(['raw', 'cleaned', 'credible', 'fake']) as kind) "
+    "select game_id, kind, count(*) as n, sum(review_id)::bigint as ids from flagged join kinds "
+    "on kind in ('raw', 'cleaned') or kind = case when is_fake then 'fake' else 'credible' end group by all",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "published")
+    rows = reviews_meta(spark, sf)
+    jobs.run_review_pipeline(rows, jobs.RunConfig(use_knn=False, publish=path, run="first"))
+    half = rows.filter(F.col("game_id").isin(*AGAIN) & (F.col("review_id") % 2 == 0))
+    jobs.run_review_pipeline(half, jobs.RunConfig(use_knn=False, publish=path, run="second", whole=False))
+    found = None
+    for kind in ("raw", "cleaned", "credible", "fake"):
+        own = publish.published(spark, path, kind).groupBy("game_id").agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum("review_id").alias("ids"))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 def written_reviews(spark, sf):
     """All events with the text of the same id, where there is one, all other texts, and logits where there is a vector."""
     meta = reviews_meta(spark, sf).drop("review").withColumnRenamed("game_id", "event_game")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewscope.config import CREDIBILITY, CredibilityThresholds
+from reviewscope.config import CREDIBILITY, GATES, CredibilityThresholds, QualityGates
 from reviewscope.operators import (
     aspects,
     cleaning,
@@ -24,7 +25,7 @@ from reviewscope.operators import (
 )
 from reviewscope.operators.sentiment import Scorer
 from reviewscope.session import stored
-from reviewscope.sources import writers
+from reviewscope.sources import publish, readers, writers
 
 log = logging.getLogger(__name__)
 GAME = "game_id"
@@ -42,6 +43,12 @@ class RunConfig:
     run_nmf: bool = True
     n_topics: int = 10
     output: str | None = None  # folder of this run's tables; None: the shared folder
+    prepare: bool = False  # language, encoding and words of the reviews, as a source would store them
+    language: str = "en"
+    gates: QualityGates | None = None  # games that a volume gate refuses are left out
+    publish: str | None = None  # folder of published runs: raw, cleaned, credible and fake, all or none
+    run: str = ""  # name of the published run; by default the time
+    whole: bool = True  # a published run replaces all games, or only its own
     settings: dict[str, str] = field(default_factory=dict)
 
 
@@ -51,6 +58,8 @@ class ReviewRun(NamedTuple):
     fake: DataFrame
     summary: DataFrame
     state: DataFrame
+    gates: DataFrame | None = None
+    fake_summary: DataFrame | None = None
 
 
 class Analysis(NamedTuple):
@@ -77,8 +86,22 @@ def select_games(df: DataFrame, games: Sequence[str] | DataFrame) -> DataFrame:
     return df.filter(F.col(GAME).isin(*games))
 
 
+def admitted(df: DataFrame, gates: QualityGates) -> DataFrame:
+    """Rows of the games with enough reviews; refused games are left out as a whole."""
+    volume = df.groupBy(GAME).agg(F.count("*").alias("__n")).filter(F.col("__n") >= gates.refuse_below)
+    return grouping.join_small(df, volume.select(GAME), [GAME], "left_semi")
+
+
 def run_review_pipeline(df: DataFrame, config: RunConfig = RunConfig()) -> ReviewRun:
-    """Clean, flag and split; state has one row per game of the input."""
+    """Prepare, let in, clean, flag and split; state has one row per game of the input.
+
+    With `publish` the raw, cleaned, credible and fake tables become current together, once all of them are written.
+    """
+    raw = df
+    if config.prepare:
+        df = readers.prepare_reviews(df, lang=config.language)
+    if config.gates is not None:
+        df = admitted(df, config.gates)
     cleaned = cleaning.clean_reviews(df)
     flagged = credibility.credibility_rules(cleaned, config.scope, config.thresholds)
     flagged = _stored(flagged, config, "flagged")
@@ -86,14 +109,19 @@ def run_review_pipeline(df: DataFrame, config: RunConfig = RunConfig()) -> Revie
         featured = credibility.knn_features(flagged)
         flagged = neighbours.knn_relabel(featured, config.thresholds.neighbours, t=config.thresholds)
         flagged = _stored(flagged.drop("features", "knn_fake"), config, "relabelled")
-    raw = df.groupBy(GAME).agg(F.count("*").alias("raw"))
+    counts = raw.groupBy(GAME).agg(F.count("*").alias("raw"))
     credible, fake = credibility.split_reviews(flagged)
+    if config.publish:
+        tables = {"raw": raw, "cleaned": flagged.select(*cleaned.columns), "credible": credible, "fake": fake}
+        publish.publish_run(tables, config.publish, config.run or f"{datetime.now(timezone.utc):%Y%m%d_%H%M%S_%f}", config.whole)
     return ReviewRun(
         flagged,
         credible,
         fake,
         summary.data_summary(flagged),
-        summary.retention_report(flagged, raw),
+        summary.retention_report(flagged, counts),
+        summary.quality_gates(flagged, counts, config.gates or GATES),
+        summary.flagged_summary(fake),
     )
 
 
