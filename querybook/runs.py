@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from querybook.base import META_SQL, query, r6, reviews_meta, reviews_text, table
+from querybook.base import META_SQL, TEXT_SQL, query, r6, reviews_meta, reviews_text, table
 from querybook.credibility import KNN_SQL, rules_sql
 from querybook.emotions import LONG_SQL, MODELS, logits, predictions
 from querybook.texts import JUDGED_SQL, KEYWORDS, SCORER, SUMMARY_SQL, aspect_table
@@ -132,6 +132,36 @@ def _(spark, sf):
     )
 
 
+# Reviews with text and numbers: events joined with the documents of the same id, a game per source.
+BOTH_SQL = (
+    rules_sql()
+    .replace("from events)", "from events join documents on doc_id = event_id)")
+    .replace("event_type as game_id", "source as game_id")
+    .replace("concat(event_type, ' ', props) as review", "text as review")
+)
+CREDIBLE_SQL = "credible as (select * from flagged where not is_fake), " + JUDGED_SQL.replace(f"{TEXT_SQL}, ", "").replace("from reviews)", "from credible)")
+
+
+@query(
+    "run_full_analysis_resumed",
+    f"with {BOTH_SQL}, {CREDIBLE_SQL}, counts as (select game_id, count(*) as raw, count(*) filter (not is_fake) as credible from flagged group by game_id) "
+    f"select game_id, raw, credible, aspect, mentions, {r6('pct')} as positive_percentage, 'reused' as status from counts join aspects using (game_id)",
+)
+def _(spark, sf):
+    """A run whose aspects succeed and whose emotions fail, and the run that takes up what is complete."""
+    texts = reviews_text(spark, sf).drop("lang")
+    rows = reviews_meta(spark, sf).drop("review", "game_id").join(texts, "review_id")
+
+    def broken(df):
+        raise RuntimeError("no model")
+
+    config = jobs.RunConfig(use_knn=False, run_nmf=False, keywords=KEYWORDS, scorer=SCORER, emotion_models=broken, output=scratch_path(spark, "resumed"), resume=True)
+    jobs.run_full_analysis(rows, config)
+    done = jobs.run_full_analysis(rows, config).results
+    each = done.select("game_id", "data_summary.raw", "data_summary.credible", F.col("parts")["aspects"].alias("status"), F.inline("aspect_sentiments"))
+    return each.select("game_id", "raw", "credible", "aspect", "mentions", "positive_percentage", "status")
+
+
 @query(
     "analysis_summary",
     f"with {LONG_SQL}, {JUDGED_SQL}, {SUMMARY_SQL}, "

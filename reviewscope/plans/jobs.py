@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import logging
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewscope.config import CREDIBILITY, GATES, CredibilityThresholds, QualityGates
 from reviewscope.operators import (
@@ -49,6 +53,8 @@ class RunConfig:
     publish: str | None = None  # folder of published runs: raw, cleaned, credible and fake, all or none
     run: str = ""  # name of the published run; by default the time
     whole: bool = True  # a published run replaces all games, or only its own
+    resume: bool = False  # take up complete parts of an earlier run in `output` with equal input and settings
+    versions: dict[str, str] = field(default_factory=dict)  # of scorer and models: functions cannot be compared
     settings: dict[str, str] = field(default_factory=dict)
 
 
@@ -68,6 +74,7 @@ class Analysis(NamedTuple):
     topics: DataFrame | None
     predictions: DataFrame | None
     results: DataFrame
+    summary: DataFrame | None = None
 
 
 def _stored(df: DataFrame, config: RunConfig, name: str) -> DataFrame:
@@ -109,11 +116,17 @@ def run_review_pipeline(df: DataFrame, config: RunConfig = RunConfig()) -> Revie
         featured = credibility.knn_features(flagged)
         flagged = neighbours.knn_relabel(featured, config.thresholds.neighbours, t=config.thresholds)
         flagged = _stored(flagged.drop("features", "knn_fake"), config, "relabelled")
-    counts = raw.groupBy(GAME).agg(F.count("*").alias("raw"))
-    credible, fake = credibility.split_reviews(flagged)
     if config.publish:
+        credible, fake = credibility.split_reviews(flagged)
         tables = {"raw": raw, "cleaned": flagged.select(*cleaned.columns), "credible": credible, "fake": fake}
         publish.publish_run(tables, config.publish, config.run or f"{datetime.now(timezone.utc):%Y%m%d_%H%M%S_%f}", config.whole)
+    return review_run(flagged, raw, config)
+
+
+def review_run(flagged: DataFrame, raw: DataFrame, config: RunConfig) -> ReviewRun:
+    """The tables of a run from its flagged reviews."""
+    counts = raw.groupBy(GAME).agg(F.count("*").alias("raw"))
+    credible, fake = credibility.split_reviews(flagged)
     return ReviewRun(
         flagged,
         credible,
@@ -125,46 +138,104 @@ def run_review_pipeline(df: DataFrame, config: RunConfig = RunConfig()) -> Revie
     )
 
 
-def _attempt(name: str, step: Callable[[], DataFrame], parts: dict[str, str]) -> DataFrame | None:
-    """A failed part leaves the rest of the run standing; `parts` says what became of it."""
-    try:
-        found = step()
-    except Exception as error:
-        log.exception("%s failed", name)
-        parts[name] = f"failed: {type(error).__name__}: {str(error).splitlines()[0][:300] if str(error) else ''}"
-        return None
-    parts[name] = "complete"
-    return found
+class Parts:
+    """The parts of an analysis: what became of each, and with `resume` those that need not be made again.
+
+    A part is known by the fingerprint of its input and settings. Its table has a folder named after both and is entered in the list of
+    parts when it is complete, so what a failed run has finished is found by the next one.
+    """
+
+    LIST = "_parts"
+
+    def __init__(self, spark: SparkSession, config: RunConfig, rows: DataFrame):
+        self.spark, self.config, self.status = spark, config, {}
+        self.given = fingerprint(rows) if config.resume else ""
+
+    def name(self, part: str, *settings) -> str:
+        text = json.dumps([part, self.given, self.config.settings, self.config.versions, *settings], sort_keys=True, default=str)
+        return f"{part}-{hashlib.sha256(text.encode()).hexdigest()[:16]}"
+
+    def attempt(self, part: str, step: Callable[[], DataFrame], *settings) -> DataFrame | None:
+        """A failed part leaves the rest of the run standing."""
+        config, home = self.config, (self.config.output or "").rstrip("/")
+        name = self.name(part, *settings) if config.resume and home else part
+        try:
+            if name != part and (known := self.entered(home, name)):
+                self.status[part] = "reused"
+                return self.spark.read.schema(T._parse_datatype_json_string(known)).parquet(f"{home}/{name}")
+            found = _stored(step(), config, name)
+            if name != part:
+                entry = self.spark.createDataFrame([(name, found.schema.json())], "name string, schema string")
+                entry.coalesce(1).write.mode("append").json(f"{home}/{self.LIST}")
+        except Exception as error:
+            log.exception("%s failed", part)
+            self.status[part] = f"failed: {type(error).__name__}: {str(error).splitlines()[0][:300] if str(error) else ''}"
+            return None
+        self.status[part] = "complete"
+        return found
+
+    def entered(self, home: str, name: str) -> str | None:
+        """Schema of a part that is complete."""
+        try:
+            row = self.spark.read.schema("name string, schema string").json(f"{home}/{self.LIST}").filter(F.col("name") == name).first()
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        return row["schema"] if row else None
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Number of rows and two sums of their hashes: the same in any order and partitioning."""
+    columns = sorted(df.columns)
+    one, two = (F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in columns)) for seed in (1, 2))
+    sums = df.agg(F.count("*"), F.sum(one.cast("decimal(38,0)")), F.sum(two.cast("decimal(38,0)"))).first()
+    return f"{columns} {tuple(map(str, sums))}"
 
 
 def predict_emotions(df: DataFrame, config: RunConfig) -> DataFrame:
-    """Predictions of the configured models, stored once: models are never asked twice."""
+    """Predictions of the configured models; to be stored once, so that models are never asked twice."""
     rows = df if config.sample_size is None else emotions.sample_reviews(df, config.sample_size)
-    joint = ensemble.disagreement(ensemble.ensemble(config.emotion_models(rows)))
-    return _stored(joint, config, "predictions")
+    return ensemble.disagreement(ensemble.ensemble(config.emotion_models(rows)))
 
 
 def run_full_analysis(df: DataFrame, config: RunConfig = RunConfig()) -> Analysis:
-    """The review run, then aspects, topics and emotions of the credible reviews."""
-    review = run_review_pipeline(df, config)
+    """The review run, then aspects, topics and emotions of the credible reviews, and their summary.
+
+    A part that fails is left out of the results, which say so. With `resume` and `output`, a run over the same rows with the same
+    settings makes only what the earlier ones have not finished; the review run counts as a part.
+    """
+    spark = df.sparkSession
+    first = Parts(spark, config, df)
+    if config.resume and config.output:
+        own = replace(config, output=f"{config.output.rstrip('/')}/{first.name('review', config.scope, config.use_knn, str(config.thresholds), config.prepare, config.language, str(config.gates))}")
+        flagged = first.attempt("flagged", lambda: run_review_pipeline(df, own).flagged, own.output)
+        if flagged is None:
+            raise RuntimeError(f"the review run {first.status['flagged']}")
+        review = review_run(flagged, df, config)
+    else:
+        review = run_review_pipeline(df, config)
     credible = review.credible
+    parts = Parts(spark, config, credible)
 
     def aspect_part() -> DataFrame:
         words = config.keywords if config.keywords is not None else topics.guided_keywords(credible)
-        judged = aspects.judged_reviews(credible, words, config.scorer)
-        return _stored(aspects.aspect_sentiment(judged), config, "aspects")
+        return aspects.aspect_sentiment(aspects.judged_reviews(credible, words, config.scorer))
 
     def topic_part() -> DataFrame:
         found = topics.nmf_topics(credible, config.n_topics)
         rows = credible.join(found.weights, [GAME, "review_id"])
-        return _stored(topics.topic_sentiment(rows, found.topics, config.scorer), config, "topics")
+        return topics.topic_sentiment(rows, found.topics, config.scorer)
 
-    parts = {"aspects": "not asked for", "topics": "not asked for", "emotions": "not asked for"}
-    by_aspect = _attempt("aspects", aspect_part, parts)
-    by_topic = _attempt("topics", topic_part, parts) if config.run_nmf else None
+    by_aspect = parts.attempt("aspects", aspect_part, config.keywords)
+    by_topic = parts.attempt("topics", topic_part, config.n_topics) if config.run_nmf else None
     predicted = None
     if config.emotion_models is not None:
-        predicted = _attempt("emotions", lambda: predict_emotions(credible, config), parts)
+        predicted = parts.attempt("emotions", lambda: predict_emotions(credible, config), config.sample_size)
+    told = None
+    if by_aspect is not None and predicted is not None:
+        told = parts.attempt("summary", lambda: analysis_summary(review.state, by_aspect, predicted, by_topic), by_topic is None)
+    status = {"aspects": "not asked for", "topics": "not asked for", "emotions": "not asked for"} | parts.status
     results = writers.results_document(
         review.state,
         None if by_aspect is None else aspects.absa_summary(by_aspect, by_topic),
@@ -172,11 +243,11 @@ def run_full_analysis(df: DataFrame, config: RunConfig = RunConfig()) -> Analysi
         None if predicted is None else emotions.emotion_distribution(predicted),
         None if predicted is None else emotions.confidence_by_emotion(predicted),
         config.settings,
-        parts,
+        status,
     )
     if config.output:
         writers.write_results_json(results, f"{config.output.rstrip('/')}/results")
-    return Analysis(review, by_aspect, by_topic, predicted, results)
+    return Analysis(review, by_aspect, by_topic, predicted, results, told)
 
 
 def analysis_summary(state: DataFrame, by_aspect: DataFrame, predictions: DataFrame, by_topic: DataFrame | None = None) -> DataFrame:

@@ -1,9 +1,12 @@
 """Runs published as a whole: a failure changes nothing, games are replaced one by one, gates and preparation."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
-from reviewscope.config import QualityGates
+from reviewscope.config import EMOTIONS, QualityGates
+from reviewscope.operators import ensemble
 from reviewscope.plans import jobs
 from reviewscope.session import scratch_path
 from reviewscope.sources import publish
@@ -70,3 +73,38 @@ def test_pipeline_prepares_gates_and_publishes(spark):
     verdicts = {(r["game_id"], r["gate"]): r["status"] for r in run.gates.collect()}
     assert verdicts["small", "volume"] == "refuse" and verdicts["big", "volume"] != "refuse"
     assert run.fake_summary is not None
+
+
+def test_resume_makes_only_what_is_missing(spark):
+    asked = {"aspects": 0, "emotions": 0}
+
+    def scorer(text):
+        asked["aspects"] += 1
+        return F.struct(F.lit("POSITIVE").alias("label"), F.lit(0.9).alias("confidence"))
+
+    def emotions(df):
+        asked["emotions"] += 1
+        if asked["emotions"] == 1:
+            raise RuntimeError("no model yet")
+        one = F.array(*(F.lit(x) for x in (0.5, 0.1, 0.1, 0.1, 0.1, 0.1)))
+        return ensemble.from_probabilities(df, {"a": one, "b": one}, EMOTIONS)
+
+    config = jobs.RunConfig(
+        use_knn=False, run_nmf=False, keywords={"content": ["story"]}, scorer=scorer, emotion_models=emotions, output=scratch_path(spark, "resume"), resume=True
+    )
+    df = rows(spark, {"g": 40})
+    first = jobs.run_full_analysis(df, config)
+    status = first.results.first()["parts"]
+    assert status["aspects"] == "complete" and status["emotions"].startswith("failed: RuntimeError") and first.summary is None
+    second = jobs.run_full_analysis(df.repartition(7), config)
+    status = second.results.first()["parts"]
+    assert (status["aspects"], status["emotions"], status["summary"]) == ("reused", "complete", "complete") and asked == {"aspects": 1, "emotions": 2}
+    assert second.aspects.collect() == first.aspects.collect() and second.predictions.count() == 40
+    assert second.summary.first()["top_aspects"] == "content"
+    third = jobs.run_full_analysis(df, config)
+    assert set(third.results.first()["parts"].values()) == {"reused", "not asked for"} and asked == {"aspects": 1, "emotions": 2}
+    # Other settings, another version of a model, or other rows are other parts.
+    jobs.run_full_analysis(df, replace(config, versions={"scorer": "2"}))
+    assert asked == {"aspects": 2, "emotions": 3}
+    jobs.run_full_analysis(rows(spark, {"g": 41}), config)
+    assert asked == {"aspects": 3, "emotions": 4}
