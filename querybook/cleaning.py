@@ -72,7 +72,11 @@ def _(spark, sf):
     return found.select("review_id", "held_out", F.col("found.language").alias("detected"), "found.margin")
 
 
-@query("repair_text")
+# The documents' letters beyond ASCII are bytes 0xC0 to 0xFF in windows-1252: each begins a UTF-8 character that no continuation follows.
+@query(
+    "repair_text",
+    f"with {TEXT_SQL} select review_id, replace(regexp_replace(review, '[À-ÿ]', '�', 'g'), chr(39), '') as review from reviews",
+)
 def _(spark, sf):
     df = reviews_text(spark, sf)
     return df.select("review_id", ft.repair_text(F.col("review")).alias("review"))
