@@ -9,7 +9,7 @@ Grades, where only toxic or not is labelled: 0 is not toxic; toxic texts are gra
 of the vocabulary's toxic features they have, cut at quantiles of the labelled toxic texts. With a column of grades these are
 used as they are.
 
-Bounds: `VOCABULARY` features, and a fitting sample of `SAMPLE` labelled texts of each label. `sampled` draws it by a hash of
+Bounds: `VOCABULARY` features (or, with `vocabulary=None`, all that enough labelled texts of the rows given to `fit` have), and a fitting sample of `SAMPLE` labelled texts of each label. `sampled` draws it by a hash of
 the key from the labels alone, so no other text is read twice or moved; `fit` counts all rows that it is given and
 fits on a draw of the same size. Each side of the sample weighs as much as it does among all labels, so probabilities do not
 depend on where the bounds cut. Only the vocabulary and the sample's feature numbers reach the driver.
@@ -159,7 +159,7 @@ def fit(
     text: str = "text",
     toxic: str = "toxic",
     grade: str | None = None,
-    vocabulary: int = VOCABULARY,
+    vocabulary: int | None = VOCABULARY,
     sample: int = SAMPLE,
     shares: dict[int, float] | None = None,
 ) -> Model:
@@ -178,7 +178,8 @@ def fit(
     bad, good = (F.col("bad") + 0.5) / (totals[1] + 1), (F.col("good") + 0.5) / (totals[0] + 1)
     strength = F.abs(F.log(bad / good)) * F.sqrt(bad + good)
     best = counts.filter(F.col("bad") + F.col("good") >= LEAST_TEXTS).withColumn("strength", strength)
-    chosen = best.orderBy(F.desc("strength"), "feature").limit(vocabulary).select("feature", (bad > good).alias("points")).collect()
+    best = best.orderBy(F.desc("strength"), "feature")
+    chosen = (best if vocabulary is None else best.limit(vocabulary)).select("feature", (bad > good).alias("points")).collect()
     names = [r["feature"] for r in chosen]
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, min(1.0, 1.5 * sample / n + 0.001)))), F.col("toxic"))
     drawn = rows.filter((F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)) < share)

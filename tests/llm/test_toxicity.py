@@ -1,9 +1,13 @@
 """Ordinal regression: ordered thresholds, recovered scale, held-out accuracy on labelled documents, odd rows."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from reviewscope.llm import toxicity
+from reviewscope.llm.queries import op3_score_toxicity
 
 
 def test_ordinal_fit_recovers_the_scale():
@@ -82,3 +86,83 @@ def test_probabilities_do_not_depend_on_the_bound(spark):
 def test_rare_features_are_kept_at_every_size(spark):
     rows = [("lovely day", 0)] * 3000 + [("lovely scum", 1)] * 6
     assert "scum" in toxicity.fit(spark.createDataFrame(rows, "text string, toxic int")).features
+
+
+def plain_scores(docs, labels):
+    """The query's rows, text by text: {doc_id: (severity, grade, toxic, p_toxic)}. docs: {doc_id: text}, labels: [(doc_id, toxic)]."""
+
+    def found(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        return {w for w in words} | {w[:n] + "-" for w in words for n in (4, 5, 6) if len(w) >= n}
+
+    train = [(found(docs[k]), t) for k, t in labels if k in docs and t is not None]
+    total = Counter(t for _, t in train)
+    seen = {v: Counter(f for fs, t in train if t == v for f in fs) for v in (0, 1)}
+    strength, points = {}, {}
+    for f in seen[0].keys() | seen[1].keys():
+        if seen[0][f] + seen[1][f] >= 4:
+            bad, good = (seen[1][f] + 0.5) / (total[1] + 1), (seen[0][f] + 0.5) / (total[0] + 1)
+            strength[f], points[f] = abs(math.log(bad / good)) * math.sqrt(bad + good), bad > good
+    names = sorted(strength, key=lambda f: (-strength[f], f))[: toxicity.VOCABULARY]
+    kept = [fs & set(names) for fs, _ in train]
+    marks = [sum(points[f] for f in fs) for fs in kept]
+    cuts = np.quantile([m for m, (_, t) in zip(marks, train) if t], [1 / 3, 2 / 3])
+    grades = [1 + sum(c < m for c in cuts) if t else 0 for m, (_, t) in zip(marks, train)]
+    levels = max(grades)
+    parameters = dict.fromkeys([*names, *range(levels)], 0.0)
+    first, second = dict.fromkeys(parameters, 0.0), dict.fromkeys(parameters, 0.0)
+
+    def thresholds():
+        out = [parameters[0]]
+        for j in range(1, levels):
+            out.append(out[-1] + math.exp(parameters[j]))
+        return out
+
+    def edge(scale, k, at):
+        """P(grade >= k) and its slope."""
+        if k == 0 or k > levels:
+            return float(k == 0), 0.0
+        p = 1 / (1 + math.exp(-min(35, max(-35, scale - at[k - 1]))))
+        return p, p * (1 - p)
+
+    for step in range(1, toxicity.STEPS + 1):
+        at, slope = thresholds(), dict.fromkeys(parameters, 0.0)
+        by_threshold = [0.0] * levels
+        for fs, g in zip(kept, grades):
+            scale = sum(parameters[f] for f in fs)
+            (p, dp), (q, dq) = edge(scale, g, at), edge(scale, g + 1, at)
+            likelihood = max(p - q, 1e-12)
+            for f in fs:
+                slope[f] += (dp - dq) / likelihood
+            if g >= 1:
+                by_threshold[g - 1] -= dp / likelihood
+            if g + 1 <= levels:
+                by_threshold[g] += dq / likelihood
+        for f in names:
+            slope[f] -= toxicity.RIDGE * parameters[f]
+        for j in range(levels):
+            slope[j] = sum(by_threshold[j:]) * (math.exp(parameters[j]) if j else 1.0)
+        for x, d in slope.items():
+            first[x] = 0.9 * first[x] + 0.1 * d
+            second[x] = 0.999 * second[x] + 0.001 * d * d
+            parameters[x] += 0.05 * (first[x] / (1 - 0.9**step)) / (math.sqrt(second[x] / (1 - 0.999**step)) + 1e-9)
+    out, at = {}, thresholds()
+    for k, text in docs.items():
+        scale = sum(parameters[f] for f in found(text) & set(names))
+        above = [edge(scale, j, at)[0] for j in range(levels + 2)]
+        p = [a - b for a, b in zip(above, above[1:])]
+        out[k] = (sum(j * x for j, x in enumerate(p)), p.index(max(p)), 1 - p[0] >= toxicity.TOXIC_AT, 1 - p[0])
+    return out
+
+
+def test_query_against_plain_python(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = [(r["doc_id"], r["toxic"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    want = plain_scores(docs, labels)
+    got = op3_score_toxicity(spark, sf).collect()
+    assert len(got) == len(want)
+    for r in got:
+        severity, grade, toxic, p = want[r["doc_id"]]
+        assert (r["severity"], r["p_toxic"]) == pytest.approx((severity, p), abs=1e-6)
+        assert abs(p - toxicity.TOXIC_AT) < 1e-6 or (r["grade"], r["toxic"]) == (grade, toxic)
