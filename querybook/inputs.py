@@ -170,6 +170,40 @@ def _(spark, sf):
     )
 
 
+# Guides made of the documents: up to four sections each, some without a title, some without text, a blank one in every seventh guide.
+GUIDE_SQL = (
+    "parts as (select doc_id as page_id, unnest(range(doc_id % 4 + 1)) as i, doc_id, lang, source, text from documents), "
+    "made as (select page_id, i, case when (doc_id + i) % 5 = 0 then 'No Title' else source || ' & ' || i end as title, "
+    "case when doc_id % 7 = 3 and i = 1 then '' when (doc_id + 2 * i) % 6 = 0 then 'No Content' "
+    "else concat_ws(chr(10), nullif(trim(regexp_replace(substr(text, 40 * i + 1, 40), '[^a-zA-Z]+', ' ', 'g')), ''), 'in <' || coalesce(lang, '?') || '>') end as content from parts), "
+    "stops as (select page_id, min(i) filter (content = '') as stop from made group by page_id)"
+)
+
+
+@query(
+    "extract_guide_sections",
+    f"with {GUIDE_SQL} select page_id, count(*) filter (i < coalesce(stop, 9)) as n, "
+    "coalesce(string_agg('Section Title: ' || title || chr(10) || 'Content: ' || chr(10) || content || chr(10), '' order by i) filter (i < coalesce(stop, 9)), '') as guide "
+    "from made join stops using (page_id) group by page_id",
+)
+def _(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 4).cast("int"))))
+    words = F.trim(F.regexp_replace(F.expr("substring(text, 40 * i + 1, 40)"), "[^a-zA-Z]+", " "))
+    title = F.when(
+        (F.col("doc_id") + F.col("i")) % 5 != 0, F.concat(F.lit('<div class="subSectionTitle"> '), "source", F.lit(" &amp; "), F.col("i").cast("string"), F.lit("</div>\n"))
+    ).otherwise("")
+    body = F.concat(F.lit('<div class="subSectionDesc">\n '), words, F.lit("<br/> <i>in &lt;"), F.coalesce("lang", F.lit("?")), F.lit("&gt;</i></div>"))
+    body = (
+        F.when((F.col("doc_id") % 7 == 3) & (F.col("i") == 1), '<div class="subSectionDesc"> </div>')
+        .when((F.col("doc_id") + 2 * F.col("i")) % 6 == 0, "")
+        .otherwise(body)
+    )
+    section = F.concat(F.lit('<div class="detailBox wide">'), title, body, F.lit("</div><p>between</p>"))
+    pages = docs.select(F.col("doc_id").alias("page_id"), "i", section.alias("section")).groupBy("page_id")
+    pages = pages.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "section"))), lambda s: s["section"]), "").alias("html"))
+    return html.extract_page_sections(pages).select("page_id", F.size("sections").alias("n"), "guide")
+
+
 @query(
     "write_reviews",
     f"with {META_SQL} select review_id, game_id, author_id, {r6('playtime_forever')} as playtime_forever from reviews",

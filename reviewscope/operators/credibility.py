@@ -88,17 +88,21 @@ def rapid_fire(df: DataFrame, scope: str = "author", t: CredibilityThresholds =
     (author, day); only the first row of a day looks at the author's previous day, and only
     the first row of an author at the previous author.  Only ids and times are shuffled; the few
     hits are then joined to the full rows by (game_id, review_id).
+
+    Rows without a time cannot hit and take no part.  Rows without an author are nobody's: with scope="author" they take
+    no part either, with scope="reference" they are one author, before all others.
     """
     if "timestamp_created" not in df.columns:
         return df.withColumn("rule7", F.lit(False))
     ts = F.col("timestamp_created")
     day = ["game_id", "__author", "__day"]
-    rows = df.select(
+    known = ts.isNotNull() & F.col("author_id").isNotNull() if scope == "author" else ts.isNotNull()
+    rows = df.filter(known).select(
         GAME,
         "review_id",
         "timestamp_created",
         F.coalesce("author_id", F.lit("")).alias("__author"),
-        F.coalesce(F.to_date(ts), F.lit("9999-12-31").cast("date")).alias("__day"),
+        F.to_date(ts).alias("__day"),
     )
     days = rows.groupBy(*day).agg(
         F.min("timestamp_created").alias("first_ts"), F.max("timestamp_created").alias("last_ts")

@@ -159,3 +159,13 @@ def test_features_with_categories(spark):
     got = {r["review_id"]: r["features"] for r in cred.knn_features(df).collect()}
     assert got[0][-2:] == [0.0, 1.0] and got[1][-2:] == [1.0, 0.0]
     assert got[0][3] == pytest.approx(-1.0) and got[0][0] == 0.0
+
+
+def test_rapid_fire_without_times_or_authors(spark):
+    at = lambda m: f"2024-01-01 10:0{m}:00"
+    rows = [(1, "a", at(0)), (2, "a", at(1)), (3, "a", None), (4, "a", None), (5, None, at(2)), (6, None, at(3)), (7, "b", None), (8, "c", at(3))]
+    df = spark.createDataFrame(rows, "review_id int, author_id string, t string").selectExpr("'g' as game_id", "*", "cast(t as timestamp_ntz) as timestamp_created")
+    hits = lambda scope: sorted(r[0] for r in cred.rapid_fire(df, scope).filter("rule7").select("review_id").collect())
+    assert hits("author") == [2]
+    # Nobody's rows come first, then a (10:00 and 10:01), then c, two minutes after a's last row.
+    assert hits("reference") == [2, 6, 8]
