@@ -78,4 +78,4 @@ def test_a_megabyte_of_one_thing(spark, text):
     began = time.perf_counter()
     (row,) = credentials.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert row["base"] == listed(base(text))
-    assert time.perf_counter() - began < 10
+    assert time.perf_counter() - began < 25  # alone about 3

@@ -85,7 +85,7 @@ def test_inclusion_follows_the_words(spark):
     docs = [(i, " ".join("w" * sizes[i % 7]), "a" if i < 70 else "b") for i in range(140)]
     docs = [(i, " ".join(["w"] * sizes[i % 7]), s) for i, _, s in docs]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").cache()
-    draws, taken = 25, dict.fromkeys(range(140), 0)
+    draws, taken = 8, dict.fromkeys(range(140), 0)
     for seed in range(draws):
         for r in mixing.allocate(df, seed=str(seed)).collect():
             taken[r["doc_id"]] += r["copies"]
@@ -96,7 +96,7 @@ def test_inclusion_follows_the_words(spark):
     assert limit == 60
     for n in set(sizes):
         own = [taken[i] / draws for i in range(70, 140) if sizes[i % 7] == n]
-        assert sum(own) / len(own) == pytest.approx(c * n, abs=0.05)
+        assert sum(own) / len(own) == pytest.approx(c * n, abs=0.1)
     # For a 1,157 words: one whole copy and 347 words more.
     assert all(draws <= taken[i] <= 2 * draws for i in range(70))
 
