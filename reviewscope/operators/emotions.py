@@ -55,14 +55,14 @@ def high_confidence(df: DataFrame, above: float = 0.8) -> DataFrame:
     return parts.select(GAME, "emotion", "high", ratio.alias("high_ratio")).filter("high > 0")
 
 
+def divided(models: int = 3) -> Column:
+    """Do the models (all of them present) name more than one emotion?"""
+    return (F.size("models") >= models) & (F.size(F.array_distinct(F.transform("models", lambda m: m["emotion"]))) > 1)
+
+
 def disagreement_rate(df: DataFrame, models: int = 3) -> DataFrame:
     """Predictions whose models (all of them present) do not name one emotion."""
-    split = (F.size("models") >= models) & (
-        F.size(F.array_distinct(F.transform("models", lambda m: m["emotion"]))) > 1
-    )
-    stats = df.groupBy(GAME).agg(
-        F.count("*").alias("sample_size"), F.count_if(split).alias("disagreement_count")
-    )
+    stats = df.groupBy(GAME).agg(F.count("*").alias("sample_size"), F.count_if(divided(models)).alias("disagreement_count"))
     return stats.withColumn("disagreement_rate", F.col("disagreement_count") / F.col("sample_size"))
 
 
@@ -189,73 +189,54 @@ def top_emotions(df: DataFrame, n: int = 3) -> DataFrame:
 
 
 def emotion_report(df: DataFrame) -> DataFrame:
-    """The report as ordered rows (game_id, section, position, item, value, n, confidence)."""
+    """The report as ordered rows (game_id, section, position, item, value, n, confidence).
+
+    The predictions are aggregated once, to a row per game that holds its emotions, and all sections are made from that row.
+    """
     parts = df.groupBy(GAME, "emotion").agg(
         F.count("*").alias("n"),
         F.sum("confidence").alias("s"),
         F.count_if(F.col("confidence") > 0.8).alias("high"),
-    )
-    whole = parts.groupBy(GAME).agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("high").alias("high")
-    )
-
-    def rows(source: DataFrame, section: str, items: Sequence[tuple]) -> DataFrame:
-        cells = F.array(
-            *[
-                F.struct(
-                    F.lit(section).alias("section"),
-                    F.lit(i).cast("long").alias("position"),
-                    (item if isinstance(item, Column) else F.lit(item)).alias("item"),
-                    value.cast("double").alias("value"),
-                )
-                for i, (item, value) in enumerate(items, 1)
-            ]
-        )
-        flat = source.select(GAME, F.inline(cells))
-        return flat.withColumns(
-            {"n": F.lit(None).cast("long"), "confidence": F.lit(None).cast("double")}
+        F.count_if(divided()).alias("apart"),
+    )
+    # The most frequent emotion first, by name on ties.
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "emotion", F.col("n").alias("count"), "s")))
+    whole = parts.groupBy(GAME).agg(*[F.sum(c).alias(c) for c in ("n", "s", "high", "apart")], listed.alias("each"))
+    n, each = F.col("n"), F.col("each")
+
+    def cell(section: str, position: Column, item: Column, value: Column, count: Column | None = None, confidence: Column | None = None) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"),
+            position.cast("long").alias("position"),
+            item.alias("item"),
+            value.cast("double").alias("value"),
+            (F.lit(None) if count is None else count).cast("long").alias("n"),
+            (F.lit(None) if confidence is None else confidence).cast("double").alias("confidence"),
         )
 
-    summary = rows(
-        whole,
-        "1 summary",
-        [
-            ("total_analyzed", F.col("n")),
-            ("overall_avg_confidence", F.col("s") / F.col("n")),
-            ("high_confidence_pct", percent(F.col("high"), F.col("n"))),
-        ],
-    )
-    place = F.row_number().over(Window.partitionBy(GAME).orderBy(F.desc("n"), "emotion"))
-    share = percent(F.col("n"), F.sum("n").over(Window.partitionBy(GAME)))
-    distribution = parts.select(
-        GAME,
-        F.lit("2 distribution").alias("section"),
-        place.cast("long").alias("position"),
-        F.col("emotion").alias("item"),
-        share.alias("value"),
-        "n",
-        (F.col("s") / F.col("n")).alias("confidence"),
-    )
-    agreement = rows(
-        disagreement_rate(df),
-        "3 agreement",
-        [
-            ("sample_size", F.col("sample_size")),
-            ("disagreement_pct", F.col("disagreement_rate") * 100),
-            ("disagreement_count", F.col("disagreement_count")),
-        ],
-    )
-    insight = rows(
-        valence(df),
-        "4 insights",
-        [
-            (F.col("dominant_emotion"), F.col("dominant_pct")),
-            ("positive_pct", F.col("positive_pct")),
-            ("negative_pct", F.col("negative_pct")),
-            ("valence_ratio", F.col("valence_ratio")),
-        ],
-    )
-    return summary.unionByName(distribution).unionByName(agreement).unionByName(insight)
+    def section(name: str, items: Sequence[tuple]) -> Column:
+        return F.array(*[cell(name, F.lit(i), item if isinstance(item, Column) else F.lit(item), value) for i, (item, value) in enumerate(items, 1)])
+
+    def share(group: Sequence[str]) -> Column:
+        return F.aggregate(F.filter(each, lambda x: x["emotion"].isin(*group)), F.lit(0.0), lambda sum_, x: sum_ + percent(x["count"], n))
+
+    positive, negative = share(POSITIVE_EMOTIONS), share(NEGATIVE_EMOTIONS)
+    distribution = F.transform(each, lambda x, i: cell("2 distribution", i + 1, x["emotion"], percent(x["count"], n), x["count"], x["s"] / x["count"]))
+    rows = F.concat(
+        section("1 summary", [("total_analyzed", n), ("overall_avg_confidence", F.col("s") / n), ("high_confidence_pct", percent(F.col("high"), n))]),
+        distribution,
+        section("3 agreement", [("sample_size", n), ("disagreement_pct", F.col("apart") / n * 100), ("disagreement_count", F.col("apart"))]),
+        section(
+            "4 insights",
+            [
+                (each[0]["emotion"], percent(each[0]["count"], n)),
+                ("positive_pct", positive),
+                ("negative_pct", negative),
+                ("valence_ratio", F.when(negative > 0, positive / negative)),
+            ],
+        ),
+    )
+    return whole.select(GAME, F.inline(rows))
 
 
 def emotion_report_lines(report: DataFrame) -> DataFrame:
