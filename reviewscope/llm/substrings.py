@@ -36,8 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewscope.llm.words import _SPACE, BASE, mix64, raw_bytes, slices, word_lanes, word_places
-from reviewscope.session import stored
+from reviewscope.llm.words import _SPACE, BASE, mapped, mix64, raw_bytes, slices, text_batches, word_lanes, word_places
 
 WINDOW = 50
 SHINGLE = 16
@@ -149,7 +148,7 @@ def sparse_blocks(docs: DataFrame, width: int, bits: int) -> DataFrame:
         if total:
             yield from out(*fold())
 
-    return docs.select("text").mapInArrow(run, "block long, once binary, more binary")
+    return mapped(docs.select("text"), run, "block long, once binary, more binary")
 
 
 def merged(blocks: DataFrame) -> DataFrame:
@@ -169,7 +168,7 @@ def merged(blocks: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["block", "bits"])
 
-    return blocks.repartition("block").mapInArrow(run, "block long, bits binary")
+    return mapped(blocks.repartition("block"), run, "block long, bits binary")
 
 
 def sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
@@ -248,18 +247,21 @@ def candidates(docs: DataFrame, held, width: int, bits: int) -> DataFrame:
                     names=["anchor", "key", "hash", "start", "gone", "open"],
                 )
 
-    return docs.select("key", "hash", "text").mapInArrow(run, SCHEMA)
+    return mapped(docs.select("key", "hash", "text"), run, SCHEMA)
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """key, hash, marks (start, gone): the windows of each document that one with a smaller key has too."""
-    rows = found.filter(F.size("open") > 0).select("anchor", "key", "hash", "start", "open").repartition("anchor")
-    each = rows.select("anchor", "key", "hash", "start", F.explode("open").alias("w")).select("anchor", "key", "hash", "start", "w.*")
+    """key, hash, marks (start, gone): the windows of each document that one with a smaller key has too.
+
+    Runs with open windows are dealt out by anchor, those that their slice has settled as they come; so each is moved once.
+    """
+    deal = F.when(F.size("open") > 0, F.col("anchor")).otherwise(F.xxhash64("key", "hash", "start"))
+    rows = found.withColumn("deal", deal).select("deal", "key", "hash", "start", "gone", "open").repartition("deal")
+    each = rows.select("deal", "key", "hash", "start", "gone", F.explode_outer("open").alias("w")).select("deal", "key", "hash", "start", "gone", "w.*")
     # Equal windows have equal anchors: the rows are where they have to be already.
-    later = each.withColumn("least", F.min("key").over(W.partitionBy("anchor", "a", "b"))).filter("key > least")
-    bit = F.expr("shiftleft(1L, i)")
-    settled = later.groupBy("anchor", "key", "hash", "start").agg(F.bit_or(bit).alias("gone")).select("key", "hash", "start", "gone")
-    marks = found.filter("gone <> 0").select("key", "hash", "start", "gone").unionByName(settled)
+    each = each.withColumn("least", F.min("key").over(W.partitionBy("deal", "a", "b")))
+    bit = F.when(F.col("i").isNotNull() & (F.col("key") > F.col("least")), F.expr("shiftleft(1L, i)")).otherwise(F.lit(0).cast("long"))
+    marks = each.groupBy("deal", "key", "hash", "start").agg(F.bit_or(F.col("gone").bitwiseOR(bit)).alias("gone")).filter("gone <> 0")
     return marks.groupBy("key", "hash").agg(F.collect_list(F.struct("start", "gone")).alias("marks"))
 
 
@@ -297,12 +299,12 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     `bits` is the log2 of a sketch row's cells; by default it follows from the size of the table.
     """
+    text_batches(docs)
     whole = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     bits = bits or sketch_bits(whole, width)
     held = docs.sparkSession.sparkContext.broadcast(sketch(whole, width, bits))
     hashed = whole.withColumn("hash", F.xxhash64("text"))
-    found = stored(candidates(hashed.withColumn("key", F.col("key").cast("long")), held, width, bits), "repeated-windows")
-    held.unpersist()
+    found = candidates(hashed.withColumn("key", F.col("key").cast("long")), held, width, bits)
     marks = repeated(found).select(F.col("key").alias("of_key"), F.col("hash").alias("of_hash"), "marks")
     rows = hashed.join(marks, (F.col("key").cast("long") == F.col("of_key")) & (F.col("hash") == F.col("of_hash")), "left").select("key", "text", "marks")
     fields = "n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
@@ -319,4 +321,4 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
                     columns.append(pa.array(parts, pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return mapped(rows, run, schema).withColumnRenamed("key", key)

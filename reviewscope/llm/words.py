@@ -8,15 +8,19 @@ more than `LONG` bytes are hashed by BLAKE2b. With both lanes n different words
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 BASE = 0x9E3779B97F4A7C15
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 LONG = 4096
+BATCH_LIMIT, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 #: The first bytes of a block of eight, by how many there are.
 MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
@@ -113,6 +117,31 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(mix64(mixed))
 
 
+def text_batches(docs: DataFrame) -> None:
+    """From now on rows reach Python in batches of at most BATCH_BYTES, unless the session names a limit of its own.
+
+    Spark's default of 64 MiB is held several times over, by the executor and the worker, in every task that reads long texts.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH_LIMIT, None) == BATCH_DEFAULT:
+        conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
+def mapped(rows: DataFrame, run, schema) -> DataFrame:
+    """`mapInArrow` whose workers give their memory back when a partition ends: idle ones are kept, with all that their allocators hold."""
+
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not this C library
+            pass
+
+    return rows.mapInArrow(whole, schema)
+
+
 def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 19):
     """Parts of a batch with about `size` bytes of text each; one text may be longer."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
