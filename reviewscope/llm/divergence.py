@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reviewscope.llm.words import _LOWER_BYTES, BASE, cut_words, mix64, raw_bytes, slices
+from reviewscope.llm.words import _LOWER_BYTES, BASE, cut_words, mapped, mix64, raw_bytes, slices, text_batches
 from reviewscope.session import stored
 
 LEAST = 10
@@ -88,7 +88,9 @@ def term_parts(docs: DataFrame) -> DataFrame:
             key = names[0].indices.to_numpy().astype(np.int64) * len(names[1].dictionary) + names[1].indices.to_numpy()
             first = np.zeros(len(table), dtype=bool)
             first[np.unique(key, return_index=True)[1]] = True
-            yield from table.append_column("first", pa.array(first)).to_batches(max_chunksize=50_000)
+            # Those come first, so that a reader of strings can skip pages without any.
+            order = np.argsort(~first, kind="stable")
+            yield from table.append_column("first", pa.array(first)).take(pa.array(order)).combine_chunks().to_batches(max_chunksize=50_000)
 
         def sums() -> pa.Table:
             return pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(NAMES)
@@ -106,7 +108,7 @@ def term_parts(docs: DataFrame) -> DataFrame:
         if held:
             yield from out()
 
-    return docs.mapInArrow(run, "lang string, source string, term string, n long, docs long, first boolean")
+    return mapped(docs, run, "lang string, source string, term string, n long, docs long, first boolean")
 
 
 #: As Arrow's sums leave them.
@@ -130,7 +132,7 @@ def bloom(kept: DataFrame, bits: int) -> np.ndarray:
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.bitwise_or.reduceat(np.int64(1) << (at & 63), first))], names=["word", "bits"])
 
-    rows = kept.select("digest").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = mapped(kept.select("digest"), run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << bits >> 6, dtype=np.int64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return out
@@ -148,7 +150,7 @@ def passing(parts: DataFrame, kept: DataFrame) -> DataFrame:
                 at = places(batch.column(1).to_numpy(), bits)
                 yield batch.filter(pa.array(((words[at >> 6] >> (at & 63)) & 1).all(axis=0)))
 
-    return parts.filter("term is not null").select("lang", "digest", "term").mapInArrow(run, "lang string, digest long, term string")
+    return mapped(parts.filter("term is not null").select("lang", "digest", "term"), run, "lang string, digest long, term string")
 
 
 def kept_counts(parts: DataFrame, again: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -219,6 +221,7 @@ def audit(
     digest: Callable[[Column], Column] = F.xxhash64,
 ) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank. `digest` is a parameter so that tests can make terms collide."""
+    text_batches(docs)
     named = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(to) for c, to in ((lang, "lang"), (source, "source"), (text, "text"))))
     whole = term_parts(named).withColumn("digest", digest(F.col("term")))
     parts = stored(whole.select(*GROUP, "digest", "n", "docs", F.when(F.col("first"), F.col("term")).alias("term")), "term-parts")
