@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewscope.llm.words import slices
+from reviewscope.llm.words import mapped, slices, text_batches
 from reviewscope.session import stored
 
 SAMPLE_BYTES = 49_152
@@ -236,6 +236,7 @@ def piece() -> Column:
 def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """`row` (a struct of the carried columns, all by default), lang_pred, score."""
     carry = docs.columns if carry is None else carry
+    text_batches(docs)
     held = docs.sparkSession.sparkContext.broadcast(Identifier(model).plain())
     kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(f"`{text}`").alias("text"))
     schema = T.StructType(
@@ -249,7 +250,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
                 lang, score = identify(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
-    return kept.mapInArrow(run, schema)
+    return mapped(kept, run, schema)
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

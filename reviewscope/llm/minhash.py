@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewscope.llm.components import components, written
-from reviewscope.llm.words import BASE, hashed_words, mix64, shingles, slices
+from reviewscope.llm.words import BASE, hashed_words, mapped, mix64, shingles, slices, text_batches
 from reviewscope.session import stored
 
 WIDTH = 5
@@ -118,6 +118,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 # ------------------------------------------------------------------------------------- Spark
 def signed(docs: DataFrame, key: str, text: str, width: int, count: int, rows: int) -> DataFrame:
     """key, n (set size), node (digest of the set), bands and sketch, for every row."""
+    text_batches(docs)
     kept = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     schema = T.StructType([kept.schema["key"], *T._parse_datatype_string("n long, node binary, bands array<long>, sketch binary").fields])
 
@@ -139,7 +140,7 @@ def signed(docs: DataFrame, key: str, text: str, width: int, count: int, rows: i
                     names=["key", "n", "node", "bands", "sketch"],
                 )
 
-    return kept.mapInArrow(run, schema)
+    return mapped(kept, run, schema)
 
 
 def with_node(docs: DataFrame, carried, text: str, width: int) -> DataFrame:
@@ -156,7 +157,7 @@ def with_node(docs: DataFrame, carried, text: str, width: int) -> DataFrame:
                     names=["row", "n", "node"],
                 )
 
-    return kept.mapInArrow(run, schema)
+    return mapped(kept, run, schema)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -176,7 +177,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                     found.append(similar(text_sets(part.column(2).slice(i, 1), width)[0], last[1], percent))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(found))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return mapped(both, run, "a binary, b binary")
 
 
 def matrix(sketches) -> np.ndarray:
@@ -196,7 +197,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 fine = (one == other).sum(axis=1) >= agreement(one.shape[1], percent)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fine))
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a binary, b binary")
+    return mapped(pairs.select("a", "b", "sketch_a", "sketch_b"), run, "a binary, b binary")
 
 
 def linked_across(members: DataFrame, width: int, percent: int) -> DataFrame:
@@ -254,7 +255,7 @@ def crowded_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int
                     some = pa.array(one[at : at + 10_000])
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(some), pa.binary()), some], names=["node", "shingle"])
 
-    listed = stored(members.join(texts, "node").select("node", "text").mapInArrow(run, "node binary, shingle long"), "shingles")
+    listed = stored(mapped(members.join(texts, "node").select("node", "text"), run, "node binary, shingle long"), "shingles")
     common = stored(listed.groupBy("shingle").count(), "shingle-counts")
     rare = W.partitionBy("node").orderBy("count", "shingle")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewscope.llm.words import _LOWER, _SPACE, hashed_words, raw_bytes, slices
+from reviewscope.llm.words import _LOWER, _SPACE, hashed_words, mapped, raw_bytes, slices, text_batches
 from reviewscope.session import stored
 
 ORDER = 5
@@ -171,7 +171,7 @@ def counted(train: DataFrame, order: int) -> DataFrame:
                         yield from out(True)
         yield from out(True)
 
-    rows = train.select("text").mapInArrow(run, "kind byte, key long, n long")
+    rows = mapped(train.select("text"), run, "kind byte, key long, n long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -251,6 +251,7 @@ def score(
     Rows for which `held_out` is not true train the model.
     """
     spark = docs.sparkSession
+    text_batches(docs)
     kept = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(f"`{text}`").alias("text"))
     counts = stored(counted(kept.filter("not held_out"), order), "ppm-counts")
     vocabulary = counts.filter(F.col("kind") == WORD).select("key", "n")
@@ -300,7 +301,7 @@ def score(
                 row += size
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, columns), rare, rest], names=schema.names)
 
-    scored = stored(kept.mapInArrow(run, schema), "ppm-scores")
+    scored = stored(mapped(kept, run, schema), "ppm-scores")
     seldom = vocabulary.filter(F.col("n") < floor).select(F.col("key").alias("word"), F.col("n").alias("c"))
     pairs = scored.select("row", F.explode("rare").alias("rare")).select("row", "rare.word", "rare.times")
     by_word = pairs.join(seldom, "word", "left").select(

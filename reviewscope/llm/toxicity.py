@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewscope.llm.words import slices
+from reviewscope.llm.words import mapped, slices, text_batches
 from reviewscope.session import stored
 
 PREFIXES = (4, 5, 6)
@@ -114,6 +114,7 @@ def fit_ordinal(
 # ------------------------------------------------------------------------------------- Spark
 def feature_rows(docs: DataFrame, keep: list[str], vocabulary: list[str] | None = None) -> DataFrame:
     """The columns to keep and `features`: names, or, with a vocabulary, their numbers in it."""
+    text_batches(docs)
     kind = T.ArrayType(T.StringType() if vocabulary is None else T.IntegerType())
     schema = T.StructType([*docs.select(*keep).schema, T.StructField("features", kind)])
     held = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(vocabulary or ())})
@@ -131,7 +132,7 @@ def feature_rows(docs: DataFrame, keep: list[str], vocabulary: list[str] | None
                     [*part.columns[: len(keep)], pa.array(rows, pa.list_(pa.string() if every else pa.int32()))], names=schema.names
                 )
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return mapped(docs.select(*keep, "text"), run, schema)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
@@ -231,4 +232,4 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             columns = [p @ np.arange(p.shape[1], dtype=float), p.argmax(axis=1).astype(np.int32), bad >= TOXIC_AT, bad]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=schema.names)
 
-    return numbered.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return mapped(numbered, run, schema).withColumnRenamed("key", key)
