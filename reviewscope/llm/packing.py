@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewscope.llm.words import _LOWER_BYTES, cut_words, raw_bytes, slices
+from reviewscope.llm.words import _LOWER_BYTES, cut_words, mapped, raw_bytes, slices, text_batches
 
 WINDOW = 4096
 END = 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 ROWS_OUT = 20_000
 SLICE_BYTES = 1 << 20
 #: White space that the tokenizer drops, and that no word of it spans.
@@ -159,7 +159,8 @@ class Packer:
         for at in range(0, whole, self.size):
             self.done(self.new().number, [(key, at, ids[at : at + self.size], len(ids))])
         if whole < len(ids):
-            self.place((key, whole, ids[whole:], len(ids)))
+            # A copy: a view would hold the ids of all texts of the slice for as long as its window is open.
+            self.place((key, whole, ids[whole:].copy(), len(ids)))
 
     def place(self, piece) -> None:
         need, count = len(piece[2]), self.count
@@ -237,6 +238,7 @@ def pack(
 
     `model` is the tokenizer's file as text; it is sent to the workers once. An encoder lives as long as its task.
     """
+    text_batches(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     field = kept.schema["key"]
@@ -275,4 +277,4 @@ def pack(
         if rows:
             yield out(kind)
 
-    return kept.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return mapped(kept, run, schema).withColumnRenamed("key", key)
