@@ -31,8 +31,8 @@ from reviewscope.llm.words import _LOWER_BYTES, cut_words, mapped, raw_bytes, sl
 WINDOW = 4096
 END = 2
 CACHED_WORDS = 250_000
-ROWS_OUT = 20_000
-SLICE_BYTES = 1 << 20
+ROWS_OUT = 4_000
+SLICE_BYTES = 1 << 19
 #: White space that the tokenizer drops, and that no word of it spans.
 BREAK = np.zeros(256, dtype=bool)
 BREAK[[9, 10, 13, 32]] = True
