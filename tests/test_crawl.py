@@ -4,6 +4,7 @@ import itertools
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,32 @@ def test_one_run_and_late_pages(spark):
     assert ids(spark, out) == sorted([*want, ("gap", 2), ("gap", 3)], key=repr)
     crawl.ingest_crawl(spark, inbox, out, state).awaitTermination()
     assert spark.read.parquet(out).filter(F.col("review") != F.concat(F.lit("text "), "review_id")).count() == 0
+
+
+class Held:
+    """What a game's state is asked for."""
+
+    exists, get = False, None
+
+    def update(self, values):
+        self.exists, self.get = True, values
+
+
+def test_state_of_a_game_does_not_grow_with_its_reviews():
+    early = pd.DataFrame(
+        [("g", f"c{i}", f"c{i + 1}", True, "x" * 100_000, "x" * 200, f"{i:032x}") for i in range(1, 50)],
+        columns=["game_id", "requested", "leads", "usable", "reviews", "head", "digest"],
+    )
+    state = Held()
+    assert list(crawl._follow(("g",), iter([early]), state)) == []
+    assert len(state.get[1]) < 49 * 100
+    opening = early.head(1).assign(requested="*", leads="c1", digest="f" * 32)
+    turn = pd.concat(crawl._follow(("g",), iter([opening]), state))
+    assert turn["requested"].tolist() == ["*", *(f"c{i}" for i in range(1, 50))]
+
+
+def test_pages_with_one_cursor_in_one_batch(spark):
+    inbox, out, state = paths(spark)
+    drop(inbox, "all", [page("twice", "*", "c2", [2]), page("twice", "*", "c1", [1]), page("twice", "c1", None, [7]), page("twice", "c2", None, [8])])
+    crawl.ingest_crawl(spark, inbox, out, state).awaitTermination()
+    assert ids(spark, out) == [("twice", 1), ("twice", 7)]
