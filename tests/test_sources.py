@@ -142,3 +142,29 @@ def test_review_tables_keep_damaged_lines(spark):
     table = scratch_path(spark, "parquet")
     spark.range(3).write.parquet(table)
     assert readers.read_reviews(spark, table, fmt="parquet").count() == 3
+
+
+def broadcast_generators(df):
+    """Generators below a broadcast in the plan as it starts."""
+    found, inside = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if inside is not None and depth <= inside:
+            inside = None
+        if "BroadcastExchange" in line and inside is None:
+            inside = depth
+        elif inside is not None and "Generate " in line:
+            found.append(line)
+    return found
+
+
+def test_exploded_names_are_never_broadcast(spark):
+    path = scratch_path(spark, "names")
+    rows = [(i if i % 3 else None, f"Name {i % 7} of a Thing") for i in range(40)] + [(50, None), (51, "")]
+    spark.createDataFrame(rows, "id long, name string").write.parquet(path)
+    asked = spark.createDataFrame([("me 3 of",), ("THING",), ("of a thingy",), ("me",), ("3",), ("4",), ("", ), (None,)], "input string")
+    got = catalog.resolve_items(asked, spark.read.parquet(path))
+    assert broadcast_generators(got) == []
+    want = {"me 3 of": (None, "Name 3 of a Thing"), "THING": (None, "Name 0 of a Thing"), "me": (None, "Name 0 of a Thing"), "4": (4, "Name 4 of a Thing")}
+    rest = {"of a thingy", "3", "", None}
+    assert {r["input"]: (r["id"], r["name"]) for r in got.collect()} == {**want, **{i: (None, None) for i in rest}}
