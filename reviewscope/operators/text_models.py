@@ -14,13 +14,22 @@ from reviewscope.functions import text as ft
 from reviewscope.functions.stemmer import stem
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.StringType())
 def _stem_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Stems of texts of words with blanks between; only one text at a time is a list of words."""
     seen: dict[str, str] = {}
-    for words in batches:
-        for word in {w for row in words if row is not None for w in row} - seen.keys():
-            seen[word] = stem(word)
-        yield words.map(lambda row: None if row is None else [seen[w] for w in row])
+
+    def stemmed(text: str | None) -> str | None:
+        if not text:
+            return text
+        words = text.split(" ")
+        for word in words:
+            if word not in seen:
+                seen[word] = stem(word)
+        return " ".join([seen[w] for w in words])
+
+    for texts in batches:
+        yield texts.map(stemmed)
         if len(seen) > 500_000:
             seen.clear()
 
@@ -28,4 +37,4 @@ def _stem_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def stem_and_stop(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Lowercased words without stop words, stemmed, joined by a blank."""
     kept = F.filter(ft.latin_words(text), lambda w: ~w.isin(*stop_words))
-    return F.array_join(_stem_words(kept), " ")
+    return _stem_words(F.array_join(kept, " "))

@@ -85,3 +85,15 @@ def test_stemmer_published_examples(spark):
     assert {w: stem(w) for w in pairs} == pairs
     got = column(spark, ["The stories are adorable"], text_models.stem_and_stop)
     assert got == ["stori ador"]
+
+
+def test_stems_pass_as_text_not_as_lists(spark):
+    from pyspark.sql import functions as F
+
+    from reviewscope.operators import text_models
+
+    df = spark.createDataFrame([(1, "Running runs, the ponies 7x"), (2, ""), (3, None), (4, "the of")], "i int, review string")
+    stemmed = df.select("i", text_models.stem_and_stop(F.col("review")).alias("s"))
+    assert dict(stemmed.collect()) == {1: "run run poni", 2: "", 3: None, 4: ""}
+    plan = stemmed._jdf.queryExecution().optimizedPlan().toString()
+    assert "_stem_words(array_join" in plan
