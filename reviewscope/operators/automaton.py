@@ -62,7 +62,8 @@ def tag_by_automaton(df: DataFrame, entries: list[tuple[str | None, str, str]],
         automaton, some = built(held.value)
         for batch in batches:
             tagged = []
-            for at, low in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for at, low in zip(batch.column(1), batch.column(2)):  # one text at a time as a Python string
+                at, low = at.as_py(), low.as_py()
                 found: set[str] = set()
                 if low and some:
                     for payload in free_matches(automaton, low):
