@@ -35,7 +35,11 @@ MODEL_BYTES = 64 << 20
 CHECK_EVERY = 10
 EPSILON = float(np.finfo(np.float32).eps)
 
-STATE = "game_id string, block long, ids array<long>, lens array<int>, idx array<int>, vals array<double>, w array<double>"
+# Numbers of a block are packed as bytes: they pass between JVM and Python in every iteration.
+STATE = "game_id string, block long, ids array<long>, lens binary, idx binary, vals binary, w binary"
+PACKED = {"lens": np.int32, "idx": np.int32, "vals": np.float64, "w": np.float64}
+# Share of filled cells from which a block's terms are multiplied as a full matrix.
+FULL = 0.02
 
 
 MODEL = "game_id string, h array<double>, first double, last double, active boolean"
@@ -74,7 +78,7 @@ def _blocks(weights: DataFrame, k: int, scale: float, seed: int, sizes: DataFram
     packed = docs.withColumn("w", start).groupBy(GAME, "block").agg(
         F.array_sort(F.collect_list(F.struct("review_id", "t", "w"))).alias("rows")
     )
-    return packed.select(
+    arrays = packed.select(
         GAME,
         "block",
         F.expr("transform(rows, r -> r.review_id)").alias("ids"),
@@ -83,19 +87,59 @@ def _blocks(weights: DataFrame, k: int, scale: float, seed: int, sizes: DataFram
         F.expr("flatten(transform(rows, r -> transform(r.t, x -> x.v)))").alias("vals"),
         F.expr("flatten(transform(rows, r -> r.w))").alias("w"),
     ).repartition(tasks, GAME, "block")
+    return arrays.mapInPandas(_pack, STATE)
+
+
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(**{c: [np.asarray(v, dtype=kind).tobytes() for v in pdf[c]] for c, kind in PACKED.items()})
+
+
+def _unpack_w(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(w=[np.frombuffer(w) for w in pdf["w"]])
+
+
+class _Block:
+    """The term weights of a block's reviews, as matrix X, and its products."""
+
+    def __init__(self, lens: np.ndarray, idx: np.ndarray, vals: np.ndarray, terms: int):
+        self.idx, self.vals = idx, vals
+        self.rows, self.full = np.repeat(np.arange(len(lens)), lens), None
+        self.starts = np.concatenate(([0], np.cumsum(lens)[:-1])).astype(int)
+        if len(self.vals) >= FULL * len(lens) * terms:
+            # Added up, since a review id that occurs twice has its terms twice.
+            cells = self.rows * terms + self.idx
+            self.full = np.bincount(cells, weights=self.vals, minlength=len(lens) * terms).reshape(len(lens), terms)
+
+    def by_topics(self, h: np.ndarray) -> np.ndarray:
+        if self.full is not None:
+            return self.full @ h.T
+        return np.add.reduceat(self.vals[:, None] * h[:, self.idx].T, self.starts, axis=0)
+
+    def by_reviews(self, w: np.ndarray, terms: int) -> np.ndarray:
+        if self.full is not None:
+            return w.T @ self.full
+        return np.stack([np.bincount(self.idx, weights=self.vals * w[self.rows, c], minlength=terms) for c in range(w.shape[1])])
+
+
+def _packed_block(lens: bytes, idx: bytes, vals: bytes, terms: int) -> _Block:
+    return _Block(*(np.frombuffer(v, dtype=PACKED[c]) for c, v in (("lens", lens), ("idx", idx), ("vals", vals))), terms)
 
 
 def _update_block(w: np.ndarray, h: np.ndarray, lens, idx, vals):
+    return _updated(w, h, _Block(lens, idx, vals, h.shape[1]))
+
+
+def _updated(w: np.ndarray, h: np.ndarray, x: _Block):
     """One multiplicative step of W against H, and the sums the next H needs."""
-    rows = np.repeat(np.arange(len(lens)), lens)
-    starts = np.concatenate(([0], np.cumsum(lens)[:-1])).astype(int)
-    xht = np.add.reduceat(vals[:, None] * h[:, idx].T, starts, axis=0)
+    xht = x.by_topics(h)
     hht = h @ h.T
     den = w @ hht
     before = (float((w * xht).sum()), float((den * w).sum()))
     w = w * xht / np.where(den == 0, EPSILON, den)
-    wtx = np.stack([np.bincount(idx, weights=vals * w[rows, c], minlength=h.shape[1]) for c in range(len(h))])
-    return w, np.concatenate([wtx.ravel(), (w.T @ w).ravel(), [float(vals @ vals), *before]])
+    wtx = x.by_reviews(w, h.shape[1])
+    return w, np.concatenate([wtx.ravel(), (w.T @ w).ravel(), [float(x.vals @ x.vals), *before]])
 
 
 def _step(k: int):
@@ -107,9 +151,11 @@ def _step(k: int):
             new = []
             for game, lens, idx, vals, w, h in zip(pdf[GAME], pdf["lens"], pdf["idx"], pdf["vals"], pdf["w"], pdf["h"]):
                 if h is not None:
-                    w, stats = _update_block(w.reshape(-1, k), h.reshape(k, -1), lens, idx, vals)
+                    h = h.reshape(k, -1)
+                    next_w, stats = _updated(np.frombuffer(w).reshape(-1, k), h, _packed_block(lens, idx, vals, h.shape[1]))
                     sums[game] = sums[game] + stats if game in sums else stats
-                new.append(np.ravel(w))
+                    w = next_w.tobytes()
+                new.append(w)
             yield pdf[["game_id", "block", "ids", "lens", "idx", "vals"]].assign(w=new, stats=None)
         if sums:
             blank = {c: None for c in ("block", "ids", "lens", "idx", "vals", "w")}
@@ -172,10 +218,11 @@ def _fit_alone(k: int, start: Start, max_iter: int, tol: float, top_n: int):
             out = []
             for row in pdf.itertuples():
                 h = start(row.game_id, int(row.terms), _places(row.seeds))
-                w = np.asarray(row.w).reshape(-1, k)
+                w = np.frombuffer(row.w).reshape(-1, k)
+                x = _packed_block(row.lens, row.idx, row.vals, int(row.terms))
                 first = last = 0.0
                 for turn in range(1, max_iter + 1):
-                    w, sums = _update_block(w, h, row.lens, row.idx, row.vals)
+                    w, sums = _updated(w, h, x)
                     h, error, before = _next_h(h, sums, k)
                     if turn == 1:
                         first = last = before or EPSILON
@@ -289,7 +336,7 @@ def factorise(
         own = grouping.join_small(packed, large.select(GAME), [GAME])
         models = large.select(GAME, "terms", "seeds").mapInPandas(_first_models(start), MODEL)
         state, models = _fit_together(own, models, terms * k * 8 <= MODEL_BYTES, k, max_iter, tol)
-        states.append(state.select(GAME, "ids", "w"))
+        states.append(state.select(GAME, "ids", "w").mapInPandas(_unpack_w, states[0].schema))
         tops = tops.unionByName(models.mapInPandas(_best_terms(k, top_n), tops.schema))
 
     named = tops.join(vocab.select(GAME, "rank", "term"), [GAME, "rank"])

@@ -125,3 +125,23 @@ def test_a_scorer_that_raises_on_one_text_scores_the_rest(spark):
     scored = ensemble.score_models(df, {m: ensemble.model_scorer(logits, batch_size=4)(F.col("review")) for m in "abc"})
     joint = {r["review_id"]: (r["emotion"], r["confidence"]) for r in ensemble.ensemble(scored).collect()}
     assert joint.pop(3) == ("unknown", 0.0) and {e for e, _ in joint.values()} == {EMOTIONS[5]}
+
+
+def test_full_and_sparse_products_of_a_block_agree():
+    rng = np.random.default_rng(5)
+    dense = np.where(rng.random((30, 40)) < 0.2, rng.random((30, 40)), 0.0)
+    dense[:, 0] = 1.0
+    lens, idx = (dense > 0).sum(axis=1).astype(np.int32), np.nonzero(dense)[1].astype(np.int32)
+    block = topics._packed_block(lens.tobytes(), idx.tobytes(), dense[dense > 0].tobytes(), 40)
+    h, w = rng.random((3, 40)), rng.random((30, 3))
+    assert block.full is not None
+    products = block.by_topics(h), block.by_reviews(w, 40)
+    block.full = None
+    for got, same, want in zip((block.by_topics(h), block.by_reviews(w, 40)), products, (dense @ h.T, w.T @ dense)):
+        assert np.allclose(got, want) and np.allclose(same, want)
+
+
+def test_terms_that_a_review_has_twice_add_up():
+    numbers = np.array([2], dtype=np.int32), np.array([1, 1], dtype=np.int32), np.array([0.5, 0.25])
+    block = topics._Block(*numbers, terms=2)
+    assert block.full.tolist() == [[0.0, 0.75]]
