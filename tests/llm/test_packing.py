@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -99,3 +100,30 @@ def test_empty_null_keys_repeats(spark, tokenizer):
     assert packing.pack(spark.createDataFrame([], schema), tokenizer_text()).count() == 0
     rows = packing.pack(spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], schema), tokenizer_text()).collect()
     assert sum(r["length"] for r in rows) == 9 and {r["doc_id"] for r in rows} == {None, 1}
+
+
+def test_known_word_is_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+        def __contains__(self, word):
+            self.asked += 1
+            return super().__contains__(word)
+
+    encode = packing.WordEncoder(tokenizer_text(), packing.END)
+    texts = pa.array(["one two's three 4", "two three, naïvé one"])
+    ids, bounds = encode(texts)
+    encode.known = Counted(encode.known)
+    again, _ = encode(texts)
+    assert encode.known.asked <= len(encode.known)
+    assert again.tolist() == ids.tolist()
+    whole = [reference(encode.whole, t) for t in texts.to_pylist()]
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == whole
