@@ -169,3 +169,49 @@ def test_rapid_fire_without_times_or_authors(spark):
     assert hits("author") == [2]
     # Nobody's rows come first, then a (10:00 and 10:01), then c, two minutes after a's last row.
     assert hits("reference") == [2, 6, 8]
+
+
+@pytest.mark.parametrize("n", [1, 5, 256, 3000])
+def test_search_in_boxes_equals_brute_force(n):
+    rng = np.random.default_rng(n)
+    places = np.unique(np.round(rng.normal(size=(n, 4)), 1), axis=0)
+    asked = np.concatenate([places[:300], rng.normal(size=(100, 4)), [[1e6, 0, 0, 0]]])
+    dist = np.round(neighbours._distances(asked, places), neighbours.DIGITS)
+    kth = np.sort(dist, axis=1)[:, min(7, len(places)) - 1]
+    for limit in (None, kth):
+        q, p, near = neighbours._search(asked, places, 7, limit)
+        assert len(set(zip(q, p))) == len(q)
+        found = {(i, j) for i, j in zip(q, p)}
+        assert found >= {(i, j) for i, j in zip(*np.nonzero(dist <= kth[:, None]))}
+        assert np.abs(dist[q, p] - near).max() < 1e-8
+
+
+def test_missing_component_spoils_no_cell(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "g", [float(v) for v in rng.normal(size=2)], True) for i in range(1200)]
+    rows[0] = (0, "g", [None, 0.0], True)
+    df = spark.createDataFrame(rows, "review_id long, game_id string, features array<double>, is_fake boolean")
+    got = neighbours.knn_relabel(df, one_cell=20).filter("knn_fake")
+    assert sorted(r["review_id"] for r in got.collect()) == list(range(1, 1200))
+
+
+def test_large_cells_are_sent_to_few_tasks(spark, monkeypatch):
+    """A cell's vectors go to as many tasks as its visitors need; before, to one for every TURN vectors of the game."""
+    monkeypatch.setattr(neighbours, "CHUNK", 50)
+    monkeypatch.setattr(neighbours, "TURN", 100)
+    sent = []
+    whole = neighbours.grouping.join_small
+
+    def watched(df, small, on, how="inner"):
+        found = whole(df, small, on, how)
+        if "members" in df.columns and "turns" in small.columns:
+            sent.append(found.agg({"turns": "sum"}).first()[0])
+        return found
+
+    monkeypatch.setattr(neighbours.grouping, "join_small", watched)
+    rng = np.random.default_rng(4)
+    rows = [(i, "g", [float(v) for v in rng.normal(size=1)], bool(rng.random() < 0.5)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "review_id long, game_id string, features array<double>, is_fake boolean")
+    got = {r["review_id"]: r["knn_fake"] for r in neighbours.knn_relabel(df, one_cell=20).collect()}
+    assert got == brute_force(df.toPandas(), 7)
+    assert sent and sent[0] < 2 * 2000
