@@ -1,75 +1,211 @@
 """Term weights per game (TF-IDF over words and two-word phrases).
 
-Terms are counted inside the row: only (game, term) totals are shuffled for the vocabulary, never
-the tokens, and only terms of the bounded vocabulary are shuffled for the weights.
+Words are counted in the task, a piece of the texts at a time, as numbers. For the vocabulary only (game, term) totals leave a task,
+and of the phrases only those whose two words are frequent enough themselves; for the weights only terms of the bounded vocabulary do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewscope.config import STOP_WORDS
-from reviewscope.functions import arrays as av
 from reviewscope.functions import text as ft
 from reviewscope.operators import grouping
+from reviewscope.session import stored
 
 GAME = "game_id"
 GUIDED = {"min_df": 2, "max_df": 0.95}
 FREE = {"min_df": 5, "max_df": 0.8}
 MAX_FEATURES = 1000
+# Characters whose words a task counts at once, about.
+PIECE = 8 << 20
+
+ROWS = [GAME, "review_id", "term", "tf"]
+TOTALS = [GAME, "term", "df", "total"]
+
+# game -> some of its words or terms
+Listed = Mapping[object, Sequence[str]]
 
 
 def term_counts(df: DataFrame, text: str = "review", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """(game_id, review_id, counts) with counts = array<struct<term, tf>> of one review.
+    """(game_id, review_id, words): the words of one review without stop words, joined by blanks; null without any.
 
-    Stop words go first, so phrases join the words around them.  Sorting the terms puts equal
-    ones next to each other; a run's length is its count.
+    Stop words go first, so phrases join the words around them.
     """
-    phrases = "transform(slice(w, 2, size(w)), (b, i) -> concat(w[i], ' ', b))"
-    starts = "filter(transform(s, (x, i) -> if(i = 0 or get(s, i - 1) <> x, i, null)), i -> i is not null)"
-    runs = (
-        "transform(st, (p, k) -> named_struct('term', s[p], "
-        "'tf', cast(coalesce(get(st, k + 1), size(s)) - p as bigint)))"
-    )
-    counts = av.let(
-        "w", "__words", av.let("s", f"sort_array(concat(w, {phrases}))", av.let("st", starts, runs))
-    )
-    words = df.select(GAME, "review_id", ft.terms(F.col(text), stop_words).alias("__words"))
-    return words.select(GAME, "review_id", F.expr(counts).alias("counts"))
+    words = F.nullif(F.array_join(ft.terms(F.col(text), stop_words), " "), F.lit(""))
+    return df.select(GAME, "review_id", words.alias("words"))
+
+
+class _Piece(NamedTuple):
+    """The words of some reviews, in order, as places in `names`."""
+
+    row: np.ndarray  # of each word: its review, a row of the batch
+    word: np.ndarray
+    names: pa.Array
+    game: np.ndarray  # of each row of the batch: a place in `games`
+    games: list
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, pair) of neighbouring words; a pair is first * names + second."""
+        same = self.row[1:] == self.row[:-1]
+        return self.row[1:][same], self.word[:-1][same] * len(self.names) + self.word[1:][same]
+
+    def named(self, terms: np.ndarray, phrases: bool) -> pa.Array:
+        if not phrases:
+            return self.names.take(pa.array(terms))
+        first, second = (self.names.take(pa.array(t)) for t in np.divmod(terms, len(self.names)))
+        return pc.binary_join_element_wise(first, second, " ")
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Places of words in `names`, -1 for others."""
+        return pc.fill_null(pc.index_in(words, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[_Piece]:
+    texts = batch.column("words")
+    games = batch.column(GAME).dictionary_encode(null_encoding="encode")
+    game = games.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PIECE
+    cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]
+    for start, end in zip(cuts, cuts[1:]):
+        split = pc.split_pattern(texts.slice(start, end - start), " ")
+        words = split.flatten().dictionary_encode()
+        if len(words):
+            row = pc.list_parent_indices(split).to_numpy(zero_copy_only=False).astype(np.int64) + start
+            word = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            yield _Piece(row, word, words.dictionary, game, games.dictionary.to_pylist())
+
+
+def _rows(listed: Listed | None):
+    """Each review's terms and how often it has them; with `listed` only a game's listed terms."""
+    parts = [(g, *t.partition(" ")[::2]) for g, terms in (listed or {}).items() for t in terms]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, firsts, seconds = (list(c) for c in zip(*parts)) if parts else ([], [], [])
+        firsts, seconds = pa.array(firsts, pa.string()), pa.array(seconds, pa.string())
+        for batch in batches:
+            for piece in _pieces(batch):
+                size = len(piece.names)
+                if listed is not None:
+                    at = {g: i for i, g in enumerate(piece.games)}
+                    owner = np.array([at.get(g, -1) for g in owners], dtype=np.int64)
+                    first, second = piece.places(firsts), piece.places(seconds)
+                    single = pc.equal(seconds, "").to_numpy(zero_copy_only=False).astype(bool)
+                    known = (owner >= 0) & (first >= 0)
+                for phrases in (False, True):
+                    row, term = piece.pairs() if phrases else (piece.row, piece.word)
+                    span = size * size if phrases else size
+                    if listed is not None:
+                        chosen = known & (~single & (second >= 0) if phrases else single)
+                        term_of = first * size + second if phrases else first
+                        keep = np.isin(piece.game[row] * span + term, (owner * span + term_of)[chosen])
+                        row, term = row[keep], term[keep]
+                    cells, tf = np.unique(row * span + term, return_counts=True)
+                    row, term = np.divmod(cells, span)
+                    if len(row):
+                        own = [batch.column(c).take(pa.array(row)) for c in (GAME, "review_id")]
+                        yield pa.RecordBatch.from_arrays([*own, piece.named(term, phrases), pa.array(tf)], names=ROWS)
+
+    return run
+
+
+def term_rows(counts: DataFrame, listed: Listed | None = None) -> DataFrame:
+    """(game_id, review_id, term, tf), of all terms or of those listed for the game."""
+    types = [counts.schema[GAME].dataType, counts.schema["review_id"].dataType, T.StringType(), T.LongType()]
+    return counts.mapInArrow(_rows(listed), T.StructType(list(map(T.StructField, ROWS, types))))
+
+
+def _frequent_pairs(piece: _Piece, frequent: Listed, row: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """True where both words of a pair are among their game's frequent ones, or the game has no list."""
+    ours = [i for i, g in enumerate(piece.games) if g in frequent]
+    allowed = np.ones((len(ours) + 1, len(piece.names)), dtype=bool)
+    slot = np.full(len(piece.games), len(ours))
+    for k, i in enumerate(ours):
+        slot[i] = k
+        allowed[k] = pc.is_in(piece.names, value_set=pa.array(frequent[piece.games[i]], pa.string())).to_numpy(zero_copy_only=False)
+    first, second = np.divmod(pair, len(piece.names))
+    own = slot[piece.game[row]]
+    return allowed[own, first] & allowed[own, second]
+
+
+def _totals(phrases: bool, frequent: Listed):
+    """Per piece and game: the reviews that have a word (or phrase) and its occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in _pieces(batch):
+                row, term, span = piece.row, piece.word, len(piece.names)
+                if phrases:
+                    row, term = piece.pairs()
+                    span *= span
+                    if frequent:
+                        keep = _frequent_pairs(piece, frequent, row, term)
+                        row, term = row[keep], term[keep]
+                # With counts it sorts, which is many times faster here than the hash table it builds without.
+                once = np.unique(row * span + term, return_counts=True)[0]
+                cells, df = np.unique(piece.game[once // span] * span + once % span, return_counts=True)
+                total = np.unique(piece.game[row] * span + term, return_counts=True)[1]
+                game, term = np.divmod(cells, span)
+                own = pa.array(piece.games, batch.schema.field(GAME).type).take(pa.array(game))
+                yield pa.RecordBatch.from_arrays([own, piece.named(term, phrases), pa.array(df), pa.array(total)], names=TOTALS)
+
+    return run
+
+
+def term_totals(counts: DataFrame, phrases: bool, frequent: Listed | None = None) -> DataFrame:
+    """(game_id, term, df, total) of the words, or of the phrases; of a game in `frequent` only phrases of its frequent words."""
+    types = [counts.schema[GAME].dataType, T.StringType(), T.LongType(), T.LongType()]
+    parts = counts.select(GAME, "words").mapInArrow(_totals(phrases, frequent or {}), T.StructType(list(map(T.StructField, TOTALS, types))))
+    return parts.groupBy(GAME, "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
-def term_rows(counts: DataFrame) -> DataFrame:
-    """(game_id, review_id, term, tf).
+def vocabulary(counts: DataFrame, min_df: int, max_df: float, max_features: int = MAX_FEATURES) -> DataFrame:
+    """Per game the most frequent terms found in enough, but not too many, reviews.
 
-    An outer generator: for an inner one Spark first filters on the array's size, pushes that filter
-    below the projection and so tokenises every text again.
+    Words are counted first. Where a game has `max_features` words that qualify, the last of them sets a floor: a phrase occurs
+    at most as often as either of its words, so only phrases of words at or above the floor can still enter, and only those are
+    counted. Other games have all their phrases counted.
     """
-    rows = counts.select(GAME, "review_id", F.inline_outer("counts"))
-    return rows.filter(F.col("term").isNotNull())
+    docs, _ = grouping.measured(counts.groupBy(GAME).agg(F.count("*").alias("docs")))
 
+    def kept(totals: DataFrame) -> DataFrame:
+        return totals.join(docs, GAME).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * max_df))
 
-def vocabulary(counts: DataFrame, min_df: int, max_df: float, max_features: int = MAX_FEATURES) -> DataFrame:
-    """Per game the most frequent terms found in enough, but not too many, reviews."""
-    totals = (
-        term_rows(counts)
-        .groupBy(GAME, "term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    )
-    docs = counts.groupBy(GAME).agg(F.count("*").alias("docs"))
-    kept = grouping.join_small(totals, docs, [GAME]).filter(
-        (F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * max_df)
-    )
-    return grouping.first_n(kept, [GAME], [F.desc("total"), F.col("term")], max_features, "rank")
+    def first(totals: DataFrame) -> DataFrame:
+        return grouping.first_n(kept(totals), [GAME], [F.desc("total"), F.col("term")], max_features, "rank")
+
+    words = stored(term_totals(counts, False), "word-totals")
+    floors = first(words).filter(F.col("rank") == max_features).select(GAME, F.col("total").alias("floor"))
+    frequent = grouping.join_small(words, floors, [GAME]).filter(F.col("total") >= F.col("floor"))
+    phrases = term_totals(counts, True, listed(frequent.select(GAME, "term")))
+    return first(words.unionByName(phrases))
+
+
+def listed(terms: DataFrame) -> Listed | None:
+    """The terms of each game as sets for the tasks, if they prove few."""
+    table = grouping.fetched(terms.select(GAME, "term"))
+    if table is None:
+        return None
+    found: dict = {}
+    for game, term in zip(table.column(GAME).to_pylist(), table.column("term").to_pylist()):
+        found.setdefault(game, []).append(term)
+    return found
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """(game_id, review_id, term, rank, tf, weight): tf * (ln((1+n)/(1+df)) + 1), reviews of length 1."""
-    idf = vocab.select(
-        GAME, "term", "rank", (F.ln((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")
+    idf, few = grouping.measured(
+        vocab.select(GAME, "term", "rank", (F.ln((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     )
-    weighted = grouping.join_small(term_rows(counts), idf, [GAME, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    rows = term_rows(counts, listed(idf) if few else None)
+    weighted = rows.join(idf, [GAME, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(GAME, "review_id")))
     return weighted.select(GAME, "review_id", "term", "rank", "tf", (F.col("w") / norm).alias("weight"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +24,16 @@ def same_row(left: str, right: str, keys: Sequence[str]) -> Column:
     return cond
 
 
-def measured(small: DataFrame) -> tuple[DataFrame, bool]:
-    """`small` as local data with a broadcast hint if it proves small, else unchanged.
-
-    At most BROADCAST_ROWS + 1 rows reach the driver.
-    """
+def fetched(small: DataFrame) -> pa.Table | None:
+    """The rows of `small` if it proves small. At most BROADCAST_ROWS + 1 rows reach the driver."""
     table = small.limit(BROADCAST_ROWS + 1).toArrow()
-    if table.num_rows > BROADCAST_ROWS or table.nbytes > BROADCAST_BYTES:
+    return None if table.num_rows > BROADCAST_ROWS or table.nbytes > BROADCAST_BYTES else table
+
+
+def measured(small: DataFrame) -> tuple[DataFrame, bool]:
+    """`small` as local data with a broadcast hint if it proves small, else unchanged."""
+    table = fetched(small)
+    if table is None:
         return small, False
     local = small.sparkSession.createDataFrame(table, small.schema)
     return F.broadcast(local), True

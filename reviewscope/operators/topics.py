@@ -372,7 +372,7 @@ def guided_keywords(
         return h
 
     words = sorted({w for listed in seeds.values() for w in listed})
-    counts = features.term_counts(df)
+    counts = stored(features.term_counts(df), "words")
     vocab = features.vocabulary(counts, **features.GUIDED)
     tops, _ = factorise(
         counts, vocab, len(names), start, words, max_iter=max_iter, top_n=top_n, block_rows=block_rows
@@ -405,7 +405,7 @@ def nmf_topics(
     def start(game: str, terms: int, places: Mapping[str, int]) -> np.ndarray:
         return scattered_rows(n_topics, terms, seed) * 0.1
 
-    counts = features.term_counts(df)
+    counts = stored(features.term_counts(df), "words")
     vocab = features.vocabulary(counts, **features.FREE)
     tops, reviews = factorise(
         counts, vocab, n_topics, start, max_iter=max_iter, seed=seed, block_rows=block_rows
