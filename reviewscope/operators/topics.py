@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -29,7 +30,9 @@ from reviewscope.session import shared_dir, stored
 
 GAME = "game_id"
 BLOCK_ROWS = 2000
-BLOCKS_PER_TASK = 64
+# A task holds about this many reviews, in at most so many blocks: what its Python worker gets at once does not grow with the input.
+ROWS_PER_TASK = 16_000
+BLOCKS_PER_TASK = 1024
 # All models together are broadcast up to this size; beyond it they are joined by a shuffle.
 MODEL_BYTES = 64 << 20
 CHECK_EVERY = 10
@@ -37,6 +40,8 @@ EPSILON = float(np.finfo(np.float32).eps)
 
 # Numbers of a block are packed as bytes: they pass between JVM and Python in every iteration.
 STATE = "game_id string, block long, ids array<long>, lens binary, idx binary, vals binary, w binary"
+BLOCK = [GAME, "block", "ids", "lens", "idx", "vals"]
+STATS = pa.list_(pa.float64())
 PACKED = {"lens": np.int32, "idx": np.int32, "vals": np.float64, "w": np.float64}
 # Share of filled cells from which a block's terms are multiplied as a full matrix.
 FULL = 0.02
@@ -87,12 +92,15 @@ def _blocks(weights: DataFrame, k: int, scale: float, seed: int, sizes: DataFram
         F.expr("flatten(transform(rows, r -> transform(r.t, x -> x.v)))").alias("vals"),
         F.expr("flatten(transform(rows, r -> r.w))").alias("w"),
     ).repartition(tasks, GAME, "block")
-    return arrays.mapInPandas(_pack, STATE)
+    return arrays.mapInArrow(_pack, STATE)
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pdf.assign(**{c: [np.asarray(v, dtype=kind).tobytes() for v in pdf[c]] for c, kind in PACKED.items()})
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for c, kind in PACKED.items():
+            rows = (row.values.to_numpy(zero_copy_only=False).astype(kind, copy=False) for row in batch.column(c))
+            batch = batch.set_column(batch.schema.get_field_index(c), c, pa.array([r.tobytes() for r in rows], pa.binary()))
+        yield batch
 
 
 def _unpack_w(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,27 +151,37 @@ def _updated(w: np.ndarray, h: np.ndarray, x: _Block):
 
 
 def _step(k: int):
-    """W against the H that came with each block, and per game one row of sums."""
+    """W against the H that came with each block, and per game one row of sums.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Blocks are read where they lie in the batch, and all but W goes on as it came.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for pdf in batches:
+        for batch in batches:
             new = []
-            for game, lens, idx, vals, w, h in zip(pdf[GAME], pdf["lens"], pdf["idx"], pdf["vals"], pdf["w"], pdf["h"]):
-                if h is not None:
-                    h = h.reshape(k, -1)
-                    next_w, stats = _updated(np.frombuffer(w).reshape(-1, k), h, _packed_block(lens, idx, vals, h.shape[1]))
+            for game, lens, idx, vals, w, h in zip(*(batch.column(c) for c in (GAME, "lens", "idx", "vals", "w", "h"))):
+                w = w.as_buffer()
+                if h.is_valid:
+                    model, game = h.values.to_numpy().reshape(k, -1), game.as_py()
+                    block = _packed_block(lens.as_buffer(), idx.as_buffer(), vals.as_buffer(), model.shape[1])
+                    next_w, stats = _updated(np.frombuffer(w).reshape(-1, k), model, block)
                     sums[game] = sums[game] + stats if game in sums else stats
                     w = next_w.tobytes()
-                new.append(w)
-            yield pdf[["game_id", "block", "ids", "lens", "idx", "vals"]].assign(w=new, stats=None)
+                new.append(bytes(w))
+            yield _stepped(batch.select(BLOCK), pa.array(new, pa.binary()), pa.nulls(len(new), STATS))
         if sums:
-            blank = {c: None for c in ("block", "ids", "lens", "idx", "vals", "w")}
-            yield pd.DataFrame([{GAME: g, **blank, "stats": s} for g, s in sums.items()])
+            blank = [pa.nulls(len(sums), batch.schema.field(c).type) for c in BLOCK[1:]]
+            own = pa.RecordBatch.from_arrays([pa.array(list(sums), batch.schema.field(GAME).type), *blank], names=BLOCK)
+            yield _stepped(own, pa.nulls(len(sums), pa.binary()), pa.array(list(sums.values()), STATS))
 
     return run
 
 
+def _stepped(block: pa.RecordBatch, w: pa.Array, stats: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*block.columns, w, stats], names=[*BLOCK, "w", "stats"])
+
+
 def _advance(k: int, turn: int, tol: float):
     """The next model of each game from the sums of one pass; a game that has stalled rests."""
 
@@ -272,7 +290,7 @@ def _fit_together(
     for turn in range(1, max_iter + 1):
         moving = models.filter("active").select(GAME, "h")
         together = state.join(F.broadcast(moving) if small else moving, GAME, "left")
-        moved = together.mapInPandas(_step(k), STATE + ", stats array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+        moved = together.mapInArrow(_step(k), STATE + ", stats array<double>").persist(StorageLevel.MEMORY_AND_DISK)
         sums = moved.filter("stats is not null").groupBy(GAME)
         sums = sums.agg(vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("sums"))
         models = stored(models.join(sums, GAME, "left").mapInPandas(_advance(k, turn, tol), MODEL), "topic-models")
@@ -315,13 +333,14 @@ def factorise(
     weights = features.tfidf(counts, vocab)
     seeded = vocab.filter(F.col("term").isin(*seeds)) if seeds else vocab.limit(0)
     sizes = vocab.groupBy(GAME).agg(
-        F.count("*").alias("terms"), F.ceil(F.max("docs") / block_rows).alias("blocks")
+        F.count("*").alias("terms"), F.max("docs").alias("docs"), F.ceil(F.max("docs") / block_rows).alias("blocks")
     )
     sizes = sizes.join(
         seeded.groupBy(GAME).agg(F.collect_list(F.struct("term", "rank")).alias("seeds")), GAME, "left"
     )
-    blocks = int(sizes.agg(F.sum("blocks")).first()[0] or 0)
-    tasks = max(min(blocks, spark.sparkContext.defaultParallelism), math.ceil(blocks / BLOCKS_PER_TASK), 1)
+    blocks, rows = (int(n or 0) for n in sizes.agg(F.sum("blocks"), F.sum("docs")).first())
+    needed = max(math.ceil(rows / ROWS_PER_TASK), math.ceil(blocks / BLOCKS_PER_TASK))
+    tasks = max(min(blocks, spark.sparkContext.defaultParallelism), needed, 1)
     packed = stored(_blocks(weights, k, w_scale, seed, sizes, tasks), "blocks")
 
     small = sizes.filter("blocks = 1").select(GAME, "terms", "seeds")
