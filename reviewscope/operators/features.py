@@ -84,8 +84,16 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[_Piece]:
             yield _Piece(row, word, words.dictionary, game, games.dictionary.to_pylist())
 
 
+def _ordered(row: np.ndarray, term: pa.Array) -> np.ndarray:
+    """The order by row, then term: sums over a review's terms are then the same on any run."""
+    coded = term.dictionary_encode()
+    rank = np.empty(len(coded.dictionary), dtype=np.int64)
+    rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+    return np.argsort(row * len(rank) + rank[coded.indices.to_numpy()])
+
+
 def _rows(listed: Listed | None):
-    """Each review's terms and how often it has them; with `listed` only a game's listed terms."""
+    """Each review's terms in order and how often it has them; with `listed` only a game's listed terms."""
     parts = [(g, *t.partition(" ")[::2]) for g, terms in (listed or {}).items() for t in terms]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +108,7 @@ def _rows(listed: Listed | None):
                     first, second = piece.places(firsts), piece.places(seconds)
                     single = pc.equal(seconds, "").to_numpy(zero_copy_only=False).astype(bool)
                     known = (owner >= 0) & (first >= 0)
+                found = []
                 for phrases in (False, True):
                     row, term = piece.pairs() if phrases else (piece.row, piece.word)
                     span = size * size if phrases else size
@@ -110,9 +119,12 @@ def _rows(listed: Listed | None):
                         row, term = row[keep], term[keep]
                     cells, tf = np.unique(row * span + term, return_counts=True)
                     row, term = np.divmod(cells, span)
-                    if len(row):
-                        own = [batch.column(c).take(pa.array(row)) for c in (GAME, "review_id")]
-                        yield pa.RecordBatch.from_arrays([*own, piece.named(term, phrases), pa.array(tf)], names=ROWS)
+                    found.append((row, piece.named(term, phrases), tf))
+                row, term, tf = np.concatenate([f[0] for f in found]), pa.concat_arrays([f[1] for f in found]), np.concatenate([f[2] for f in found])
+                if len(row):
+                    order = _ordered(row, term)
+                    own = [batch.column(c).take(pa.array(row[order])) for c in (GAME, "review_id")]
+                    yield pa.RecordBatch.from_arrays([*own, term.take(pa.array(order)), pa.array(tf[order])], names=ROWS)
 
     return run
 

@@ -53,6 +53,11 @@ def test_rows_in_pieces(monkeypatch, piece, listed):
     assert got == want
 
 
+def test_rows_come_in_the_order_of_terms():
+    (out,) = features._rows(None)([batch_of([("g", 2, "b a ß b"), ("g", 1, "c")])])
+    assert out.column("term").to_pylist() == ["a", "a ß", "b", "b a", "ß", "ß b", "c"]
+
+
 @pytest.mark.parametrize("piece", [1, 40, 1 << 20])
 @pytest.mark.parametrize("phrases", [False, True])
 def test_totals_in_pieces(monkeypatch, piece, phrases):
