@@ -8,7 +8,6 @@ from reviewscope.config import STOP_WORDS
 from reviewscope.functions import text as ft
 from reviewscope.operators import aspects, features, topics
 from reviewscope.operators.sentiment import lexicon_scorer, score_sentiment
-from reviewscope.session import stored
 
 # The tables hold invented prose, so a stand-in dictionary takes the place of the seed words.
 KEYWORDS = {
@@ -43,7 +42,7 @@ def vocab_sql(min_df, max_df, n=1000):
 
 
 def counts(spark, sf):
-    return stored(features.term_counts(reviews_text(spark, sf)), "words")
+    return features.stored_counts(reviews_text(spark, sf))
 
 
 for _name, _cut in (("guided", features.GUIDED), ("free", features.FREE)):

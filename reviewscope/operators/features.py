@@ -1,12 +1,14 @@
 """Term weights per game (TF-IDF over words and two-word phrases).
 
 Words are counted in the task, a piece of the texts at a time, as numbers. For the vocabulary only (game, term) totals leave a task,
-and of the phrases only those whose two words are frequent enough themselves; for the weights only terms of the bounded vocabulary do.
+and of the phrases only those whose two words are frequent enough themselves. Weights of the bounded vocabulary are finished in the task
+that reads the review; only reviews whose id comes more than once in their game are brought together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +32,8 @@ PIECE = 8 << 20
 
 ROWS = [GAME, "review_id", "term", "tf"]
 TOTALS = [GAME, "term", "df", "total"]
+WEIGHTS = [GAME, "review_id", "term", "rank", "tf", "weight"]
+LISTS = [GAME, "review_id", "t"]
 
 # game -> some of its words or terms
 Listed = Mapping[object, Sequence[str]]
@@ -44,6 +48,14 @@ def term_counts(df: DataFrame, text: str = "review", stop_words: Sequence[str] =
     return df.select(GAME, "review_id", words.alias("words"))
 
 
+def stored_counts(df: DataFrame) -> DataFrame:
+    """`term_counts`, written once, the games of a file one after the other.
+
+    A piece then has few games, and a word is counted over many reviews of its game before it leaves the task.
+    """
+    return stored(term_counts(df).sortWithinPartitions(GAME), "words")
+
+
 class _Piece(NamedTuple):
     """The words of some reviews, in order, as places in `names`."""
 
@@ -191,14 +203,16 @@ def vocabulary(counts: DataFrame, min_df: int, max_df: float, max_features: int
     def kept(totals: DataFrame) -> DataFrame:
         return totals.join(docs, GAME).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * max_df))
 
-    def first(totals: DataFrame) -> DataFrame:
-        return grouping.first_n(kept(totals), [GAME], [F.desc("total"), F.col("term")], max_features, "rank")
+    def first(kept: DataFrame) -> DataFrame:
+        return grouping.first_n(kept, [GAME], [F.desc("total"), F.col("term")], max_features, "rank")
 
-    words = stored(term_totals(counts, False), "word-totals")
-    floors = first(words).filter(F.col("rank") == max_features).select(GAME, F.col("total").alias("floor"))
+    # A phrase is in at most as many reviews as either of its words, so words of too few reviews are not looked at again.
+    words = stored(term_totals(counts, False).filter(F.col("df") >= min_df), "word-totals")
+    best = stored(first(kept(words)), "best-words")
+    floors = best.filter(F.col("rank") == max_features).select(GAME, F.col("total").alias("floor"))
     frequent = grouping.join_small(words, floors, [GAME]).filter(F.col("total") >= F.col("floor"))
     phrases = term_totals(counts, True, listed(frequent.select(GAME, "term")))
-    return first(words.unionByName(phrases))
+    return first(best.drop("rank").unionByName(kept(phrases)))
 
 
 def listed(terms: DataFrame) -> Listed | None:
@@ -212,12 +226,127 @@ def listed(terms: DataFrame) -> Listed | None:
     return found
 
 
-def tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(game_id, review_id, term, rank, tf, weight): tf * (ln((1+n)/(1+df)) + 1), reviews of length 1."""
-    idf, few = grouping.measured(
-        vocab.select(GAME, "term", "rank", (F.ln((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    )
-    rows = term_rows(counts, listed(idf) if few else None)
+class _Vocabulary:
+    """The terms of all games, and where a piece has them."""
+
+    def __init__(self, known: pa.Table):
+        column = {c: known.column(c).combine_chunks() for c in known.column_names}
+        games = column[GAME].dictionary_encode()
+        self.games, self.game = games.dictionary.to_pylist(), games.indices.to_numpy()
+        self.term, self.rank, self.idf = column["term"], column["rank"].to_numpy(), column["idf"].to_numpy()
+        parts = [t.partition(" ") for t in self.term.to_pylist()]
+        self.first, self.second = (pa.array([p[i] for p in parts], pa.string()) for i in (0, 2))
+        self.phrase = np.array([bool(p[1]) for p in parts], dtype=bool)
+        # Terms in order: sums over a review's terms are then the same on any run.
+        self.place = np.empty(len(parts), dtype=np.int64)
+        self.place[pc.sort_indices(self.term).to_numpy()] = np.arange(len(parts))
+
+    def weigh(self, piece: _Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, tf, weight) by row, then term; a term is a place in this vocabulary, rows have length 1."""
+        at = {g: i for i, g in enumerate(piece.games)}
+        owner = np.array([at.get(g, -1) for g in self.games], dtype=np.int64)[self.game]
+        first, second = piece.places(self.first), piece.places(self.second)
+        known = (owner >= 0) & (first >= 0)
+        size = len(piece.names)
+        found = []
+        for phrases in (False, True):
+            ours = np.flatnonzero(known & (self.phrase & (second >= 0) if phrases else ~self.phrase))
+            if not len(ours):
+                continue
+            span = size * size if phrases else size
+            keys = owner[ours] * span + (first[ours] * size + second[ours] if phrases else first[ours])
+            order = np.argsort(keys)
+            keys, ours = keys[order], ours[order]
+            row, term = piece.pairs() if phrases else (piece.row, piece.word)
+            keep = np.isin(term // size if phrases else term, first[ours], kind="table")
+            row, term = row[keep], term[keep]
+            code = piece.game[row] * span + term
+            slot = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+            keep = keys[slot] == code
+            cells, tf = np.unique(row[keep] * len(self.term) + ours[slot[keep]], return_counts=True)
+            found.append((*np.divmod(cells, len(self.term)), tf))
+        if not found:
+            return (np.empty(0, dtype=np.int64),) * 3 + (np.empty(0),)
+        row, term, tf = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(row * len(self.term) + self.place[term])
+        row, term, tf = row[order], term[order], tf[order]
+        w = tf * self.idf[term]
+        return row, term, tf, w / np.sqrt(np.bincount(row, weights=w * w))[row]
+
+
+def _weights(known: pa.Table, lists: bool):
+    """Weights of reviews whose id comes once: a row per term, or one per review with its terms by rank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _Vocabulary(known)
+        for batch in batches:
+            for piece in _pieces(batch):
+                row, term, tf, weight = vocabulary.weigh(piece)
+                if not len(row):
+                    continue
+                if not lists:
+                    own = [batch.column(c).take(pa.array(row)) for c in (GAME, "review_id")]
+                    numbers = [pa.array(n) for n in (vocabulary.rank[term], tf, weight)]
+                    yield pa.RecordBatch.from_arrays([*own, vocabulary.term.take(pa.array(term)), *numbers], names=WEIGHTS)
+                    continue
+                order = np.lexsort((vocabulary.rank[term], row))
+                pairs = pa.StructArray.from_arrays([pa.array(vocabulary.rank[term[order]] - 1), pa.array(weight[order])], names=["i", "v"])
+                reviews, starts = np.unique(row, return_index=True)
+                own = [batch.column(c).take(pa.array(reviews)) for c in (GAME, "review_id")]
+                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pairs)], names=LISTS)
+
+    return run
+
+
+def _together(rows: DataFrame, idf: DataFrame) -> DataFrame:
+    """Weights from (game_id, review_id, term, tf), whatever tasks the rows of an id come from."""
     weighted = rows.join(idf, [GAME, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(GAME, "review_id")))
     return weighted.select(GAME, "review_id", "term", "rank", "tf", (F.col("w") / norm).alias("weight"))
+
+
+def _by_repeats(counts: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Reviews whose id comes once in their game, and the others; all are others if the repeated ids prove many."""
+    again = counts.groupBy(GAME, "review_id").agg(F.count("*").alias("n")).filter("n > 1").select(GAME, "review_id")
+    table = grouping.fetched(again)
+    if table is None:
+        return None, counts
+    if not table.num_rows:
+        return counts, None
+    local = F.broadcast(counts.sparkSession.createDataFrame(table, again.schema)).alias("again")
+    same = grouping.same_row("own", "again", [GAME, "review_id"])
+    return tuple(counts.alias("own").join(local, same, how) for how in ("left_anti", "left_semi"))
+
+
+def _weighed(counts: DataFrame, vocab: DataFrame, lists: bool, shaped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    idf = vocab.select(GAME, "term", "rank", (F.ln((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    known = grouping.fetched(idf)
+    if known is None:
+        return shaped(_together(term_rows(counts), idf))
+    once, again = _by_repeats(counts)
+    parts = []
+    if again is not None:
+        local = F.broadcast(counts.sparkSession.createDataFrame(known, idf.schema))
+        parts.append(shaped(_together(term_rows(again, listed(local)), local)))
+    if once is not None:
+        kinds = {
+            GAME: counts.schema[GAME].dataType, "review_id": counts.schema["review_id"].dataType, "term": T.StringType(), "rank": T.IntegerType(),
+            "tf": T.LongType(), "weight": T.DoubleType(), "t": T.ArrayType(T.StructType().add("i", T.IntegerType()).add("v", T.DoubleType())),
+        }
+        parts.append(once.mapInArrow(_weights(known, lists), T.StructType([T.StructField(c, kinds[c]) for c in (LISTS if lists else WEIGHTS)])))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(game_id, review_id, term, rank, tf, weight): tf * (ln((1+n)/(1+df)) + 1), reviews of length 1."""
+    return _weighed(counts, vocab, False, lambda rows: rows)
+
+
+def tfidf_lists(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(game_id, review_id, t): the same weights, a row per review with its (i, v) in order, i the rank from 0."""
+
+    def listed_up(rows: DataFrame) -> DataFrame:
+        pair = F.struct((F.col("rank") - 1).cast("int").alias("i"), F.col("weight").alias("v"))
+        return rows.groupBy(GAME, "review_id").agg(F.array_sort(F.collect_list(pair)).alias("t"))
+
+    return _weighed(counts, vocab, True, listed_up)

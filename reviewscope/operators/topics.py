@@ -71,11 +71,8 @@ def scattered_rows(k: int, terms: int, seed: int) -> np.ndarray:
     return (((x * x + 12345) % PRIME * (x + 1)) % PRIME + 1) / (PRIME + 1)
 
 
-def _blocks(weights: DataFrame, k: int, scale: float, seed: int, sizes: DataFrame, tasks: int) -> DataFrame:
+def _blocks(docs: DataFrame, k: int, scale: float, seed: int, sizes: DataFrame, tasks: int) -> DataFrame:
     """Reviews of a game in blocks of about BLOCK_ROWS, with hashed starting values for W."""
-    docs = weights.groupBy(GAME, "review_id").agg(
-        F.array_sort(F.collect_list(F.struct((F.col("rank") - 1).cast("int").alias("i"), F.col("weight").alias("v")))).alias("t")
-    )
     docs = grouping.join_small(docs, sizes.select(GAME, "blocks"), [GAME]).withColumn(
         "block", F.pmod(F.xxhash64("review_id"), F.col("blocks"))
     )
@@ -330,7 +327,7 @@ def factorise(
     spark = counts.sparkSession
     shared_dir(spark)
     vocab = stored(vocab, "vocabulary")
-    weights = features.tfidf(counts, vocab)
+    weights = features.tfidf_lists(counts, vocab)
     seeded = vocab.filter(F.col("term").isin(*seeds)) if seeds else vocab.limit(0)
     sizes = vocab.groupBy(GAME).agg(
         F.count("*").alias("terms"), F.max("docs").alias("docs"), F.ceil(F.max("docs") / block_rows).alias("blocks")
@@ -391,7 +388,7 @@ def guided_keywords(
         return h
 
     words = sorted({w for listed in seeds.values() for w in listed})
-    counts = stored(features.term_counts(df), "words")
+    counts = features.stored_counts(df)
     vocab = features.vocabulary(counts, **features.GUIDED)
     tops, _ = factorise(
         counts, vocab, len(names), start, words, max_iter=max_iter, top_n=top_n, block_rows=block_rows
@@ -424,7 +421,7 @@ def nmf_topics(
     def start(game: str, terms: int, places: Mapping[str, int]) -> np.ndarray:
         return scattered_rows(n_topics, terms, seed) * 0.1
 
-    counts = stored(features.term_counts(df), "words")
+    counts = features.stored_counts(df)
     vocab = features.vocabulary(counts, **features.FREE)
     tops, reviews = factorise(
         counts, vocab, n_topics, start, max_iter=max_iter, seed=seed, block_rows=block_rows

@@ -1,12 +1,13 @@
 """Counting of terms in pieces, against counting by hand."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
 
-from reviewscope.operators import features
+from reviewscope.operators import features, grouping
 
 WORDS = [*"abcdefgh", "ß", "日本"]
 
@@ -98,3 +99,72 @@ def test_few_phrases_leave_a_task(spark):
     listed = {"g": ["often0", "often1", "often2"]}
     found = {r["term"] for r in features.term_totals(counts, True, listed).collect()}
     assert found == {f"often{i % 3} often{i % 2}" for i in range(6)}
+
+
+def weights_of(rows, vocab) -> dict:
+    """(game, id) -> {term: weight}, over all rows of an id."""
+    found = defaultdict(Counter)
+    for g, i, t in rows:
+        for term in terms_of(t):
+            if (g, term) in vocab:
+                found[g, i][term] += vocab[g, term]
+    return {k: {t: w / math.sqrt(sum(x * x for x in own.values())) for t, w in own.items()} for k, own in found.items()}
+
+
+def weighed(spark, rows):
+    counts = spark.createDataFrame(rows, "game_id string, review_id long, words string").repartition(3)
+    vocab = spark.createDataFrame(
+        [("g", "a", 2, 5, 1), ("g", "a b", 3, 5, 2), ("g", "ß", 1, 5, 3), ("h", "b", 4, 9, 1), ("h", "c", 2, 9, 2), ("h", "日本 c", 1, 9, 3)],
+        "game_id string, term string, df long, docs long, rank int",
+    )
+    idf = {(r.game_id, r.term): math.log((r.docs + 1) / (r.df + 1)) + 1 for r in vocab.collect()}
+    ranks = {(r.game_id, r.term): r["rank"] for r in vocab.collect()}
+    return counts, vocab, idf, ranks
+
+
+@pytest.mark.parametrize("piece", [1, 1 << 20])
+@pytest.mark.parametrize("repeated", [False, True])
+@pytest.mark.parametrize("limit", [200_000, 10, 2])
+def test_weights(spark, monkeypatch, piece, repeated, limit):
+    """Reviews whose id comes once are weighed in their task, others together, null ids too; also where no side is small."""
+    monkeypatch.setattr(features, "PIECE", piece)
+    monkeypatch.setattr(grouping, "BROADCAST_ROWS", limit)
+    rows = [(g, i, t and " ".join(w if w in WORDS else "a" for w in t.split())) for g, i, t in texts(80)]
+    if repeated:
+        # A row of terms belongs to one of the rows of its id, so no term occurs in two of them here.
+        rows = [("g", 1, "a a"), ("g", 1, "ß"), ("h", 1, "b"), ("g", None, "a"), ("g", None, "ß ß"), *[(g, 100 + k, t) for k, (g, _, t) in enumerate(rows)]]
+    else:
+        rows = [(g, k or None, t) for k, (g, _, t) in enumerate(rows)]
+    counts, vocab, idf, ranks = weighed(spark, rows)
+    want = weights_of(rows, idf)
+    got = defaultdict(dict)
+    for r in features.tfidf(counts, vocab).collect():
+        assert r["term"] not in got[r.game_id, r.review_id] and r["rank"] == ranks[r.game_id, r.term]
+        got[r.game_id, r.review_id][r.term] = r.weight
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    lists = {(r.game_id, r.review_id): [(x.i, x.v) for x in r.t] for r in features.tfidf_lists(counts, vocab).collect()}
+    assert lists == {k: sorted((ranks[k[0], t] - 1, w) for t, w in own.items()) for k, own in got.items()}
+
+
+def test_weights_are_finished_in_their_task(spark):
+    counts, vocab, _, _ = weighed(spark, [("g", 1, "a b a"), ("h", 1, "b"), ("h", 2, None)])
+    counts, vocab = counts.coalesce(1).localCheckpoint(), vocab.localCheckpoint()
+    for found in (features.tfidf(counts, vocab), features.tfidf_lists(counts, vocab)):
+        plan = found._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and not any(step in plan for step in ("Exchange", "Window", "Join"))
+
+
+def test_words_of_too_few_reviews_are_not_kept(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(features, "stored", lambda df, name: kept.setdefault(name, df.localCheckpoint()))
+    rows = [("g", i, f"often rare{i} rare{i}") for i in range(5)]
+    counts = features.term_counts(spark.createDataFrame(rows, "game_id string, review_id long, review string"))
+    assert [r.term for r in features.vocabulary(counts, 2, 1.0).collect()] == ["often"]
+    assert [r.term for r in kept["word-totals"].collect()] == ["often"]
+
+
+def test_games_lie_together_in_a_file(spark):
+    rows = [(f"g{i % 3}", i, "word") for i in range(90)]
+    stored = features.stored_counts(spark.createDataFrame(rows, "game_id string, review_id long, review string").coalesce(1))
+    games = [r.game_id for r in stored.coalesce(1).collect()]
+    assert games == sorted(games) and len(games) == 90
