@@ -196,23 +196,31 @@ def vocabulary(counts: DataFrame, min_df: int, max_df: float, max_features: int
 
     Words are counted first. Where a game has `max_features` words that qualify, the last of them sets a floor: a phrase occurs
     at most as often as either of its words, so only phrases of words at or above the floor can still enter, and only those are
-    counted. Other games have all their phrases counted.
+    counted. Other games have all their phrases counted. Only terms at or above the floor are put in order.
     """
     docs, _ = grouping.measured(counts.groupBy(GAME).agg(F.count("*").alias("docs")))
 
     def kept(totals: DataFrame) -> DataFrame:
         return totals.join(docs, GAME).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * max_df))
 
-    def first(kept: DataFrame) -> DataFrame:
-        return grouping.first_n(kept, [GAME], [F.desc("total"), F.col("term")], max_features, "rank")
-
     # A phrase is in at most as many reviews as either of its words, so words of too few reviews are not looked at again.
     words = stored(term_totals(counts, False).filter(F.col("df") >= min_df), "word-totals")
-    best = stored(first(kept(words)), "best-words")
-    floors = best.filter(F.col("rank") == max_features).select(GAME, F.col("total").alias("floor"))
-    frequent = grouping.join_small(words, floors, [GAME]).filter(F.col("total") >= F.col("floor"))
-    phrases = term_totals(counts, True, listed(frequent.select(GAME, "term")))
-    return first(best.drop("rank").unionByName(kept(phrases)))
+    floors, _ = grouping.measured(_floors(kept(words), max_features))
+
+    def above(totals: DataFrame) -> DataFrame:
+        return totals.join(floors, GAME, "left").filter(F.col("floor").isNull() | (F.col("total") >= F.col("floor")))
+
+    words = stored(above(words), "frequent-words")
+    phrases = term_totals(counts, True, listed(words.filter(F.col("floor").isNotNull()).select(GAME, "term")))
+    found = kept(words.unionByName(above(phrases)).drop("floor"))
+    return grouping.first_n(found, [GAME], [F.desc("total"), F.col("term")], max_features, "rank")
+
+
+def _floors(totals: DataFrame, n: int) -> DataFrame:
+    """(game_id, floor): the total of the n-th most frequent term, of games with so many."""
+    upto = F.sum("n").over(Window.partitionBy(GAME).orderBy(F.desc("total")))
+    sizes = totals.groupBy(GAME, "total").agg(F.count("*").alias("n")).withColumn("upto", upto)
+    return sizes.filter(F.col("upto") >= n).groupBy(GAME).agg(F.max("total").alias("floor"))
 
 
 def listed(terms: DataFrame) -> Listed | None:
